@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,36 @@ ARROW_ROWS = 1000
 ARROW_BYTES = 16 << 20
 
 
+class Cache:
+    """A bounded store of encoded units in two generations.
+
+    What a full young generation doesn't meet again is forgotten with the next
+    one, so common units stay however long the tail is.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int):
+        self.encode, self.limit = encode, limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def joined(self, lists: list[list[str]]) -> list[bytes]:
+        """The encoded units of each list, joined."""
+        need = set().union(*lists)
+        missing = need.difference(self.young)
+        if len(self.young) + len(missing) > self.limit:
+            self.old, self.young, missing = self.young, {}, need
+        new = []
+        for unit in missing:
+            if (data := self.old.get(unit)) is None:
+                new.append(unit)
+            else:
+                self.young[unit] = data
+        if new:
+            self.young.update(zip(new, self.encode(new)))
+        get = self.young.__getitem__
+        return [b"".join(map(get, x)) for x in lists]
+
+
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session's Python stages."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -4,9 +4,10 @@ A document's ids (with the end id) are cut into chunks where a rolling hash of
 the last 32 ids meets a mask, so equal passages give equal chunks wherever they
 stand.  The store is a folder of four tables:
 
-``chunks``    ``digest`` (SHA-256, first 16 bytes), ``n``, ``payload``: each
-              distinct chunk once, ids as little-endian integers of the least
-              width that holds the vocabulary;
+``chunks``    ``doc_id``, ``row``, ``seq``, ``digest`` (SHA-256, first 16 bytes),
+              ``n``, ``payload``: a row for each chunk of each document; the
+              payload, ids as little-endian integers of the least width that
+              holds the vocabulary, stands in one row of each digest;
 ``recipes``   ``doc_id``, ``part``, ``place``, ``local_start``, ``n_tokens``,
               ``digests`` (the chunks in order), ``root`` (Merkle root of the
               digests), in ascending ``doc_id`` order: part after part, sorted
@@ -15,9 +16,9 @@ stand.  The store is a folder of four tables:
 ``manifest``  Merkle nodes over the document roots: one for each ``FAN``
               documents of a part, one for each part, one for the store.
 
-Recipes and chunks come from two passes over the texts, so chunks meet under
-their digest after being made unique on the map side, and a passage that a third
-of the corpus shares costs one row for each task and not one for each copy.
+Texts are encoded in one pass.  Payloads become unique on the map side first and
+then meet under their digest; repeats without one are dealt out by document, so
+a passage that a third of the corpus shares costs one payload for each task.
 Reading verifies every chunk against its digest and every document against its
 root; checksums of documents are combined from those of chunks, so payloads are
 not shuffled again.
@@ -53,12 +54,13 @@ MIN_CHUNK, MAX_CHUNK, CUT_BITS = 128, 4096, 9
 DIGEST_BYTES = 16
 #: Documents or nodes under one Merkle node of the manifest.
 FAN = 1024
-#: Words kept in a worker's memory; a full store starts anew.
-CACHE_WORDS = 300_000
+#: Words of one generation of a worker's store.
+CACHE_WORDS = 250_000
 #: White space as the vocabulary's own pattern has it, and nothing else.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
-CHUNK_ROW = "digest binary, n int, payload binary"
+PIECE_ROW = "doc_id long, row long, seq int, digest binary, n int, payload binary"
+PIECE_NAMES = [x.split()[0] for x in PIECE_ROW.split(", ")]
 RECIPE_ROW = "doc_id long, n_tokens long, digests binary, root binary"
 
 
@@ -71,21 +73,49 @@ class WordIds:
 
         self.library = Tokenizer.from_file(vocabulary)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
+        special = [(i, t) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not t.normalized]
+        self.marks = [t.content for _, t in special]
+        self.mark_id, self.mark = (special[0][0], special[0][1].content) if special else (None, None)
+        ends = [i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]
+        self.is_end = np.zeros(1 << 8 * self.kind.itemsize if self.kind.itemsize == 2 else max(ends) + 2, bool)
+        self.is_end[ends] = True
+        self.words = common.Cache(self._encode, CACHE_WORDS)
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, many words in one call of the library."""
+        lower = [w for w in words if w.isascii() and w.isalpha()]
+        rest = [w for w in words if not (w.isascii() and w.isalpha())]
+        out: dict[str, bytes] = {}
+        for part_of, encode in ((lower, self._encode_letters), (rest, self._encode_others)):
+            for at in range(0, len(part_of), 1000):
+                part = part_of[at : at + 1000]
+                out.update(zip(part, encode(part)))
+        return [out[w] for w in words]
+
+    def _split(self, ids: np.ndarray, starts: list[int], ends: list[int]) -> list[bytes]:
+        data, width = ids.tobytes(), self.kind.itemsize
+        return [data[a * width : b * width] for a, b in zip(starts, ends)]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        """Words of ASCII letters: each ends with the one end-of-word piece it has."""
+        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        ends = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
+        if len(ends) != len(words):
+            return self._encode_others(words)
+        return self._split(ids, [0, *ends[:-1]], ends)
+
+    def _encode_others(self, words: list[str]) -> list[bytes]:
+        """Any words, with a special token between them: the library cuts a text
+        there before anything else."""
+        if self.mark is None or any(m in w for w in words for m in self.marks):
+            return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        ids = np.array(self.library.encode(self.mark.join(words), add_special_tokens=False).ids, self.kind)
+        ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+        return self._split(ids, [0, *(e + 1 for e in ends[:-1])], ends)
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        words = [_SPACE.split(t) if _ODD.search(t) else t.split() for t in texts]
-        need = {w for x in words for w in x}
-        new = [w for w in need if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(need)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for word, x in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[word] = np.array(x.ids, self.kind).tobytes()
-        get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, x)), self.kind) for x in words]
+        lists = [[w for w in _SPACE.split(t) if w] if _ODD.search(t) else t.split() for t in texts]
+        return [np.frombuffer(x, self.kind) for x in self.words.joined(lists)]
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -155,46 +185,69 @@ def _document_chunks(texts: list[str], vocabulary: str, end_id: int) -> Iterator
         yield len(ids), [(b - a, data[a * width : b * width]) for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def _recipes(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+def _pieces(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """A row for each chunk of each document; ``payload`` only with the first
+    that the task meets.  ``row`` tells documents apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
+        row = (TaskContext.get().partitionId() << 40) - 1
         for batch in batches:
-            n, digests, roots = [], [], []
-            for length, chunks in _document_chunks(batch.column(1).to_pylist(), vocabulary, end_id):
-                leaves = [digest_of(p) for _, p in chunks]
-                n.append(length)
-                digests.append(b"".join(leaves))
-                roots.append(merkle(leaves))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(roots, pa.binary())],
-                ["doc_id", "n_tokens", "digests", "root"],
-            )
+            out: list[list] = [[] for _ in range(6)]
+            encoded = _document_chunks(batch.column(1).to_pylist(), vocabulary, end_id)
+            for doc_id, (_, chunks) in zip(batch.column(0).to_pylist(), encoded):
+                row += 1
+                for seq, (n, payload) in enumerate(chunks):
+                    digest = digest_of(payload)
+                    known = digest in sent
+                    sent.add(digest)
+                    for column, value in zip(out, (doc_id, row, seq, digest, n, None if known else payload)):
+                        column.append(value)
+            if len(sent) > 500_000:
+                sent.clear()
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], PIECE_NAMES)
+
+    return docs.mapInArrow(run, PIECE_ROW)
 
-    return docs.mapInArrow(run, RECIPE_ROW)
 
+def _stored_once(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with one payload for each digest.  Rows with a payload meet under
+    their digest; the others, however many, are dealt out by document."""
 
-def _chunks(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[bytes] = set()
+        last = None
         for batch in batches:
-            fresh: dict[bytes, tuple[int, bytes]] = {}
-            for _, chunks in _document_chunks(batch.column(1).to_pylist(), vocabulary, end_id):
-                for n, payload in chunks:
-                    if (digest := digest_of(payload)) not in sent and digest not in fresh:
-                        fresh[digest] = (n, payload)
-            if len(sent) > 500_000:
-                sent.clear()
-            sent |= fresh.keys()
+            digests, payloads = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+            for i, (digest, payload) in enumerate(zip(digests, payloads)):
+                if payload is not None:
+                    if digest == last:
+                        payloads[i] = None
+                    last = digest
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(payloads, pa.binary())], PIECE_NAMES)
+
+    place = F.when(F.col("payload").isNotNull(), F.xxhash64("digest")).otherwise(F.xxhash64("row", "seq"))
+    dealt = pieces.withColumn("place", place).repartition("place")
+    return dealt.sortWithinPartitions("digest", "row", "seq").drop("place").mapInArrow(run, PIECE_ROW)
+
+
+def _recipes(chunks: DataFrame) -> DataFrame:
+    """The recipe of each document from the rows of its chunks."""
+    whole = chunks.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.sum("n").alias("n_tokens"),
+        F.array_sort(F.collect_list(F.struct("seq", "digest"))).alias("chunks"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaves = [[c["digest"] for c in x] for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(fresh), pa.binary()),
-                    pa.array([n for n, _ in fresh.values()], pa.int32()),
-                    pa.array([p for _, p in fresh.values()], pa.binary()),
-                ],
-                ["digest", "n", "payload"],
+                [batch.column(0), batch.column(1), pa.array([b"".join(x) for x in leaves], pa.binary()), pa.array([merkle(x) for x in leaves], pa.binary())],
+                ["doc_id", "n_tokens", "digests", "root"],
             )
 
-    # a digest meets its few copies, one for each task at most
-    return docs.mapInArrow(run, CHUNK_ROW).repartition("digest").dropDuplicates(["digest"])
+    return whole.select("doc_id", "n_tokens", "chunks").mapInArrow(run, RECIPE_ROW)
 
 
 def _in_order(recipes: DataFrame) -> DataFrame:
@@ -236,8 +289,8 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id
     spark = docs.sparkSession
     common.tune(spark)
     texts = common.texts_of(docs)
-    _in_order(_recipes(texts, vocabulary, end_id)).write.parquet(f"{path}/recipes")
-    _chunks(texts, vocabulary, end_id).write.parquet(f"{path}/chunks")
+    _stored_once(_pieces(texts, vocabulary, end_id)).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    _in_order(_recipes(spark.read.schema(PIECE_ROW).parquet(f"{path}/chunks"))).write.parquet(f"{path}/recipes")
     recipes = spark.read.parquet(f"{path}/recipes")
     totals = recipes.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -287,7 +340,7 @@ def _chunk_sums(chunks: DataFrame, wide: bool) -> DataFrame:
                 crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(crc, pa.int64())], ["digest", "n", "crc"])
 
-    return chunks.select("digest", "n", "payload").mapInArrow(run, "digest binary, n int, crc long")
+    return chunks.filter("payload is not null").select("digest", "n", "payload").mapInArrow(run, "digest binary, n int, crc long")
 
 
 def read_sums(spark: SparkSession, path: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -331,7 +384,7 @@ def read_sums(spark: SparkSession, path: str, vocabulary: str = VOCABULARY) -> D
 def read_ids(spark: SparkSession, path: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id`` and ``ids`` of every document, rebuilt from the chunks."""
     common.tune(spark)
-    recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
+    recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks").filter("payload is not null").select("digest", "payload")
     used = recipes.select(
         "doc_id", "part", "place", F.posexplode(F.expr(f"transform(sequence(0, length(digests) div {DIGEST_BYTES} - 1), i -> substring(digests, i * {DIGEST_BYTES} + 1, {DIGEST_BYTES}))")).alias("at", "digest")
     )

@@ -39,8 +39,8 @@ from . import common
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Units kept in a worker's memory; a full store starts anew.
-CACHE_UNITS = 200_000
+#: Units of one generation of a worker's store.
+CACHE_UNITS = 150_000
 _NO_RANK = np.int32(2**31 - 1)
 #: Symbols of characters that no piece holds start here.
 _FOREIGN = 1 << 21
@@ -51,7 +51,6 @@ class Encoder:
 
     def __init__(self, model: str = MODEL, cache_units: int = CACHE_UNITS):
         sp = self.library = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.cache_units = cache_units
         self.bos, self.eos = sp.bos_id(), sp.eos_id()
         size = sp.get_piece_size()
         self.table: list[bytes] = []
@@ -75,8 +74,8 @@ class Encoder:
         self.marked = {i for p, (i, _) in pieces.items() if p[0] == MARK}
         assert not any(MARK in p.lstrip(MARK) or "\n" in p for p in pieces), "a piece crosses a unit"
         self._build_pairs(pieces, size)
-        self.cache: dict[str, bytes] = {}
-        self.raw_cache: dict[str, bytes] = {}
+        self.words = common.Cache(self._encode_marked, cache_units)
+        self.others = common.Cache(self._encode_parts, cache_units)
 
     def _build_pairs(self, pieces: dict[str, tuple[int, float]], size: int) -> None:
         order = {s: r for r, s in enumerate(sorted({s for _, s in pieces.values()}, reverse=True))}
@@ -205,39 +204,28 @@ class Encoder:
         ends = np.cumsum(np.bincount(unit, minlength=len(units))) * 4
         return [data[a:b] for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
 
-    def _fill(self, cache: dict[str, bytes], keys: set[str], prefixed: bool) -> None:
-        """Encode the keys that the cache lacks."""
-        new = [k for k in keys if k not in cache]
-        if len(cache) + len(new) > self.cache_units:
-            cache.clear()
-            new = list(keys)
+    def _encode_marked(self, keys: list[str]) -> list[bytes]:
+        """Units of words that stand behind one mark, or behind a line end."""
+        return self._encode_parts([k if k[:1] == "\n" else MARK + k for k in keys])
+
+    def _encode_parts(self, units: list[str]) -> list[bytes]:
         step = 50_000
-        for at in range(0, len(new), step):
-            part = new[at : at + step]
-            units = [k if k[:1] == "\n" else MARK + k for k in part] if prefixed else part
-            cache.update(zip(part, self._encode_new(units)))
+        return [x for at in range(0, len(units), step) for x in self._encode_new(units[at : at + step])]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text without begin and end, as little-endian bytes."""
-        plain: list[list[str] | None] = []
-        raw: list[list[str] | None] = []
+        plain: list[list[str]] = []
+        raw: list[list[str]] = []
+        odd: list[bool] = []
         for t in texts:
-            if not t:
-                plain.append([])
-                raw.append(None)
-            elif t[0] == " " or "  " in t or MARK in t:
-                plain.append(None)
+            odd.append(t[:1] == " " or "  " in t or MARK in t)
+            if odd[-1]:
                 raw.append(_UNITS.findall(MARK + t.replace(" ", MARK)))
             else:
                 # a line end is in no piece, so a unit may also start there
-                plain.append(t.replace("\n", " \n").split(" "))
-                raw.append(None)
-        if need := {k for x in plain if x for k in x}:
-            self._fill(self.cache, need, True)
-        if need := {k for x in raw if x for k in x}:
-            self._fill(self.raw_cache, need, False)
-        one, other = self.cache.__getitem__, self.raw_cache.__getitem__
-        return [b"".join(map(other, r)) if r is not None else b"".join(map(one, p)) for p, r in zip(plain, raw)]
+                plain.append(t.replace("\n", " \n").split(" ") if t else [])
+        one, other = iter(self.words.joined(plain)), iter(self.others.joined(raw))
+        return [next(other) if x else next(one) for x in odd]
 
     def encode(self, text: str) -> list[int]:
         return [self.bos, *np.frombuffer(self.ids([text])[0], "<u4").tolist(), self.eos]
