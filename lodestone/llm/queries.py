@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op2_html, op3_token_store, op5_sentencepiece, op6_simhash, op7_langid, op8_quality
+from . import op1_chat, op2_html, op3_token_store, op5_sentencepiece, op6_simhash, op7_langid, op8_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat": op1_chat.op1_chat,
         "op2_html": op2_html.op2_html,
         "op3_token_store": op3_token_store.op3_token_store,
         "op5_sentencepiece": op5_sentencepiece.op5_sentencepiece,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat": op1_chat.ORACLE}
