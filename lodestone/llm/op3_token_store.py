@@ -59,6 +59,8 @@ CACHE_WORDS = 250_000
 #: White space as the vocabulary's own pattern has it, and nothing else.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
+#: A full stop or comma that the pattern could take together with what is before it.
+_MARKS_IN_A_ROW = re.compile(r"[^\s\w][.,]|_[.,]")
 PIECE_ROW = "doc_id long, row long, seq int, digest binary, n int, payload binary"
 PIECE_NAMES = [x.split()[0] for x in PIECE_ROW.split(", ")]
 RECIPE_ROW = "doc_id long, n_tokens long, digests binary, root binary"
@@ -113,8 +115,28 @@ class WordIds:
         ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
         return self._split(ids, [0, *(e + 1 for e in ends[:-1])], ends)
 
+    @staticmethod
+    def units(text: str) -> list[str]:
+        """The units of a text: its words.
+
+        In texts of Latin-1 characters lower case and composition go by single
+        characters.  There lower case is taken here, and a full stop or comma
+        stands apart from a letter or digit before it, as in the vocabulary's
+        pattern: fewer units for the same ids.
+        """
+        if _ODD.search(text):
+            return [w for w in _SPACE.split(text) if w]
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        text = text.lower()
+        if not _MARKS_IN_A_ROW.search(text):
+            text = text.replace(".", " .").replace(",", " ,")
+        return text.split()
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        lists = [[w for w in _SPACE.split(t) if w] if _ODD.search(t) else t.split() for t in texts]
+        lists = list(map(self.units, texts))
         return [np.frombuffer(x, self.kind) for x in self.words.joined(lists)]
 
 
