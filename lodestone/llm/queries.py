@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_chat, op2_html, op3_token_store, op5_sentencepiece, op6_simhash, op7_langid, op8_quality
+from . import op1_chat, op2_html, op3_token_store, op4_decontaminate, op5_sentencepiece, op6_simhash, op7_langid, op8_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_chat": op1_chat.op1_chat,
         "op2_html": op2_html.op2_html,
         "op3_token_store": op3_token_store.op3_token_store,
+        "op4_decontaminate": op4_decontaminate.op4_decontaminate,
         "op5_sentencepiece": op5_sentencepiece.op5_sentencepiece,
         "op6_simhash": op6_simhash.op6_simhash,
         "op7_langid": op7_langid.op7_langid,
