@@ -130,10 +130,17 @@ def _counted(rows: DataFrame, units) -> DataFrame:
     return rows.mapInArrow(run, "lang string, unit string, n long").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
 
 
-def _commonest(counts: DataFrame, most: int, *also) -> list[tuple[str, str, int]]:
-    """The commonest units of each language: ``most`` of each at most."""
-    order = Window.partitionBy("lang", *also).orderBy(F.desc("n"), "unit")
-    top = counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most)
+def _commonest(counts: DataFrame, most: int, *also: str) -> list[tuple[str, str, int]]:
+    """The commonest units of each language (and of each value of ``also``).
+
+    A histogram of the counts tells from which count on there are ``most`` units
+    at most; units are kept from there, so they are never sorted by language.
+    """
+    levels = counts.groupBy("lang", *also, "n").agg(F.count("*").alias("units"))
+    upwards = Window.partitionBy("lang", *also).orderBy(F.desc("n"))
+    running = levels.select("lang", *also, "n", F.sum("units").over(upwards).alias("running"), F.row_number().over(upwards).alias("level"))
+    least = running.filter((F.col("running") <= most) | (F.col("level") == 1)).groupBy("lang", *also).agg(F.min("n").alias("least"))
+    top = counts.join(least, ["lang", *also]).filter("n >= least")
     return [(x.lang, x.unit, x.n) for x in top.select("lang", "unit", "n").collect()]
 
 
@@ -149,7 +156,7 @@ def train(docs: DataFrame, documents: int = TRAIN_DOCUMENTS) -> Model:
         labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * documents / n)))
     words = common.materialise(_counted(labelled.select("lang", "text", F.lit(1).cast("long").alias("n")), words_of), "lang_words")
     grams = _counted(words.select("lang", F.col("unit").alias("text"), "n"), lambda w: [g for k in range(1, LONGEST + 1) for g in grams_of(w, k)])
-    return Model.of_counts(_commonest(words, WORDS), _commonest(grams, GRAMS // LONGEST, F.length("unit")))
+    return Model.of_counts(_commonest(words, WORDS), _commonest(grams.withColumn("size", F.length("unit")), GRAMS // LONGEST, "size"))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op1_chat, op2_html, op3_token_store, op4_decontaminate, op5_sentencepiece, op6_simhash, op7_langid, op8_quality, op9_licences
+from . import op1_chat, op2_html, op3_token_store, op4_decontaminate, op5_sentencepiece, op6_simhash, op7_langid, op8_quality, op9_licences, op10_lines
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_langid": op7_langid.op7_langid,
         "op8_quality_rules": op8_quality.op8_quality_rules,
         "op9_licences": op9_licences.op9_licences,
+        "op10_lines": op10_lines.op10_lines,
     }
 
 
