@@ -93,14 +93,15 @@ def edits_within(a: Column, b: Column, edits: int) -> Column:
     full = (1 << width) - 1
     names = [f"r{e}" for e in range(edits + 1)]
     # bit d of r_e: the first j of a and the first j + d - edits of b are e edits apart at most
-    start = F.struct(*(F.lit(sum(1 << edits + d for d in range(e + 1))).alias(f"r{e}") for e in range(edits + 1)))
+    # the arrays are part of the state: in the lambda itself they would be made anew at each step
+    start = F.struct(a.alias("a"), b.alias("b"), *(F.lit(sum(1 << edits + d for d in range(e + 1))).alias(f"r{e}") for e in range(edits + 1)))
 
     def step(state: Column, j: Column) -> Column:
-        mine = F.get(a, j)
+        mine = F.get(state["a"], j)
         match = F.lit(0)
         for d in range(width):
             there = j + (d - edits)
-            match = match + F.when((there >= 0) & (F.get(b, F.greatest(there, F.lit(0))) == mine), F.lit(1 << d)).otherwise(F.lit(0))
+            match = match + F.when((there >= 0) & (F.get(state["b"], F.greatest(there, F.lit(0))) == mine), F.lit(1 << d)).otherwise(F.lit(0))
         now: list[Column] = []
         for e, name in enumerate(names):
             old = state[name].bitwiseAND(match)
@@ -108,7 +109,7 @@ def edits_within(a: Column, b: Column, edits: int) -> Column:
                 less = state[names[e - 1]]
                 old = old.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(now[-1], 1)).bitwiseAND(full)
             now.append(old)
-        return F.struct(*(c.alias(n) for c, n in zip(now, names)))
+        return F.struct(state["a"].alias("a"), state["b"].alias("b"), *(c.alias(n) for c, n in zip(now, names)))
 
     last = F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), start, step, lambda s: s[names[-1]])
     diagonal = F.size(b) - F.size(a) + edits
