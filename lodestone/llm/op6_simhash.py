@@ -2,16 +2,25 @@
 
 *Fingerprints.*  A text is lower-cased (A-Z), cut into words, and its shingles
 (with repeats) are hashed by XXH64.  A fingerprint bit is one where over half
-the hashes have it.
+the hashes have it.  Wider fingerprints take further 64 bits from mixed hashes.
 
-*Candidates.*  The 64 bits are seven segments on a ring.  If two fingerprints
-differ in at most ``t`` bits, then from some segment on every chain of ``l``
-consecutive segments differs in at most ``l*t/7`` bits.  For ``t = 4`` the first
-segment of the chain is equal and of the two behind it at most one bit differs,
-so one of these is equal as well.  Each fingerprint is therefore dealt out under
-14 keys of 18 bits and more: its start segment with the next, and its start
-segment with the one after the next.  Within a key, pairs whose chain leaves its
-budgets anywhere on the ring are dropped before the full Hamming check.
+*Candidates.*  The bits are segments on a ring.  If two fingerprints differ in
+at most ``t`` bits of ``m`` segments, then from some segment on every chain of
+``l`` consecutive segments differs in at most ``l*t/m`` bits.
+
+``EXACT`` (64 bits, ``t = 4``, seven segments) loses no link: the first segment
+of the chain is equal and of the two behind it at most one bit differs, so one of
+these is equal as well.  Each fingerprint is dealt out under 14 keys of 18 bits
+and more: its start segment with the next, and with the one after the next.
+
+``WIDE`` (256 bits, ``t = 48``) is for shingle similarities of 0.8 and more: two
+such texts differ in 15 % of the bits or less, which 64 bits can't tell from
+unlike ones by few differences.  Each of the 24 segments is a key; a pair of
+similarity 0.8 shares one of them in 98 % of cases, a nearer one more surely.
+Larger corpora take wider segments and, for the same recall, more words.
+
+Within a key, pairs whose chain from there leaves its budgets are dropped before
+the full Hamming check.
 
 *Hot keys.*  Equal fingerprints are one entry from the start.  Keys are met as
 sorted runs.  A large run is explored from pivots: what a pivot reaches leaves
@@ -31,6 +40,7 @@ in the result.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,105 +53,141 @@ from .components import components
 
 SEED = 42
 SHINGLE_WORDS = 4
-MAX_BITS = 4
-SEGMENTS = (9, 9, 9, 9, 9, 9, 10)
-_FROM = tuple(sum(SEGMENTS[:i]) for i in range(len(SEGMENTS)))
 #: Runs up to this size are compared pair by pair.
 SMALL_RUN = 64
 #: Rows of sorted keys that are handled together.
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str, words_each: int = SHINGLE_WORDS) -> int:
-    """The 64-bit SimHash of a text; 0 without words."""
-    words = text.encode().lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    n = len(words) - words_each + 1
+@dataclass(frozen=True)
+class Ring:
+    """How fingerprints are compared.
+
+    ``words`` of 64 bits, the segments of each, the most bits that may differ, the
+    chain's length, and whether a key is the start segment with one of the next two
+    (which holds for budgets under 2/3 bit a segment) or the start segment alone.
+    """
+
+    words: int
+    widths: tuple[int, ...]
+    max_bits: int
+    chain: int
+    paired: bool
+
+    @property
+    def segments(self) -> list[tuple[int, int, int]]:
+        """(word, first bit, width) around the ring."""
+        return [(w, sum(self.widths[:i]), width) for w in range(self.words) for i, width in enumerate(self.widths)]
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"fp{w}" for w in range(self.words)]
+
+
+EXACT = Ring(words=1, widths=(9, 9, 9, 9, 9, 9, 10), max_bits=4, chain=7, paired=True)
+WIDE = Ring(words=4, widths=(11, 11, 11, 11, 10, 10), max_bits=48, chain=3, paired=False)
+
+
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """The hashes for a further word of a fingerprint (splitmix64)."""
+    if not word:
+        return hashes
+    x = hashes + np.uint64(word * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str, words_each: int = SHINGLE_WORDS, words: int = 1) -> np.ndarray:
+    """The SimHash of a text in words of 64 bits; 0 without words."""
+    tokens = text.encode().lower().split()
+    if not tokens:
+        return np.zeros(words, np.uint64)
+    joined = b" ".join(tokens)
+    n = len(tokens) - words_each + 1
     digest = xxhash.xxh64_intdigest
     if n < 2:
         hashes = [digest(joined, SEED)]
     else:
-        ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) + np.arange(len(words))).tolist()
+        ends = (np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))) + np.arange(len(tokens))).tolist()
         starts = [0, *(e + 1 for e in ends[: n - 1])]
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words_each - 1 :])]
-    total = np.zeros(64, np.int64)
+    total = np.zeros((words, 64), np.int64)
     for at in range(0, len(hashes), 1 << 16):  # long texts in parts
-        part = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+        part = np.array(hashes[at : at + (1 << 16)], "<u8")
+        for w in range(words):
+            bits = np.unpackbits(_mixed(part, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total[w] += bits.sum(0, dtype=np.int64)
+    return np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
-def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS, ring: Ring = EXACT) -> DataFrame:
+    """``doc_id`` and the fingerprint's words as signed longs."""
     common.tune(docs.sparkSession)
+    names, words = ["doc_id", *ring.columns], ring.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t, words_each) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
-
-    return common.texts_of(docs).mapInArrow(run, "doc_id long, fp long")
+            fps = np.array([fingerprint(t, words_each, words) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, words)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, w].view(np.int64)) for w in range(words))], names)
 
+    return common.texts_of(docs).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
-def _segment(fp, i: int):
-    """Segment ``i`` of a fingerprint column."""
-    return F.shiftrightunsigned(fp, _FROM[i]).bitwiseAND(F.lit((1 << SEGMENTS[i]) - 1))
 
-
-def ring_keys(fps: DataFrame) -> DataFrame:
-    """``(key, fp, node)``: each fingerprint under its 14 keys."""
-    m, fp = len(SEGMENTS), F.col("fp")
-    keys = []
+def ring_keys(fps: DataFrame, ring: Ring) -> DataFrame:
+    """``key, node`` and the words: each fingerprint under its keys."""
+    segments = [F.shiftrightunsigned(f"fp{w}", first).bitwiseAND(F.lit((1 << width) - 1)) for w, first, width in ring.segments]
+    m, keys = len(segments), []
     for i in range(m):
-        for second in (1, 2):
-            j = (i + second) % m
-            head = F.lit((2 * i + second - 1) << 40).cast("long")
-            keys.append(head + F.shiftleft(_segment(fp, i), 20) + _segment(fp, j))
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "fp", "node")
-
-
-def _chain_fits(start: np.ndarray, difference: np.ndarray) -> np.ndarray:
-    """Whether the chain from segment ``start`` keeps all its budgets on the ring."""
-    m = len(SEGMENTS)
-    masks = np.array([((1 << w) - 1) << f for w, f in zip(SEGMENTS, _FROM)], np.uint64)
-    fits, total = np.ones(len(difference), bool), np.zeros(len(difference), np.int64)
-    for length in range(1, m + 1):
-        total += np.bitwise_count(difference & masks[(start + length - 1) % m]).astype(np.int64)
-        fits &= total * m <= length * MAX_BITS
-    return fits
-
-
-def _links_of_run(start: int, fp: np.ndarray, node: np.ndarray) -> tuple[list, list]:
+        for second in (1, 2) if ring.paired else (1,):
+            key = F.lit((2 * i + second - 1) << 40).cast("long") + F.shiftleft(segments[i], 20)
+            keys.append(key + segments[(i + second) % m] if ring.paired else key)
+    return fps.select(F.explode(F.array(*keys)).alias("key"), "node", *ring.columns)
+
+
+def _near(ring: Ring, start: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which pairs keep the budgets of their chain and, in all, ``max_bits``."""
+    m, segments = len(ring.segments), ring.segments
+    word, mask = np.array([s[0] for s in segments]), np.array([((1 << s[2]) - 1) << s[1] for s in segments], np.uint64)
+    left, total = np.arange(len(one)), np.zeros(len(one), np.int64)
+    for length in range(1, ring.chain + 1):
+        at = (start[left] + length - 1) % m
+        difference = one[left, word[at]] ^ other[left, word[at]]
+        total = total + np.bitwise_count(difference & mask[at])
+        fits = total * m <= length * ring.max_bits
+        left, total = left[fits], total[fits]
+    whole = np.bitwise_count(one[left] ^ other[left]).sum(1, dtype=np.int64)
+    out = np.zeros(len(one), bool)
+    out[left[whole <= ring.max_bits]] = True
+    return out
+
+
+def _links_of_run(ring: Ring, start: int, fp: np.ndarray, node: np.ndarray) -> tuple[list, list]:
     """A spanning forest of the links within one large run."""
     one, other = [], []
-    open_fp, open_node = fp, node
-    while len(open_fp):
-        queue = [(open_fp[0], open_node[0])]
-        open_fp, open_node = open_fp[1:], open_node[1:]
-        while queue and len(open_fp):
+    while len(fp):
+        queue = [(fp[0], node[0])]
+        fp, node = fp[1:], node[1:]
+        while queue and len(fp):
             pivot, at = queue.pop()
-            difference = open_fp ^ pivot
-            near = _chain_fits(np.full(len(open_fp), start), difference)
-            near[near] = np.bitwise_count(difference[near]) <= MAX_BITS
+            near = _near(ring, np.full(len(fp), start), fp, np.broadcast_to(pivot, fp.shape))
             if near.any():
-                reached = open_node[near]
+                reached = node[near]
                 one += [at] * len(reached)
                 other += reached.tolist()
-                queue += zip(open_fp[near], reached)
-                open_fp, open_node = open_fp[~near], open_node[~near]
+                queue += zip(fp[near], reached)
+                fp, node = fp[~near], node[~near]
     return one, other
 
 
-def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[list, list]:
+def _links(ring: Ring, key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[list, list]:
     """Links among complete runs of equal keys."""
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
     one, other = [], []
     for k in np.flatnonzero(size > SMALL_RUN):
         part = slice(first[k], first[k] + size[k])
-        a, b = _links_of_run(int(key[first[k]] >> 41), fp[part], node[part])
+        a, b = _links_of_run(ring, int(key[first[k]] >> 41), fp[part], node[part])
         one += a
         other += b
     small = np.repeat(size, size)
@@ -150,9 +196,7 @@ def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[list, lis
     at, shift = np.arange(len(key)), 1
     while len(at := at[at + shift < len(key)]):
         at = at[key[at] == key[at + shift]]
-        difference = fp[at] ^ fp[at + shift]
-        near = at[_chain_fits(key[at] >> 41, difference)]
-        near = near[np.bitwise_count(fp[near] ^ fp[near + shift]) <= MAX_BITS]
+        near = at[_near(ring, key[at] >> 41, fp[at], fp[at + shift])]
         one += node[near].tolist()
         other += node[near + shift].tolist()
         shift += 1
@@ -177,26 +221,27 @@ def _forest(one: list, other: list) -> tuple[list, list]:
     return kept
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """``(u, v)``: nodes whose fingerprints lie within ``MAX_BITS``, as forests that
-    together connect what all such pairs connect.  ``fps(fp, node)`` is distinct."""
+def links(fps: DataFrame, ring: Ring = EXACT) -> DataFrame:
+    """``(u, v)``: nodes whose fingerprints are near, as forests that together
+    connect what all such pairs connect.  ``fps(node, words)`` is distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, ...]] = []
+        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         rows = 0
 
         def flush(last: bool):
             nonlocal waiting, rows
-            key, fp, node = (np.concatenate(x) for x in zip(*waiting))
+            key, node, fp = (np.concatenate(x) for x in zip(*waiting))
             cut = len(key) if last else int(np.searchsorted(key, key[-1]))
-            waiting, rows = ([] if last else [(key[cut:], fp[cut:], node[cut:])]), len(key) - cut
-            one, other = _forest(*_links(key[:cut], fp[:cut].view(np.uint64), node[:cut])) if cut else ([], [])
+            waiting, rows = ([] if last else [(key[cut:], node[cut:], fp[cut:])]), len(key) - cut
+            one, other = _forest(*_links(ring, key[:cut], fp[:cut], node[:cut])) if cut else ([], [])
             return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["u", "v"])
 
         limit = CHUNK
         for batch in batches:
             if batch.num_rows:
-                waiting.append(tuple(c.to_numpy() for c in batch.columns))
+                key, node, *fp = (c.to_numpy() for c in batch.columns)
+                waiting.append((key, node, np.stack(fp, axis=1).view(np.uint64)))
                 rows += batch.num_rows
                 if rows >= limit:
                     yield flush(False)
@@ -204,32 +249,33 @@ def links(fps: DataFrame) -> DataFrame:
         if waiting:
             yield flush(True)
 
-    keyed = ring_keys(fps)
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    return ring_keys(fps, ring).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, words_each: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id``, ``fingerprint``, ``component_id`` of every document."""
+def grouped(docs: DataFrame, words_each: int = SHINGLE_WORDS, ring: Ring = EXACT) -> DataFrame:
+    """``doc_id``, the fingerprint's words and ``component_id`` of every document."""
     common.shared_dir(docs.sparkSession)
-    all_fps = common.materialise(fingerprints(docs, words_each), "fingerprints")
-    fps = common.materialise(
-        all_fps.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct_fingerprints"
-    )
-    found = components(links(fps))
-    labelled = fps.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return all_fps.join(labelled, "fp", "left").select(
-        "doc_id",
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"),
-    )
-
-
-def keep_one(docs: DataFrame, words_each: int = 5) -> DataFrame:
-    """The document of the least id of every component, with all columns.
+    all_fps = common.materialise(fingerprints(docs, words_each, ring), "fingerprints")
+    fps = all_fps.filter("doc_id is not null").groupBy(*ring.columns).agg(F.min("doc_id").alias("node"))
+    fps = common.materialise(fps, "distinct_fingerprints")
+    found = components(links(fps, ring))
+    labelled = fps.join(found, "node", "left").select(*ring.columns, F.coalesce("component", "node").alias("component"))
+    met = all_fps.join(labelled, ring.columns, "left")
+    return met.select("doc_id", *ring.columns, F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``fingerprint``, ``component_id`` of every document."""
+    return grouped(docs).select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words_each: int = 5, ring: Ring = WIDE) -> DataFrame:
+    """The document of the least id of every component, with all columns; near
+    copies are texts of shingle similarity 0.8 and more.
 
     Rows without ``doc_id`` stay; of rows that repeat an id and a text one stays.
     """
-    gone = near_duplicates(docs, words_each).filter("doc_id <> component_id")
+    gone = grouped(docs, words_each, ring).filter("doc_id <> component_id")
     copy = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
     number = "__llm_copy"
     kept = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
