@@ -55,12 +55,15 @@ DIGEST_BYTES = 16
 #: Documents or nodes under one Merkle node of the manifest.
 FAN = 1024
 #: Words of one generation of a worker's store.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 #: White space as the vocabulary's own pattern has it, and nothing else.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
-#: A full stop or comma that the pattern could take together with what is before it.
-_MARKS_IN_A_ROW = re.compile(r"[^\s\w][.,]|_[.,]")
+#: Kinds of the Latin-1 characters: letters and digits, white space, full stop and
+#: comma, the separators that only Python takes for white space, and the rest.
+_KINDS = bytes(
+    ord("a" if c.isalnum() else "!" if "\x1c" <= c <= "\x1f" else " " if c.isspace() else "." if c in ".," else "#") for c in map(chr, range(256))
+)
 PIECE_ROW = "doc_id long, row long, seq int, digest binary, n int, payload binary"
 PIECE_NAMES = [x.split()[0] for x in PIECE_ROW.split(", ")]
 RECIPE_ROW = "doc_id long, n_tokens long, digests binary, root binary"
@@ -100,7 +103,7 @@ class WordIds:
 
     def _encode_letters(self, words: list[str]) -> list[bytes]:
         """Words of ASCII letters: each ends with the one end-of-word piece it has."""
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, self.kind)
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
         ends = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
         if len(ends) != len(words):
             return self._encode_others(words)
@@ -111,7 +114,7 @@ class WordIds:
         there before anything else."""
         if self.mark is None or any(m in w for w in words for m in self.marks):
             return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        ids = np.array(self.library.encode(self.mark.join(words), add_special_tokens=False).ids, self.kind)
+        ids = np.array(self.library.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, self.kind)
         ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
         return self._split(ids, [0, *(e + 1 for e in ends[:-1])], ends)
 
@@ -124,14 +127,14 @@ class WordIds:
         stands apart from a letter or digit before it, as in the vocabulary's
         pattern: fewer units for the same ids.
         """
-        if _ODD.search(text):
-            return [w for w in _SPACE.split(text) if w]
         try:
-            text.encode("latin-1")
+            kinds = text.encode("latin-1").translate(_KINDS)
         except UnicodeEncodeError:
-            return text.split()
+            return [w for w in _SPACE.split(text) if w] if _ODD.search(text) else text.split()
+        if b"!" in kinds:
+            return [w for w in _SPACE.split(text) if w]
         text = text.lower()
-        if not _MARKS_IN_A_ROW.search(text):
+        if b"#." not in kinds and b".." not in kinds:
             text = text.replace(".", " .").replace(",", " ,")
         return text.split()
 
@@ -236,21 +239,11 @@ def _pieces(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
 def _stored_once(pieces: DataFrame) -> DataFrame:
     """``pieces`` with one payload for each digest.  Rows with a payload meet under
     their digest; the others, however many, are dealt out by document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            digests, payloads = batch.column(3).to_pylist(), batch.column(5).to_pylist()
-            for i, (digest, payload) in enumerate(zip(digests, payloads)):
-                if payload is not None:
-                    if digest == last:
-                        payloads[i] = None
-                    last = digest
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(payloads, pa.binary())], PIECE_NAMES)
-
     place = F.when(F.col("payload").isNotNull(), F.xxhash64("digest")).otherwise(F.xxhash64("row", "seq"))
     dealt = pieces.withColumn("place", place).repartition("place")
-    return dealt.sortWithinPartitions("digest", "row", "seq").drop("place").mapInArrow(run, PIECE_ROW)
+    alike = Window.partitionBy("place", "digest").orderBy(F.col("payload").isNull(), "row", "seq")
+    first = F.row_number().over(alike) == 1
+    return dealt.select("doc_id", "row", "seq", "digest", "n", F.when(first, F.col("payload")).alias("payload"))
 
 
 def _recipes(chunks: DataFrame) -> DataFrame:
