@@ -6,7 +6,7 @@ becomes a source file.  The SQL text makes the same relations for the oracles.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -88,8 +88,6 @@ def call_sites(spark: SparkSession, sf_dir: str, reduced: bool = False) -> DataF
         F.lit("[unresolved]").alias("target"),
         *(F.col(c).alias(f"__{c}") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")),
     )
-    from pyspark.sql import Window
-
     order = Window.partitionBy("caller").orderBy("__l_orderkey", "__l_linenumber", "__l_partkey", "__l_suppkey", "raw")
     calls = calls.withColumn("ordinal", (F.row_number().over(order) - 1).cast("int"))
     return calls.select("file_path", "caller_ordinal", "caller", "ordinal", "raw", "line", "target")
@@ -101,6 +99,33 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.concat(F.lit("./doc"), F.col("doc_id").cast("string"), F.lit(".c")).alias("path"), F.lit("c").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+#: Language, path and head of a file, a function of number ``{n}`` in four lines, and
+#: the function's qualified name, scope and calls.
+GENERATED = {
+    "go": ("./n{f}/gen.go", "package n{f}\n", "func S{n}() {{\n\ts{n}.Half(one({n}))\n\tfmt.Println(`}}`)\n}}\n", "n{f}.S{n}", "public", "s{n}.Half one fmt.Println"),
+    "rust": ("./src/n{f}.rs", "// n{f}\n", "fn s{n}() -> i32 {{\n    let x = a::half({n});\n    println!(\"}}\"); x.go(one({n}))\n}}\n", "n{f}::s{n}", "internal", "a::half x.go one"),
+    "c": ("./n{f}.c", "/* n{f} */\n", "static int s{n}(void) {{\n  p->half({n}); // }}\n  return one(\"}}\");\n}}\n", "n{f}.s{n}", "internal", "p->half one"),
+}
+
+
+def generated_sources(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
+    """A source file for each nation, with a function for each supplier in it."""
+    path, head, body, *_ = GENERATED[lang]
+    fill = lambda text: F.replace(F.replace(F.lit(text.replace("{{", "{").replace("}}", "}")), F.lit("{f}"), F.col("f")), F.lit("{n}"), F.col("n"))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("f"), F.col("s_suppkey").alias("k"), F.col("s_suppkey").cast("string").alias("n"))
+    listed = F.array_sort(F.collect_list(F.struct("k", fill(body).alias("x"))))
+    files = rows.groupBy("f").agg(F.array_join(F.transform(listed, lambda r: r["x"]), "").alias("bodies"), F.lit("").alias("n"))
+    return files.select(fill(path).alias("path"), F.lit(lang).alias("lang"), F.concat(fill(head), "bodies").alias("text"))
+
+
+def generated_sql(lang: str) -> str:
+    path, _, _, qualified, scope, calls = GENERATED[lang]
+    fill = lambda text: "'" + text.replace("{f}", "' || s_nationkey || '").replace("{n}", "' || s_suppkey || '") + "'"
+    return f"""SELECT {fill(path)} AS file_path, {fill(qualified)} AS qualified_name, '{scope}' AS scope, {fill(calls)} AS calls,
+      (4 * row_number() OVER w - 2)::INT AS line_start, (4 * row_number() OVER w + 1)::INT AS line_end
+      FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)"""
+
+
 SQL = """
 fns AS (
   SELECT './n' || s_nationkey || '/sup.go' AS file_path, s_suppkey::INT AS ordinal, 's' || s_suppkey AS name,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.externals import categorized
 from ..functions.names import is_internal, last_segment, last_two_parts, line_slice, n_parts, package_of
 from ..operators import graph, resolve, search, summarize, trace
-from ..schemas import TYPES, VARIABLES
+from ..sources import extract
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -263,6 +263,16 @@ def language_route(spark, d):
     return paths.select("path", language_of("path").alias("lang"))
 
 
+def _extract(lang: str) -> Query:
+    def query(spark, d):
+        found = extract.extract(fx.generated_sources(spark, d, lang))
+        calls = extract.call_sites(found).groupBy("file_path", F.col("caller_ordinal").alias("ordinal")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "raw"))).alias("c"))
+        met = extract.functions(found).join(calls, ["file_path", "ordinal"], "left")
+        return met.select("file_path", "qualified_name", "scope", "line_start", "line_end", F.array_join(F.transform("c", lambda x: x["raw"]), " ").alias("calls"))
+
+    return query
+
+
 NAMES = """
 find_functions find_symbols_all find_symbols_kind extract_package raw_parts symbol_keys ambiguous_keys first_package resolve_calls
 resolve_by_parts categorize_externals externals_agg called_by call_stats index_stats files_stats internal_targets edges reverse_edges
@@ -273,6 +283,7 @@ preserve_summaries missing_summaries callee_context summary_batches duplicate_de
 
 def queries() -> dict[str, Query]:
     out = {name: globals()[name] for name in NAMES}
+    out |= {f"extract_{lang}": _extract(lang) for lang in fx.GENERATED}
     out |= {f"trace_forward_d{n}": _forward(n) for n in (1, 2, 3)}
     return out | {f"trace_backward_d{n}": _backward(n) for n in (1, 2)}
 
@@ -354,5 +365,6 @@ def oracle_sql() -> dict[str, str]:
         "extract_lines": lines,
         "language_route": "SELECT * FROM (VALUES ('a.go', 'go'), ('./b/c.rs', 'rust'), ('d.c', 'c'), ('e.h', 'c'), ('f.py', NULL), ('g', NULL), ('h.go.txt', NULL), ('.go', NULL), ('i.C', NULL)) t(path, lang)",
     }
+    out |= {f"extract_{lang}": fx.generated_sql(lang) for lang in fx.GENERATED}
     out |= {f"trace_forward_d{n}": _walk(_FORWARD, n) for n in (1, 2, 3)}
     return out | {f"trace_backward_d{n}": _walk(_BACKWARD, n) for n in (1, 2)}
