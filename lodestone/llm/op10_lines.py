@@ -9,13 +9,13 @@ than the edits before it and the edits left behind it allow.  So every line is
 indexed under its segments with ``L``, and probes, for each length from its own
 down to ``t`` less, the substrings at those few places: 12 for two edits.
 
-*Filter.*  The join's condition also compares a sketch: the counts of eight
+*Filter.*  The join's condition also compares a sketch: the counts of sixteen
 common letters in one long.  An edit changes them by two in all at most, so the
 sketch never rejects a link, and it rejects most pairs of a hot segment inside
 the join; the pairs of a group that shares a segment are not handed on.
 
-*Verification.*  Pairs that pass meet their texts and are compared by banded
-bit-parallel edit distance: for each number of edits a bit vector over the
+*Verification.*  Pairs that pass meet their texts, lose what they begin with in
+common, and are compared by banded bit-parallel edit distance: for each number of edits a bit vector over the
 ``2t + 1`` diagonals, advanced character by character.
 
 Lines count by their text: equal lines are one from the start.  They are told
@@ -40,7 +40,7 @@ from .components import components
 
 #: (least length, edits): lines from that length on.
 THRESHOLDS = ((10, 1), (40, 2))
-LETTERS = "etnhaoir"
+LETTERS = "etaoinshrdlucmwg"
 #: A document of which duplicate lines make this share of the characters is a
 #: copy and left to document deduplication.
 COPY_SHARE = 0.5
@@ -71,45 +71,66 @@ def _key(line: Column, length: Column, edits: int, segment: int, shift: int) ->
 
 
 def _sketch(line: Column) -> Column:
-    """Counts of the letters modulo 256, a byte for each."""
+    """Counts of the letters modulo 16, four bits for each."""
     out = F.lit(0).cast("long")
     for i, letter in enumerate(LETTERS):
-        count = F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(255).cast("long"), 8 * i))
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(count.bitwiseAND(15).cast("long"), 4 * i))
     return out
 
 
 def _sketch_distance(a: Column, b: Column) -> Column:
+    """No more than the sum of the counts' differences."""
     total = F.lit(0)
     for i in range(len(LETTERS)):
-        byte = lambda x: F.shiftrightunsigned(x, 8 * i).bitwiseAND(255)  # noqa: B023, E731
-        total = total + F.abs((byte(a) - byte(b) + 384) % 256 - 128)
+        part = lambda x: F.shiftrightunsigned(x, 4 * i).bitwiseAND(15)  # noqa: B023, E731
+        total = total + F.abs((part(a) - part(b) + 24).bitwiseAND(15) - 8)
     return total
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is made once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def equal_head(a: Column, b: Column, most: int = 1 << 20) -> Column:
+    """How many characters two texts begin with in common (``most`` at most)."""
+    steps = F.array(*(F.lit(1 << k) for k in range(most.bit_length() - 2, -1, -1)))
+    shorter = F.least(F.length(a), F.length(b))
+    grow = lambda n, k: F.when((n + k <= shorter) & (F.substr(a, F.lit(1), n + k) == F.substr(b, F.lit(1), n + k)), n + k).otherwise(n)
+    return F.aggregate(steps, F.lit(0), grow)
+
+
 def edits_within(a: Column, b: Column, edits: int) -> Column:
     """Whether at most ``edits`` edits lie between two arrays of characters."""
     width = 2 * edits + 1
     full = (1 << width) - 1
     names = [f"r{e}" for e in range(edits + 1)]
-    # bit d of r_e: the first j of a and the first j + d - edits of b are e edits apart at most
-    # the arrays are part of the state: in the lambda itself they would be made anew at each step
-    start = F.struct(a.alias("a"), b.alias("b"), *(F.lit(sum(1 << edits + d for d in range(e + 1))).alias(f"r{e}") for e in range(edits + 1)))
+    # bit d of r_e: the first j of a and the first j + d - edits of b are e edits apart at most;
+    # the arrays are part of the state, as in the lambda itself they would be made anew at each step
+    pack = lambda s, rows: F.struct(s["a"].alias("a"), s["b"].alias("b"), *(r.alias(n) for r, n in zip(rows, names)))
+    start = F.struct(a.alias("a"), b.alias("b"), *(F.lit(sum(1 << edits + d for d in range(e + 1))).alias(n) for e, n in enumerate(names)))
+
+    def matches(state: Column, j: Column) -> Column:
+        def of(mine: Column) -> Column:
+            out = F.lit(0)
+            for d in range(width):
+                there = j + (d - edits)
+                out = out + F.when((there >= 0) & (F.get(state["b"], F.greatest(there, F.lit(0))) == mine), F.lit(1 << d)).otherwise(F.lit(0))
+            return out
+
+        return _let(F.get(state["a"], j), of)
+
+    def rows(state: Column, match: Column, e: int, done: list[Column]) -> Column:
+        row = state[names[e]].bitwiseAND(match)
+        if e:
+            less = state[names[e - 1]]
+            row = row.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(done[-1], 1)).bitwiseAND(full)
+        return _let(row, lambda r: pack(state, [*done, r]) if e == edits else rows(state, match, e + 1, [*done, r]))
 
     def step(state: Column, j: Column) -> Column:
-        mine = F.get(state["a"], j)
-        match = F.lit(0)
-        for d in range(width):
-            there = j + (d - edits)
-            match = match + F.when((there >= 0) & (F.get(state["b"], F.greatest(there, F.lit(0))) == mine), F.lit(1 << d)).otherwise(F.lit(0))
-        now: list[Column] = []
-        for e, name in enumerate(names):
-            old = state[name].bitwiseAND(match)
-            if e:
-                less = state[names[e - 1]]
-                old = old.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(now[-1], 1)).bitwiseAND(full)
-            now.append(old)
-        return F.struct(state["a"].alias("a"), state["b"].alias("b"), *(c.alias(n) for c, n in zip(now, names)))
+        # once no diagonal is left there is nothing to advance
+        return F.when(state[names[-1]] == 0, state).otherwise(_let(matches(state, j), lambda m: rows(state, m, 0, [])))
 
     last = F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), start, step, lambda s: s[names[-1]])
     diagonal = F.size(b) - F.size(a) + edits
@@ -124,29 +145,33 @@ def _occurrences(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 def line_links(lines: DataFrame) -> DataFrame:
     """``(u, v)``, u < v: the links among ``lines(h, line)``, each once."""
-    distinct = lines.select("h", "line").groupBy("h").agg(F.min("line").alias("line"))
-    line, length = F.col("line"), F.length("line")
-    long_enough = distinct.filter(length >= THRESHOLDS[0][0])
+    # length and sketch are made once, before lines meet
+    measured = lines.select("h", "line", F.length("line").alias("n"), _sketch(F.col("line")).alias("sketch"))
+    distinct = measured.filter(F.col("n") >= THRESHOLDS[0][0]).groupBy("h").agg(*(F.min(c).alias(c) for c in ("line", "n", "sketch")))
+    line, length = F.col("line"), F.col("n")
     index, probes = [], []
     for _, edits in THRESHOLDS:
         index += [F.when(threshold(length) == edits, _key(line, length, edits, i, 0)) for i in range(edits + 1)]
         for less, i, shift in probe_places(edits):
             shorter = length - less
             probes.append(F.when(threshold(shorter) == edits, _key(line, shorter, edits, i, shift)))
-    sketch = _sketch(line).alias("sketch")
-    keyed = lambda keys, name: long_enough.select(F.col("h").alias(name), sketch.alias(f"{name}_sketch"), F.explode(F.array_compact(F.array(*keys))).alias("key"))
+    keyed = lambda keys, name: distinct.select(F.col("h").alias(name), F.col("sketch").alias(f"{name}_sketch"), F.explode(F.array_compact(F.array(*keys))).alias("key"))
     most = max(edits for _, edits in THRESHOLDS)
     a, b = keyed(probes, "a"), keyed(index, "b")
     near = a.join(b, (a["key"] == b["key"]) & (F.col("a") != F.col("b")) & (_sketch_distance(F.col("a_sketch"), F.col("b_sketch")) <= 2 * most))
     pairs = near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    met = pairs.join(distinct.select(F.col("h").alias("u"), F.col("line").alias("x")), "u")
-    met = met.join(distinct.select(F.col("h").alias("v"), F.col("line").alias("y")), "v")
-    chars = met.select("u", "v", F.split("x", "").alias("x"), F.split("y", "").alias("y"))
-    shorter = F.least(F.size("x"), F.size("y"))
+    end = lambda name, text: distinct.select(F.col("h").alias(name), F.col("line").alias(text), F.col("n").alias(f"{text}_n"), F.col("sketch").alias(f"{text}_s"))
+    met = pairs.join(end("u", "x"), "u").join(end("v", "y"), "v")
+    allowed = threshold(F.least("x_n", "y_n"))
+    met = met.filter((F.abs(F.col("x_n") - F.col("y_n")) <= allowed) & (_sketch_distance(F.col("x_s"), F.col("y_s")) <= 2 * allowed))
     close = F.lit(False)
     for _, edits in THRESHOLDS:
-        close = F.when(threshold(shorter) == edits, edits_within(F.col("x"), F.col("y"), edits)).otherwise(close)
-    return chars.filter(close).select("u", "v")
+        close = F.when(allowed == edits, edits_within(F.split("x", ""), F.split("y", ""), edits)).otherwise(close)
+    # what both begin with in common needs no edit; one character keeps the texts from being empty
+    head = F.greatest(equal_head(F.col("x"), F.col("y")) - 1, F.lit(0))
+    cut = met.select("u", "v", "x_n", "y_n", "x", "y", head.alias("head"))
+    cut = cut.select("u", "v", "x_n", "y_n", *(F.substr(c, F.col("head") + 1).alias(c) for c in ("x", "y")))
+    return cut.filter(close).select("u", "v")
 
 
 def _classed(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
