@@ -74,6 +74,8 @@ ARTICLE_PARTS = {"body", "content", "text", "main"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 ARTICLE, FURNITURE, LINKS, HEADING = 1, 2, 4, 8
+#: Bits of an alignment that are held at once.
+MOST_BITS = 1 << 28
 
 
 def _kind(name: str, rest: str, above: int) -> int:
@@ -256,7 +258,7 @@ def _subsequence(a: list[int], b: list[int]) -> list[int]:
     """Places in ``a`` of a longest common subsequence with ``b``."""
     if not a or not b:
         return []
-    if len(a) * len(b) > 1 << 28 and len(b) > 1:
+    if len(a) * len(b) > MOST_BITS and len(b) > 1:
         half = len(b) // 2
         first, second = _lengths(a, b[:half]), _lengths(a[::-1], b[half:][::-1])
         cut = max(range(len(a) + 1), key=lambda i: first[i] + second[len(a) - i])
