@@ -106,31 +106,30 @@ def edits_within(a: Column, b: Column, edits: int) -> Column:
     width = 2 * edits + 1
     full = (1 << width) - 1
     names = [f"r{e}" for e in range(edits + 1)]
-    # bit d of r_e: the first j of a and the first j + d - edits of b are e edits apart at most;
-    # the arrays are part of the state, as in the lambda itself they would be made anew at each step
-    pack = lambda s, rows: F.struct(s["a"].alias("a"), s["b"].alias("b"), *(r.alias(n) for r, n in zip(rows, names)))
-    start = F.struct(a.alias("a"), b.alias("b"), *(F.lit(sum(1 << edits + d for d in range(e + 1))).alias(n) for e, n in enumerate(names)))
+    # bit d of r_e: the first j of a and the first j + d - edits of b are e edits apart at most
+    pack = lambda rows: F.struct(*(r.alias(n) for r, n in zip(rows, names)))
+    start = pack([F.lit(sum(1 << edits + d for d in range(e + 1))) for e in range(edits + 1)])
 
-    def matches(state: Column, j: Column) -> Column:
+    def matches(j: Column) -> Column:
         def of(mine: Column) -> Column:
             out = F.lit(0)
             for d in range(width):
                 there = j + (d - edits)
-                out = out + F.when((there >= 0) & (F.get(state["b"], F.greatest(there, F.lit(0))) == mine), F.lit(1 << d)).otherwise(F.lit(0))
+                out = out + F.when((there >= 0) & (F.get(b, F.greatest(there, F.lit(0))) == mine), F.lit(1 << d)).otherwise(F.lit(0))
             return out
 
-        return _let(F.get(state["a"], j), of)
+        return _let(F.get(a, j), of)
 
     def rows(state: Column, match: Column, e: int, done: list[Column]) -> Column:
         row = state[names[e]].bitwiseAND(match)
         if e:
             less = state[names[e - 1]]
             row = row.bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(done[-1], 1)).bitwiseAND(full)
-        return _let(row, lambda r: pack(state, [*done, r]) if e == edits else rows(state, match, e + 1, [*done, r]))
+        return _let(row, lambda r: pack([*done, r]) if e == edits else rows(state, match, e + 1, [*done, r]))
 
     def step(state: Column, j: Column) -> Column:
         # once no diagonal is left there is nothing to advance
-        return F.when(state[names[-1]] == 0, state).otherwise(_let(matches(state, j), lambda m: rows(state, m, 0, [])))
+        return F.when(state[names[-1]] == 0, state).otherwise(_let(matches(j), lambda m: rows(state, m, 0, [])))
 
     last = F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), start, step, lambda s: s[names[-1]])
     diagonal = F.size(b) - F.size(a) + edits
@@ -164,26 +163,29 @@ def line_links(lines: DataFrame) -> DataFrame:
     met = pairs.join(end("u", "x"), "u").join(end("v", "y"), "v")
     allowed = threshold(F.least("x_n", "y_n"))
     met = met.filter((F.abs(F.col("x_n") - F.col("y_n")) <= allowed) & (_sketch_distance(F.col("x_s"), F.col("y_s")) <= 2 * allowed))
-    close = F.lit(False)
-    for _, edits in THRESHOLDS:
-        close = F.when(allowed == edits, edits_within(F.split("x", ""), F.split("y", ""), edits)).otherwise(close)
     # what both begin with in common needs no edit; one character keeps the texts from being empty
     head = F.greatest(equal_head(F.col("x"), F.col("y")) - 1, F.lit(0))
-    cut = met.select("u", "v", "x_n", "y_n", "x", "y", head.alias("head"))
-    cut = cut.select("u", "v", "x_n", "y_n", *(F.substr(c, F.col("head") + 1).alias(c) for c in ("x", "y")))
-    return cut.filter(close).select("u", "v")
+    ends = lambda n: F.struct(F.split(F.substr("x", n + 1), "").alias("x"), F.split(F.substr("y", n + 1), "").alias("y"))
+    # exploded, the arrays are made once; as plain expressions they would be made anew at every step
+    chars = met.select("u", "v", allowed.alias("allowed"), F.explode(F.transform(F.array(head), ends)).alias("s"))
+    close = F.lit(False)
+    for _, edits in THRESHOLDS:
+        close = F.when(F.col("allowed") == edits, edits_within(F.col("s.x"), F.col("s.y"), edits)).otherwise(close)
+    return chars.filter(close).select("u", "v")
 
 
 def _classed(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Places of lines with ``label`` (their class) and ``first``, where it
-    begins; and the links."""
+    """Places of lines with ``first``, where their class begins; and the links."""
     links = common.materialise(line_links(lines), "line_links")
     labels = components(links)
     places = lines.select(*keys, "line_no", "h")
-    labelled = places.join(labels.select(F.col("node").alias("h"), "component"), "h", "left")
-    labelled = labelled.withColumn("label", F.coalesce("component", "h")).drop("component")
-    first = labelled.groupBy("label").agg(F.min(F.struct(*keys, "line_no")).alias("first"))
-    return labelled.join(first, "label"), links
+    first = places.groupBy("h").agg(F.min(F.struct(*keys, "line_no")).alias("first"))
+    # only linked lines take part in classes of several
+    members = labels.join(first, F.col("node") == F.col("h")).select("h", "component", "first")
+    begins = members.groupBy("component").agg(F.min("first").alias("class_first"))
+    linked = members.join(begins, "component").select("h", "class_first")
+    met = places.join(first, "h").join(linked, "h", "left")
+    return met.select(*keys, "line_no", "h", F.coalesce("class_first", "first").alias("first")), links
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
