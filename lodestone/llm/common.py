@@ -90,6 +90,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer by as much as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(docs: DataFrame, column: str = "text") -> DataFrame:
     """``doc_id`` and ``text`` alone; a null text reads as the empty text."""
     return docs.select(

@@ -220,19 +220,20 @@ def strip_lines(docs: DataFrame) -> DataFrame:
     keys = ["doc_id", "content"]
     classed, _ = _classed(_occurrences(keyed, keys), keys)
     earlier = (F.struct(*keys, "line_no") != F.col("first"))
-    gone = classed.filter(earlier).groupBy(*keys).agg(F.array_sort(F.collect_set("line_no")).alias("__llm_gone"))
-    named = gone.select(F.col("doc_id").alias("__llm_id"), F.col("content").alias("__llm_content"), "__llm_gone")
-    met = docs.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col("__llm_id")) & (F.xxhash64("text") == F.col("__llm_content")), "left")
+    id_, content, gone_at, text = (common.unused(docs, f"__llm_{x}") for x in ("id", "content", "gone", "text"))
+    gone = classed.filter(earlier).groupBy(*keys).agg(F.array_sort(F.collect_set("line_no")).alias(gone_at))
+    named = gone.select(F.col("doc_id").alias(id_), F.col("content").alias(content), gone_at)
+    met = docs.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(content)), "left")
     parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__llm_gone", i.cast("long"))), "\n")
-    changed = F.col("__llm_gone").isNotNull() & (F.length(kept) > F.length("text") * (1 - COPY_SHARE))
-    met = met.withColumn("__llm_text", F.when(changed, kept))
+    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(gone_at, i.cast("long"))), "\n")
+    changed = F.col(gone_at).isNotNull() & (F.length(kept) > F.length("text") * (1 - COPY_SHARE))
+    met = met.withColumn(text, F.when(changed, kept))
     columns = []
     for c in docs.columns:
         if c == "text":
-            columns.append(F.coalesce("__llm_text", "text").alias(c))
+            columns.append(F.coalesce(text, "text").alias(c))
         elif c == "n_chars":
-            columns.append(F.when(F.col("__llm_text").isNotNull(), F.length("__llm_text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
+            columns.append(F.when(F.col(text).isNotNull(), F.length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
         else:
             columns.append(F.col(c))
     return met.select(*columns)

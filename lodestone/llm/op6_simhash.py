@@ -277,7 +277,7 @@ def keep_one(docs: DataFrame, words_each: int = 5, ring: Ring = WIDE) -> DataFra
     """
     gone = grouped(docs, words_each, ring).filter("doc_id <> component_id")
     copy = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    number = "__llm_copy"
+    number = common.unused(docs, "__llm_copy")
     kept = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
     kept = kept.withColumn(number, F.row_number().over(copy))
     return kept.filter(F.col("doc_id").isNull() | (F.col(number) == 1)).select(*docs.columns)

@@ -18,13 +18,13 @@ def prose(seed: int, n: int) -> str:
 
 
 #: Columns that operators use inside.
-CLASH = "key int, h int, line int, node int, fp0 int, content int, copies int, place int, row int, label int, u int, v int, block int, host int, path int, __llm_id int"
+CLASH = "key int, h int, line int, node int, fp0 int, content int, copies int, place int, row int, label int, u int, v int, block int, host int, path int, __llm_id int, __llm_copy int"
 
 
 @pytest.fixture(scope="session")
 def odd_rows():
     """(doc_id, text): null, empty, blank, very long, repeated, tied, without words."""
-    long_text = prose(1, 30_000)
+    long_text = prose(1, 20_000)
     return [
         (1, None),
         (2, ""),
