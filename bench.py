@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 from lodestone.plans.queries import queries  # noqa: E402
 
 HEADLINE = ["symbol_keys", "resolve_calls", "externals_agg", "called_by", "scc", "rank_levels", "trace_forward_d2", "trace_forward_d3", "find_symbols_all", "extract_go"]
-RUNS = 3
+RUNS = 2
 
 
 def main() -> None:
