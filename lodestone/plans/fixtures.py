@@ -57,11 +57,9 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 OTHERS = ("printf", "sys_openat", "ARRAY_SIZE", "pr_err", "fmt.Println", "close", "mystery_fn")
 
 
-def call_sites(spark: SparkSession, sf_dir: str, reduced: bool = False) -> DataFrame:
-    """A call for each line item; ``reduced`` keeps few for each caller."""
+def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call for each line item."""
     lineitem = table(spark, sf_dir, "lineitem")
-    if reduced:
-        lineitem = lineitem.filter("l_linenumber = 1 AND l_quantity <= 5")
     supplier, part = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
     mine = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("own"))
     halved = supplier.select(F.col("s_suppkey").alias("half"), F.col("s_nationkey").alias("other"))

@@ -17,9 +17,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 ROOT = "s7"
 
 
-def _resolved(spark: SparkSession, d: str, reduced: bool = False) -> tuple[DataFrame, DataFrame]:
+def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     functions = fx.functions(spark, d)
-    return functions, resolve.resolve_calls(functions, fx.call_sites(spark, d, reduced))
+    return functions, resolve.resolve_calls(functions, fx.call_sites(spark, d))
 
 
 def _joined(c: str) -> F.Column:
@@ -185,7 +185,7 @@ def _shown(rows):
 
 def _forward(depth: int) -> Query:
     def query(spark, d):
-        functions, resolved = _resolved(spark, d, True)
+        functions, resolved = _resolved(spark, d)
         return _shown(trace.trace_forward(functions, resolved, _roots(functions), depth)).drop("line_text")
 
     return query
@@ -193,28 +193,27 @@ def _forward(depth: int) -> Query:
 
 def _backward(depth: int) -> Query:
     def query(spark, d):
-        functions, resolved = _resolved(spark, d, True)
+        functions, resolved = _resolved(spark, d)
         return _shown(trace.trace_backward(functions, resolved, _roots(functions), depth)).drop("line_text")
 
     return query
 
 
 def trace_cycles(spark, d):
-    functions, resolved = _resolved(spark, d, True)
-    roots = functions.filter("receiver IS NULL AND ordinal <= 20")
-    rows = trace.trace_forward(functions, resolved, roots, 2)
+    functions, resolved = _resolved(spark, d)
+    rows = trace.trace_forward(functions, resolved, functions, 2)
     return rows.filter("row_kind = 'cycle'").groupBy("root", "node").agg(F.count("*").alias("n"))
 
 
 def trace_first_external(spark, d):
-    functions, resolved = _resolved(spark, d, True)
+    functions, resolved = _resolved(spark, d)
     rows = trace.trace_forward(functions, resolved, _roots(functions), 2).filter("row_kind = 'external'")
     first = F.row_number().over(Window.partitionBy("root", "root_file", "node").orderBy("sort_path"))
     return rows.withColumn("r", first).filter("r = 1").select("root", "node", F.array_join(F.transform("sort_path", lambda x: x.cast("string")), ".").alias("place"))
 
 
 def trace_lines(spark, d):
-    functions, resolved = _resolved(spark, d, True)
+    functions, resolved = _resolved(spark, d)
     return _shown(trace.trace_forward(functions, resolved, _roots(functions), 1)).select("place", F.regexp_replace("line_text", ' : ".*"$', "").alias("line_text"))
 
 
@@ -230,7 +229,7 @@ def missing_summaries(spark, d):
 
 
 def callee_context(spark, d):
-    functions, resolved = _resolved(spark, d, True)
+    functions, resolved = _resolved(spark, d)
     functions = functions.withColumn("summary", F.when(F.col("receiver").isNull(), F.concat(F.lit("does "), "name")))
     found = summarize.callee_context(functions, resolved)
     return found.select("qualified_name", F.array_join(F.transform("callee_context", lambda x: F.concat_ws("=", x["name"], x["summary"])), ";").alias("context"))
