@@ -28,6 +28,9 @@ the open set and becomes a pivot itself, so a group of near copies ends after a
 few pivots and gives a spanning tree of links and not all pairs.  No link
 between components is lost and nothing is capped.
 
+*Verification.*  What the pipeline drops is compared by its true shingles with
+the document that stays; fingerprints alone drop nothing but equal texts.
+
 *Components.*  Links are between fingerprints' least documents; see
 ``components``.
 
@@ -41,6 +44,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +54,14 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .shingles import content_of, shingle_sets, similar
 
 SEED = 42
 SHINGLE_WORDS = 4
 #: Runs up to this size are compared pair by pair.
 SMALL_RUN = 64
+#: Rounds in which candidates are compared with the one of the least id alone.
+ROUNDS = 3
 #: Rows of sorted keys that are handled together.
 CHUNK = 1 << 16
 
@@ -180,18 +187,19 @@ def _links_of_run(ring: Ring, start: int, fp: np.ndarray, node: np.ndarray) -> t
     return one, other
 
 
-def _links(ring: Ring, key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[list, list]:
-    """Links among complete runs of equal keys."""
+def _links(ring: Ring, key: np.ndarray, fp: np.ndarray, node: np.ndarray, small_run: int | None = None) -> tuple[list, list]:
+    """Links among complete runs of equal keys: all of runs up to ``small_run``."""
+    small_run = SMALL_RUN if small_run is None else small_run
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
     one, other = [], []
-    for k in np.flatnonzero(size > SMALL_RUN):
+    for k in np.flatnonzero(size > small_run):
         part = slice(first[k], first[k] + size[k])
         a, b = _links_of_run(ring, int(key[first[k]] >> 41), fp[part], node[part])
         one += a
         other += b
     small = np.repeat(size, size)
-    small = (small > 1) & (small <= SMALL_RUN)
+    small = (small > 1) & (small <= small_run)
     key, fp, node = key[small], fp[small], node[small]
     at, shift = np.arange(len(key)), 1
     while len(at := at[at + shift < len(key)]):
@@ -221,9 +229,13 @@ def _forest(one: list, other: list) -> tuple[list, list]:
     return kept
 
 
-def links(fps: DataFrame, ring: Ring = EXACT) -> DataFrame:
+def links(fps: DataFrame, ring: Ring = EXACT, forest: bool = True) -> DataFrame:
     """``(u, v)``: nodes whose fingerprints are near, as forests that together
-    connect what all such pairs connect.  ``fps(node, words)`` is distinct."""
+    connect what all such pairs connect, or else all such pairs.
+    ``fps(node, words)`` is distinct."""
+
+    def near(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[list, list]:
+        return _forest(*_links(ring, key, fp, node)) if forest else _links(ring, key, fp, node, len(key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -234,7 +246,7 @@ def links(fps: DataFrame, ring: Ring = EXACT) -> DataFrame:
             key, node, fp = (np.concatenate(x) for x in zip(*waiting))
             cut = len(key) if last else int(np.searchsorted(key, key[-1]))
             waiting, rows = ([] if last else [(key[cut:], node[cut:], fp[cut:])]), len(key) - cut
-            one, other = _forest(*_links(ring, key[:cut], fp[:cut], node[:cut])) if cut else ([], [])
+            one, other = near(key[:cut], fp[:cut], node[:cut]) if cut else ([], [])
             return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["u", "v"])
 
         limit = CHUNK
@@ -269,16 +281,64 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def _labelled(entries: DataFrame, ring: Ring) -> DataFrame:
+    """``entries`` with the ``component`` of their fingerprint."""
+    fps = common.materialise(entries.groupBy(*ring.columns).agg(F.min("content").alias("node")), "distinct_fingerprints")
+    found = components(links(fps, ring))
+    labels = fps.join(found, "node", "left").select(*ring.columns, F.coalesce("component", "node").alias("component"))
+    return entries.join(labels, ring.columns)
+
+
+def _verified(docs: DataFrame, entries: DataFrame, words_each: int, ring: Ring) -> DataFrame:
+    """``content`` of the ``entries(content, id, words)`` that are near copies by
+    true shingle similarity of one that stays.
+
+    The entry of the least id of a component stays and is compared with all others
+    of it; what isn't similar to it is linked anew without it.  So a large group
+    is compared with few.  What ``ROUNDS`` rounds leave is compared pair by pair,
+    and components are formed of verified links alone.
+    """
+    gone, sets, rest = [], None, entries
+    for _ in range(ROUNDS):
+        labelled = common.materialise(_labelled(rest, ring), "labelled")
+        least = labelled.groupBy("component").agg(F.min(F.struct("id", "content")).alias("least"), F.count("*").alias("n")).filter("n > 1")
+        met = labelled.join(least, "component").select("content", "id", *ring.columns, F.col("least.content").alias("stays"))
+        if sets is None:
+            sets = shingle_sets(docs, met.select("content"), words_each)
+        others = met.filter("content <> stays")
+        found = similar(others.select(F.col("stays").alias("a"), F.col("content").alias("b")), sets)
+        gone.append(common.materialise(found.select(F.col("b").alias("content")), "gone"))
+        rest = common.materialise(others.drop("stays").join(gone[-1], "content", "left_anti"), "rest")
+        if not rest.limit(1).count():
+            break
+    else:
+        pairs = links(rest.select(F.col("content").alias("node"), *ring.columns), ring, forest=False).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        found = components(similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets).select(F.col("a").alias("u"), F.col("b").alias("v")))
+        named = rest.join(found, rest["content"] == F.col("node")).select("content", "id", "component")
+        least = named.groupBy("component").agg(F.min(F.struct("id", "content")).alias("least"))
+        gone.append(named.join(least, "component").filter(F.col("content") != F.col("least.content")).select("content"))
+    return reduce(DataFrame.unionByName, gone)
+
+
 def keep_one(docs: DataFrame, words_each: int = 5, ring: Ring = WIDE) -> DataFrame:
-    """The document of the least id of every component, with all columns; near
-    copies are texts of shingle similarity 0.8 and more.
+    """``docs`` without near copies of a document that stays, with all columns;
+    near copies are texts of shingle similarity 0.8 and more.  Fingerprints
+    propose pairs, and each is verified by its shingles before one goes.
 
-    Rows without ``doc_id`` stay; of rows that repeat an id and a text one stays.
+    Of equal texts the least id stays.  Rows without ``doc_id`` stay; of rows that
+    repeat an id and a text one stays.
     """
-    gone = grouped(docs, words_each, ring).filter("doc_id <> component_id")
-    copy = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    number = common.unused(docs, "__llm_copy")
-    kept = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    common.shared_dir(docs.sparkSession)
+    known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), content_of().alias("content"), "text")
+    fps = fingerprints(known.select(F.col("content").alias("doc_id"), "text"), words_each, ring)
+    fps = fps.groupBy(F.col("doc_id").alias("content")).agg(*(F.min(c).alias(c) for c in ring.columns))
+    ids = known.select("id", "content").distinct()
+    entries = common.materialise(fps.join(ids.groupBy("content").agg(F.min("id").alias("id")), "content"), "fingerprints")
+    stays = entries.select("id", "content").join(_verified(docs, entries, words_each, ring), "content", "left_anti")
+    id_, content, number = (common.unused(docs, f"__llm_{x}") for x in ("id", "content", "copy"))
+    gone = ids.join(stays, ["id", "content"], "left_anti").select(F.col("id").alias(id_), F.col("content").alias(content))
+    copy = Window.partitionBy(F.col("doc_id").cast("long"), content_of()).orderBy(F.lit(0))
+    kept = docs.join(gone, (F.col("doc_id").cast("long") == F.col(id_)) & (content_of() == F.col(content)), "left_anti")
     kept = kept.withColumn(number, F.row_number().over(copy))
     return kept.filter(F.col("doc_id").isNull() | (F.col(number) == 1)).select(*docs.columns)
 

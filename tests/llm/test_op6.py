@@ -7,6 +7,7 @@ import xxhash
 
 from lodestone.llm import components as graph
 from lodestone.llm import op6_simhash as op
+from lodestone.llm import shingles
 
 from .conftest import prose
 
@@ -134,3 +135,44 @@ def test_keep_one(spark, odd, odd_rows):
     ids = sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect())
     # of 1-3 (no words) one, of 5, 5, 6 one (10 has the same words), of 30-33 one; rows without an id stay
     assert ids == [-1, -1, 1, 4, 5, 7, 8, 9, 11, 30, 34, 35]
+
+
+def jaccard(a, b):
+    sets = []
+    for text in (a, b):
+        words = WORD.findall(text.translate(LOWER))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_shingle_similarity(spark):
+    base = prose(53, 90)
+    texts = ["", " \n", "One two", "one  TWO", base, changed(base, 1, 1), changed(base, 6, 2), base + "\n" + base, "a b c d " * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("content", shingles.content_of())
+    name = {r.doc_id: r.content for r in docs.collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    sets = shingles.shingle_sets(docs, docs.select("content"))
+    for least in (0.3, 0.8, 1.0):
+        got = shingles.similar(spark.createDataFrame([(name[i], name[j]) for i, j in pairs], "a long, b long"), sets, least).collect()
+        assert {(r.a, r.b) for r in got} == {(name[i], name[j]) for i, j in pairs if jaccard(texts[i], texts[j]) >= least}
+
+
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_keep_one_drops_near_copies_alone(spark, rounds, monkeypatch):
+    """Similarities of 0.6 to 0.8 are within the fingerprints' reach and stay."""
+    monkeypatch.setattr(op, "ROUNDS", rounds)
+    rows = []
+    for g in range(40):
+        base = prose(200 + g, 200)
+        texts = [base, changed(base, 5 + g % 6, g), changed(base, 8, 50 + g), changed(changed(base, 8, 50 + g), 1, g)]
+        rows += [(10 * g + k, t) for k, t in enumerate(texts)]
+    fps = {i: op.fingerprint(t, 5, 4) for i, t in rows}
+    reach = lambda i, j: np.bitwise_count(fps[i] ^ fps[j]).sum() <= 48
+    text = dict(rows)
+    pairs = [(i, j) for i in text for j in text if i < j and i // 10 == j // 10]
+    assert sum(reach(i, j) and jaccard(text[i], text[j]) < 0.8 for i, j in pairs) > 5
+    kept = {r.doc_id for r in op.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for j in set(text) - kept:
+        assert any(jaccard(text[i], text[j]) >= 0.8 for i in text if i < j and i // 10 == j // 10)
+    for i, j in pairs:
+        assert not (i in kept and j in kept and jaccard(text[i], text[j]) >= 0.88)
