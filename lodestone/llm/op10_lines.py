@@ -37,12 +37,13 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .shingles import content_of, shingle_sets, similar
 
 #: (least length, edits): lines from that length on.
 THRESHOLDS = ((10, 1), (40, 2))
 LETTERS = "etaoinshrdlucmwg"
-#: A document of which duplicate lines make this share of the characters is a
-#: copy and left to document deduplication.
+#: A document of which duplicate lines make this share of the characters may be
+#: a copy; it is compared with the document that most of them begin in.
 COPY_SHARE = 0.5
 
 
@@ -174,18 +175,19 @@ def line_links(lines: DataFrame) -> DataFrame:
     return chars.filter(close).select("u", "v")
 
 
-def _classed(lines: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Places of lines with ``first``, where their class begins; and the links."""
+def _classed(lines: DataFrame, keys: list[str], more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Places of lines with ``first``, where their class begins, and the columns
+    ``more``; and the links."""
     links = common.materialise(line_links(lines), "line_links")
     labels = components(links)
-    places = lines.select(*keys, "line_no", "h")
+    places = lines.select(*keys, "line_no", "h", *more)
     first = places.groupBy("h").agg(F.min(F.struct(*keys, "line_no")).alias("first"))
     # only linked lines take part in classes of several
     members = labels.join(first, F.col("node") == F.col("h")).select("h", "component", "first")
     begins = members.groupBy("component").agg(F.min("first").alias("class_first"))
     linked = members.join(begins, "component").select("h", "class_first")
     met = places.join(first, "h").join(linked, "h", "left")
-    return met.select(*keys, "line_no", "h", F.coalesce("class_first", "first").alias("first")), links
+    return met.select(*keys, "line_no", "h", *more, F.coalesce("class_first", "first").alias("first")), links
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -208,26 +210,57 @@ def line_classes(docs: DataFrame) -> DataFrame:
     )
 
 
+def _repeats(classed: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, total, sources`` of each document with repeated lines: its characters
+    and, by the document that repeated lines begin in, their characters, those to
+    take out, and those to take out of a copy of that document."""
+    own = F.struct("first.doc_id", "first.content").eqNullSafe(F.struct(*keys))
+    classes = classed.repartition(*keys).groupBy(*keys, "first").agg(F.array_sort(F.collect_set("line_no")).alias("at"), F.max("n").alias("n"))
+    again = F.slice("at", 2, F.size("at"))
+    classes = classes.select(*keys, F.col("first.doc_id").alias("of"), F.col("first.content").alias("of_content"), own.alias("own"), (F.col("n") * F.size("at")).alias("n"), again.alias("again"), F.when(own, again).otherwise(F.col("at")).alias("gone"))
+    by = classes.groupBy(*keys, "of", "of_content", "own").agg(F.sum("n").alias("total"), F.sum(F.when(F.size("gone") > 0, F.col("n")).otherwise(0)).alias("n"), F.flatten(F.collect_list("gone")).alias("gone"), F.flatten(F.collect_list("again")).alias("again"))
+    source = F.when(F.size("gone") > 0, F.struct("n", "of", "of_content", "own", "gone", "again"))
+    return by.groupBy(*keys).agg(F.sum("total").alias("total"), F.collect_list(source).alias("sources")).filter(F.size("sources") > 0)
+
+
+def _gone(docs: DataFrame, classed: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, gone``: the lines to take out of each document.
+
+    From a verified copy of a document go the lines that go from that one as well;
+    the others stay, each once, so that both remain alike.
+    """
+    found = common.materialise(_repeats(classed, keys), "repeats")
+    others = F.filter("sources", lambda s: ~s["own"])
+    repeated = F.aggregate("sources", F.lit(0).cast("long"), lambda n, s: n + s["n"])
+    best = F.when(repeated >= F.col("total") * COPY_SHARE, F.array_max(F.transform(others, lambda s: F.struct(s["n"], s["of_content"]))))
+    found = found.withColumn("source", best["of_content"])
+    pairs = found.filter("source is not null").select(F.col("content").alias("a"), F.col("source").alias("b")).distinct()
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("content")))
+    copies = similar(pairs, sets).select(F.col("a").alias("content"), F.col("b").alias("source"), F.lit(True).alias("copy"))
+    met = found.join(copies, ["content", "source"], "left")
+    out = F.transform("sources", lambda s: F.when(F.col("copy") & (s["of_content"] == F.col("source")), s["again"]).otherwise(s["gone"]))
+    return met.select(*keys, F.flatten(out).alias("gone")).filter(F.size("gone") > 0)
+
+
 def strip_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with every line taken out whose class begins at an earlier place.
 
-    A document that duplicate lines make up by ``COPY_SHARE`` or more stays whole:
-    it is a copy, which document deduplication has to see.  ``n_chars``, if there
-    is one, is counted anew where lines were taken out.
+    A copy keeps the lines that begin in its source, which document deduplication
+    has to see: a document that duplicate lines make up by ``COPY_SHARE`` or more,
+    and whose shingle similarity to the document that most of them begin in is 0.8
+    or more.  ``n_chars``, if there is one, is counted anew where lines were taken
+    out.
     """
     common.shared_dir(docs.sparkSession)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content_of().alias("content"), "text")
     keys = ["doc_id", "content"]
-    classed, _ = _classed(_occurrences(keyed, keys), keys)
-    earlier = (F.struct(*keys, "line_no") != F.col("first"))
+    classed, _ = _classed(_occurrences(keyed, keys).withColumn("n", F.length("line")), keys, ("n",))
     id_, content, gone_at, text = (common.unused(docs, f"__llm_{x}") for x in ("id", "content", "gone", "text"))
-    gone = classed.filter(earlier).groupBy(*keys).agg(F.array_sort(F.collect_set("line_no")).alias(gone_at))
-    named = gone.select(F.col("doc_id").alias(id_), F.col("content").alias(content), gone_at)
-    met = docs.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(content)), "left")
+    named = _gone(docs, classed, keys).select(F.col("doc_id").alias(id_), F.col("content").alias(content), F.col("gone").alias(gone_at))
+    met = docs.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (content_of() == F.col(content)), "left")
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(gone_at, i.cast("long"))), "\n")
-    changed = F.col(gone_at).isNotNull() & (F.length(kept) > F.length("text") * (1 - COPY_SHARE))
-    met = met.withColumn(text, F.when(changed, kept))
+    met = met.withColumn(text, F.when(F.col(gone_at).isNotNull(), kept))
     columns = []
     for c in docs.columns:
         if c == "text":

@@ -140,3 +140,19 @@ def test_plan_has_no_python(odd):
     lines = op._occurrences(odd.select("doc_id", "text"), ["doc_id"])
     plan = op.line_links(lines)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_strip_lines_of_copies_alone(spark):
+    """Passages of several documents go; a copy loses what its source loses."""
+    part = {i: "\n".join(prose(300 + 10 * i + k, 25) for k in range(4)) for i in range(6)}
+    own = prose(400, 30)
+    mixed = "\n".join(part[i] for i in (1, 2, 3)) + "\n" + own
+    source = part[4] + "\n" + part[5]
+    twice = "\n".join([prose(401, 30)] * 4 + [prose(402, 30)])
+    rows = [(1, part[1]), (2, part[2]), (3, part[3]), (4, mixed), (5, part[4]), (6, source), (7, source), (8, twice), (9, twice)]
+    got = {r.doc_id: r.text for r in op.strip_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in (1, 2, 3, 5)] == [part[1], part[2], part[3], part[4]]
+    assert got[4] == own
+    assert got[6] == part[5]
+    assert got[7] in (part[5], "")  # as its source or wholly gone, but never whole
+    assert got[8] == got[9] == prose(401, 30) + "\n" + prose(402, 30)
