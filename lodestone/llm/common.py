@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: make batches heavy, so both are bounded.
 ARROW_ROWS = 1000
 ARROW_BYTES = 16 << 20
+#: Rows of hashes or ids that are sent to all tasks: a few dozen MB at most.
+FEW = 1 << 20
 
 
 class Cache:
@@ -85,6 +87,12 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a written table of a few longs a row, marked for broadcast if it has
+    ``FEW`` rows at most; more rows meet the others in a shuffle."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, by Spark's reader only."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

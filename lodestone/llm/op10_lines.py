@@ -7,7 +7,9 @@ by the shorter one's length (``THRESHOLDS``).  Links make classes of lines.
 line within ``t`` edits at least one segment is left whole, shifted by no more
 than the edits before it and the edits left behind it allow.  So every line is
 indexed under its segments with ``L``, and probes, for each length from its own
-down to ``t`` less, the substrings at those few places: 12 for two edits.
+down to ``t`` less, the substrings at those few places: 12 for two edits.  Keys
+are made where lines are read; for each key the least and greatest line hash say
+whether lines share it, and only lines that share one go on.
 
 *Filter.*  The join's condition also compares a sketch: the counts of sixteen
 common letters in one long.  An edit changes them by two in all at most, so the
@@ -15,8 +17,8 @@ sketch never rejects a link, and it rejects most pairs of a hot segment inside
 the join; the pairs of a group that shares a segment are not handed on.
 
 *Verification.*  Pairs that pass meet their texts, lose what they begin with in
-common, and are compared by banded bit-parallel edit distance: for each number of edits a bit vector over the
-``2t + 1`` diagonals, advanced character by character.
+common, and are compared by banded bit-parallel edit distance: for each number of
+edits a bit vector over the ``2t + 1`` diagonals, advanced character by character.
 
 Lines count by their text: equal lines are one from the start.  They are told
 apart by a 64-bit hash (at ten billion distinct lines about three of them may
@@ -46,7 +48,6 @@ LETTERS = "etaoinshrdlucmwg"
 #: a copy; it is compared with the document that most of them begin in.
 COPY_SHARE = 0.5
 
-
 def threshold(length: Column) -> Column:
     out = F.lit(0)
     for least, edits in THRESHOLDS:
@@ -64,11 +65,26 @@ def probe_places(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def _key(line: Column, length: Column, edits: int, segment: int, shift: int) -> Column:
-    """Hash of (length, segment number, substring)."""
-    begin = F.floor(length * segment / (edits + 1)).cast("int")
-    end = F.floor(length * (segment + 1) / (edits + 1)).cast("int")
-    return F.xxhash64(length, F.lit(segment), F.substr(line, begin + 1 + shift, end - begin))
+def _specs() -> Column:
+    """An array of all places that are looked up; ``index`` marks a line's own segments."""
+    rows = [(edits, *place) for _, edits in THRESHOLDS for place in probe_places(edits)]
+    return F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip((e, less, i, shift, not less and not shift), ("edits", "less", "segment", "shift", "index")))) for e, less, i, shift in rows))
+
+
+def _keys(lines: DataFrame) -> DataFrame:
+    """``key, h, index`` of ``lines(h, line)``: a row for each place that is looked
+    up; a key is the hash of (length, segment number, substring).
+
+    With four bytes for each character substrings are cut by place and not by
+    counting characters, which is most of the work otherwise.
+    """
+    units = lines.select("h", F.encode("line", "UTF-32").alias("units"), F.length("line").alias("n")).filter(F.col("n") >= THRESHOLDS[0][0])
+    at = units.select("h", "units", "n", F.explode(_specs()).alias("s")).filter(threshold(F.col("n") - F.col("s.less")) == F.col("s.edits"))
+    length = F.col("n") - F.col("s.less")
+    begin = F.expr("(n - s.less) * s.segment div (s.edits + 1)").cast("int")
+    end = F.expr("(n - s.less) * (s.segment + 1) div (s.edits + 1)").cast("int")
+    part = F.substr(F.col("units"), 4 * (begin + F.col("s.shift")) + 1, 4 * (end - begin))
+    return at.select(F.xxhash64(length, F.col("s.edits"), F.col("s.segment"), part).alias("key"), "h", F.col("s.index").alias("index"))
 
 
 def _sketch(line: Column) -> Column:
@@ -143,24 +159,31 @@ def _occurrences(docs: DataFrame, keys: list[str]) -> DataFrame:
     return lines.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select(*keys, F.col("line_no").cast("long"), F.xxhash64("line").alias("h"), "line")
 
 
+def _candidates(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``u, v`` of lines with a common key and like sketches, and ``h, line, n,
+    sketch`` of the lines that share a key with another one."""
+    # for each key the least and the greatest line tell whether it has several:
+    # sums of fixed size, made where lines are read, however common a line is
+    keys = _keys(lines)
+    met = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("index").alias("indexed"))
+    shared = common.materialise(met.filter("low < high and indexed").select("key"), "shared_keys")
+    entries = keys.join(common.small(shared), "key", "left_semi").groupBy("key", "h").agg(F.max("index").alias("index"))
+    entries = common.materialise(entries, "entries")
+    wanted = common.materialise(entries.select("h").distinct(), "wanted")
+    texts = lines.select("h", "line").join(common.small(wanted), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    texts = common.materialise(texts.select("h", "line", F.length("line").alias("n"), _sketch(F.col("line")).alias("sketch")), "texts")
+    entries = entries.join(texts.select("h", "sketch"), "h")
+    end = lambda name: entries.select("key", "index", F.col("h").alias(name), F.col("sketch").alias(f"{name}_sketch"))
+    a, b = end("a").drop("index"), end("b").filter("index").drop("index")
+    most = max(edits for _, edits in THRESHOLDS)
+    near = a.join(b, "key").filter((F.col("a") != F.col("b")) & (_sketch_distance(F.col("a_sketch"), F.col("b_sketch")) <= 2 * most))
+    return near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), texts
+
+
 def line_links(lines: DataFrame) -> DataFrame:
     """``(u, v)``, u < v: the links among ``lines(h, line)``, each once."""
-    # length and sketch are made once, before lines meet
-    measured = lines.select("h", "line", F.length("line").alias("n"), _sketch(F.col("line")).alias("sketch"))
-    distinct = measured.filter(F.col("n") >= THRESHOLDS[0][0]).groupBy("h").agg(*(F.min(c).alias(c) for c in ("line", "n", "sketch")))
-    line, length = F.col("line"), F.col("n")
-    index, probes = [], []
-    for _, edits in THRESHOLDS:
-        index += [F.when(threshold(length) == edits, _key(line, length, edits, i, 0)) for i in range(edits + 1)]
-        for less, i, shift in probe_places(edits):
-            shorter = length - less
-            probes.append(F.when(threshold(shorter) == edits, _key(line, shorter, edits, i, shift)))
-    keyed = lambda keys, name: distinct.select(F.col("h").alias(name), F.col("sketch").alias(f"{name}_sketch"), F.explode(F.array_compact(F.array(*keys))).alias("key"))
-    most = max(edits for _, edits in THRESHOLDS)
-    a, b = keyed(probes, "a"), keyed(index, "b")
-    near = a.join(b, (a["key"] == b["key"]) & (F.col("a") != F.col("b")) & (_sketch_distance(F.col("a_sketch"), F.col("b_sketch")) <= 2 * most))
-    pairs = near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    end = lambda name, text: distinct.select(F.col("h").alias(name), F.col("line").alias(text), F.col("n").alias(f"{text}_n"), F.col("sketch").alias(f"{text}_s"))
+    pairs, texts = _candidates(lines)
+    end = lambda name, text: texts.select(F.col("h").alias(name), F.col("line").alias(text), F.col("n").alias(f"{text}_n"), F.col("sketch").alias(f"{text}_s"))
     met = pairs.join(end("u", "x"), "u").join(end("v", "y"), "v")
     allowed = threshold(F.least("x_n", "y_n"))
     met = met.filter((F.abs(F.col("x_n") - F.col("y_n")) <= allowed) & (_sketch_distance(F.col("x_s"), F.col("y_s")) <= 2 * allowed))
@@ -180,14 +203,15 @@ def _classed(lines: DataFrame, keys: list[str], more: tuple[str, ...] = ()) -> t
     ``more``; and the links."""
     links = common.materialise(line_links(lines), "line_links")
     labels = components(links)
-    places = lines.select(*keys, "line_no", "h", *more)
+    # places without texts are small; read again, they cost no second split of the texts
+    places = common.materialise(lines.select(*keys, "line_no", "h", *more), "places")
     first = places.groupBy("h").agg(F.min(F.struct(*keys, "line_no")).alias("first"))
     # only linked lines take part in classes of several
     members = labels.join(first, F.col("node") == F.col("h")).select("h", "component", "first")
     begins = members.groupBy("component").agg(F.min("first").alias("class_first"))
     linked = members.join(begins, "component").select("h", "class_first")
-    met = places.join(first, "h").join(linked, "h", "left")
-    return met.select(*keys, "line_no", "h", *more, F.coalesce("class_first", "first").alias("first")), links
+    by_line = first.join(linked, "h", "left").select("h", F.coalesce("class_first", "first").alias("first"))
+    return places.join(by_line, "h").select(*keys, "line_no", "h", *more, "first"), links
 
 
 def line_classes(docs: DataFrame) -> DataFrame:

@@ -13,11 +13,13 @@ of the chain is equal and of the two behind it at most one bit differs, so one o
 these is equal as well.  Each fingerprint is dealt out under 14 keys of 18 bits
 and more: its start segment with the next, and with the one after the next.
 
-``WIDE`` (256 bits, ``t = 48``) is for shingle similarities of 0.8 and more: two
-such texts differ in 15 % of the bits or less, which 64 bits can't tell from
-unlike ones by few differences.  Each of the 24 segments is a key; a pair of
-similarity 0.8 shares one of them in 98 % of cases, a nearer one more surely.
-Larger corpora take wider segments and, for the same recall, more words.
+``WIDE`` (128 bits, ``t = 32``) is for shingle similarities of 0.8 and more.  Two
+such texts differ in up to 15 % of the bits, and a segment of ``b`` bits is equal
+with probability ``0.85 ** b`` only: keys of segments are either too short for a
+large corpus or miss.  Keys are min-wise there: ``BANDS`` keys, each the hash of
+the least of ``ROWS`` permutations of the shingles.  Texts of similarity 0.8 share
+one in 99.8 % of cases, unlike ones hardly ever, whatever the size of the corpus;
+the chains are then sought from every segment.
 
 Within a key, pairs whose chain from there leaves its budgets are dropped before
 the full Hamming check.
@@ -26,10 +28,12 @@ the full Hamming check.
 sorted runs.  A large run is explored from pivots: what a pivot reaches leaves
 the open set and becomes a pivot itself, so a group of near copies ends after a
 few pivots and gives a spanning tree of links and not all pairs.  No link
-between components is lost and nothing is capped.
+between components is lost and nothing is capped.  Where links are verified
+afterwards, a large run is first compared with few pivots, and then only those of
+its pairs that verified links don't connect yet.
 
-*Verification.*  What the pipeline drops is compared by its true shingles with
-the document that stays; fingerprints alone drop nothing but equal texts.
+*Verification.*  Links of the pipeline are compared by their true shingles before
+they make groups; fingerprints alone drop nothing but equal texts.
 
 *Components.*  Links are between fingerprints' least documents; see
 ``components``.
@@ -44,7 +48,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +63,10 @@ SEED = 42
 SHINGLE_WORDS = 4
 #: Runs up to this size are compared pair by pair.
 SMALL_RUN = 64
-#: Rounds in which candidates are compared with the one of the least id alone.
-ROUNDS = 3
+#: Min-wise keys of a text and the permutations in each.
+BANDS, ROWS = 12, 4
+#: Runs of min-wise keys up to this size are compared pair by pair at once.
+MIDDLE_RUN = 256
 #: Rows of sorted keys that are handled together.
 CHUNK = 1 << 16
 
@@ -70,16 +75,14 @@ CHUNK = 1 << 16
 class Ring:
     """How fingerprints are compared.
 
-    ``words`` of 64 bits, the segments of each, the most bits that may differ, the
-    chain's length, and whether a key is the start segment with one of the next two
-    (which holds for budgets under 2/3 bit a segment) or the start segment alone.
+    ``words`` of 64 bits, the segments of each, the most bits that may differ and the
+    chain's length.
     """
 
     words: int
     widths: tuple[int, ...]
     max_bits: int
     chain: int
-    paired: bool
 
     @property
     def segments(self) -> list[tuple[int, int, int]]:
@@ -91,8 +94,8 @@ class Ring:
         return [f"fp{w}" for w in range(self.words)]
 
 
-EXACT = Ring(words=1, widths=(9, 9, 9, 9, 9, 9, 10), max_bits=4, chain=7, paired=True)
-WIDE = Ring(words=4, widths=(11, 11, 11, 11, 10, 10), max_bits=48, chain=3, paired=False)
+EXACT = Ring(words=1, widths=(9, 9, 9, 9, 9, 9, 10), max_bits=4, chain=7)
+WIDE = Ring(words=2, widths=(8,) * 8, max_bits=32, chain=4)
 
 
 def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
@@ -105,29 +108,53 @@ def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str, words_each: int = SHINGLE_WORDS, words: int = 1) -> np.ndarray:
-    """The SimHash of a text in words of 64 bits; 0 without words."""
+def shingle_hashes(text: str, words_each: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included; none without words."""
     tokens = text.encode().lower().split()
     if not tokens:
-        return np.zeros(words, np.uint64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     n = len(tokens) - words_each + 1
     digest = xxhash.xxh64_intdigest
     if n < 2:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = (np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))) + np.arange(len(tokens))).tolist()
-        starts = [0, *(e + 1 for e in ends[: n - 1])]
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[words_each - 1 :])]
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = (np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens))) + np.arange(len(tokens))).tolist()
+    starts = [0, *(e + 1 for e in ends[: n - 1])]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[words_each - 1 :])], np.uint64)
+
+
+def of_hashes(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """The SimHash of shingle hashes in words of 64 bits; 0 without any."""
     total = np.zeros((words, 64), np.int64)
     for at in range(0, len(hashes), 1 << 16):  # long texts in parts
-        part = np.array(hashes[at : at + (1 << 16)], "<u8")
+        part = hashes[at : at + (1 << 16)].astype("<u8")
         for w in range(words):
             bits = np.unpackbits(_mixed(part, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             total[w] += bits.sum(0, dtype=np.int64)
     return np.packbits(2 * total > len(hashes), axis=1, bitorder="little").view("<u8")[:, 0]
 
 
+def fingerprint(text: str, words_each: int = SHINGLE_WORDS, words: int = 1) -> np.ndarray:
+    """The SimHash of a text in words of 64 bits; 0 without words."""
+    return of_hashes(shingle_hashes(text, words_each), words)
+
+
+_PERMUTED = _mixed(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64), 1).reshape(2, -1, 1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The min-wise keys of shingle hashes; texts without words share theirs."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 1 << 12):
+        part = hashes[None, at : at + (1 << 12)]
+        least = np.minimum(least, (part * (_PERMUTED[0] | np.uint64(1)) + _PERMUTED[1]).min(1))
+    rows = least.reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for i in range(ROWS):
+        key = _mixed(key ^ rows[:, i], i + 1)
+    return key.view(np.int64)
+
+
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS, ring: Ring = EXACT) -> DataFrame:
     """``doc_id`` and the fingerprint's words as signed longs."""
     common.tune(docs.sparkSession)
@@ -142,13 +169,14 @@ def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS, ring: Ring =
 
 
 def ring_keys(fps: DataFrame, ring: Ring) -> DataFrame:
-    """``key, node`` and the words: each fingerprint under its keys."""
+    """``key, node`` and the words: each fingerprint under its keys, a start segment
+    with one of the next two (which holds for budgets under 2/3 bit a segment)."""
     segments = [F.shiftrightunsigned(f"fp{w}", first).bitwiseAND(F.lit((1 << width) - 1)) for w, first, width in ring.segments]
     m, keys = len(segments), []
     for i in range(m):
-        for second in (1, 2) if ring.paired else (1,):
+        for second in (1, 2):
             key = F.lit((2 * i + second - 1) << 40).cast("long") + F.shiftleft(segments[i], 20)
-            keys.append(key + segments[(i + second) % m] if ring.paired else key)
+            keys.append(key + segments[(i + second) % m])
     return fps.select(F.explode(F.array(*keys)).alias("key"), "node", *ring.columns)
 
 
@@ -229,37 +257,40 @@ def _forest(one: list, other: list) -> tuple[list, list]:
     return kept
 
 
-def links(fps: DataFrame, ring: Ring = EXACT, forest: bool = True) -> DataFrame:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Columns of whole runs of equal keys, some ``CHUNK`` rows at a time: the
+    beginnings of the runs, and the columns."""
+    waiting: list[list[np.ndarray]] = []
+    rows, limit = 0, CHUNK
+
+    def cut_at(end: int | None) -> tuple[np.ndarray, list[np.ndarray]]:
+        nonlocal waiting, rows
+        columns = [np.concatenate(x) for x in zip(*waiting)]
+        end = int(np.searchsorted(columns[0], columns[0][-1])) if end is None else end
+        waiting, rows = [[c[end:] for c in columns]], len(columns[0]) - end
+        columns = [c[:end] for c in columns]
+        return np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]]) if end else np.empty(0, np.int64), columns
+
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append([c.to_numpy() for c in batch.columns])
+            rows += batch.num_rows
+            if rows >= limit:
+                yield cut_at(None)
+                limit = max(CHUNK, 2 * rows)  # a run that is still growing
+    if rows:
+        yield cut_at(rows)
+
+
+def links(fps: DataFrame, ring: Ring = EXACT) -> DataFrame:
     """``(u, v)``: nodes whose fingerprints are near, as forests that together
-    connect what all such pairs connect, or else all such pairs.
-    ``fps(node, words)`` is distinct."""
-
-    def near(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[list, list]:
-        return _forest(*_links(ring, key, fp, node)) if forest else _links(ring, key, fp, node, len(key))
+    connect what all such pairs connect.  ``fps(node, words)`` is distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        rows = 0
-
-        def flush(last: bool):
-            nonlocal waiting, rows
-            key, node, fp = (np.concatenate(x) for x in zip(*waiting))
-            cut = len(key) if last else int(np.searchsorted(key, key[-1]))
-            waiting, rows = ([] if last else [(key[cut:], node[cut:], fp[cut:])]), len(key) - cut
-            one, other = near(key[:cut], fp[:cut], node[:cut]) if cut else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["u", "v"])
-
-        limit = CHUNK
-        for batch in batches:
-            if batch.num_rows:
-                key, node, *fp = (c.to_numpy() for c in batch.columns)
-                waiting.append((key, node, np.stack(fp, axis=1).view(np.uint64)))
-                rows += batch.num_rows
-                if rows >= limit:
-                    yield flush(False)
-                    limit = max(CHUNK, 2 * rows)  # a run that is still growing
-        if waiting:
-            yield flush(True)
+        for first, (key, node, *fp) in _runs(batches):
+            if len(first):
+                one, other = _forest(*_links(ring, key, np.stack(fp, axis=1).view(np.uint64), node))
+                yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["u", "v"])
 
     return ring_keys(fps, ring).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
@@ -281,66 +312,148 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _labelled(entries: DataFrame, ring: Ring) -> DataFrame:
-    """``entries`` with the ``component`` of their fingerprint."""
-    fps = common.materialise(entries.groupBy(*ring.columns).agg(F.min("content").alias("node")), "distinct_fingerprints")
-    found = components(links(fps, ring))
-    labels = fps.join(found, "node", "left").select(*ring.columns, F.coalesce("component", "node").alias("component"))
-    return entries.join(labels, ring.columns)
+def _entries(docs: DataFrame, words_each: int, ring: Ring) -> DataFrame:
+    """``content``, the fingerprint's words and ``keys`` of ``docs(content, text)``."""
+    common.tune(docs.sparkSession)
+    names = ["content", *ring.columns, "keys"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [shingle_hashes(t, words_each) for t in batch.column(1).to_pylist()]
+            fps = np.array([of_hashes(h, ring.words) for h in hashes], np.uint64).reshape(-1, ring.words).view(np.int64)
+            keys = np.array([band_keys(h) for h in hashes], np.int64).reshape(-1, BANDS)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, w]) for w in range(ring.words)), lists], names)
+
+    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names[:-1]) + ", keys array<long>")
+
+
+def near_all(ring: Ring, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which pairs of fingerprints (words of whole bytes as segments) have a chain
+    that keeps its budgets, from any segment on, and ``max_bits`` in all."""
+    apart = np.bitwise_count((one ^ other).view(np.uint8)).reshape(len(one), 8 * ring.words)
+    m, total = 8 * ring.words, apart.astype(np.int16)
+    fits = total * m <= ring.max_bits
+    for length in range(2, ring.chain + 1):
+        total = total + np.roll(apart, 1 - length, axis=1)
+        fits &= total * m <= length * ring.max_bits
+    out = fits.any(1)
+    out[out] = apart[out].sum(1, dtype=np.int64) <= ring.max_bits
+    return out
 
 
-def _verified(docs: DataFrame, entries: DataFrame, words_each: int, ring: Ring) -> DataFrame:
-    """``content`` of the ``entries(content, id, words)`` that are near copies by
-    true shingle similarity of one that stays.
+def _stars(ring: Ring, fp: np.ndarray, node: np.ndarray) -> tuple[list, list]:
+    """Pairs of the nodes of a run with the first that is near: few pivots, not all pairs."""
+    one, other = [], []
+    while len(fp) > 1:
+        near = near_all(ring, np.repeat(fp[:1], len(fp) - 1, axis=0), fp[1:])
+        one += [node[0]] * int(near.sum())
+        other += node[1:][near].tolist()
+        fp, node = fp[1:][~near], node[1:][~near]
+    return one, other
 
-    The entry of the least id of a component stays and is compared with all others
-    of it; what isn't similar to it is linked anew without it.  So a large group
-    is compared with few.  What ``ROUNDS`` rounds leave is compared pair by pair,
-    and components are formed of verified links alone.
-    """
-    gone, sets, rest = [], None, entries
-    for _ in range(ROUNDS):
-        labelled = common.materialise(_labelled(rest, ring), "labelled")
-        least = labelled.groupBy("component").agg(F.min(F.struct("id", "content")).alias("least"), F.count("*").alias("n")).filter("n > 1")
-        met = labelled.join(least, "component").select("content", "id", *ring.columns, F.col("least.content").alias("stays"))
-        if sets is None:
-            sets = shingle_sets(docs, met.select("content"), words_each)
-        others = met.filter("content <> stays")
-        found = similar(others.select(F.col("stays").alias("a"), F.col("content").alias("b")), sets)
-        gone.append(common.materialise(found.select(F.col("b").alias("content")), "gone"))
-        rest = common.materialise(others.drop("stays").join(gone[-1], "content", "left_anti"), "rest")
-        if not rest.limit(1).count():
-            break
-    else:
-        pairs = links(rest.select(F.col("content").alias("node"), *ring.columns), ring, forest=False).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        found = components(similar(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), sets).select(F.col("a").alias("u"), F.col("b").alias("v")))
-        named = rest.join(found, rest["content"] == F.col("node")).select("content", "id", "component")
-        least = named.groupBy("component").agg(F.min(F.struct("id", "content")).alias("least"))
-        gone.append(named.join(least, "component").filter(F.col("content") != F.col("least.content")).select("content"))
-    return reduce(DataFrame.unionByName, gone)
-
-
-def keep_one(docs: DataFrame, words_each: int = 5, ring: Ring = WIDE) -> DataFrame:
-    """``docs`` without near copies of a document that stays, with all columns;
-    near copies are texts of shingle similarity 0.8 and more.  Fingerprints
-    propose pairs, and each is verified by its shingles before one goes.
-
-    Of equal texts the least id stays.  Rows without ``doc_id`` stay; of rows that
-    repeat an id and a text one stays.
+
+def _between(ring: Ring, fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All near pairs of a run whose labels differ.  The commonest label's nodes are
+    only compared with the others'."""
+    _, place, size = np.unique(label, return_inverse=True, return_counts=True)
+    order = np.lexsort((place, -size[place]))
+    fp, node, label = fp[order], node[order], label[order]
+    for i in range(int(size.max()), len(fp)):
+        near = near_all(ring, np.repeat(fp[i : i + 1], i, axis=0), fp[:i]) & (label[:i] != label[i])
+        yield np.full(int(near.sum()), node[i]), node[:i][near]
+
+
+def _pairs(rows: DataFrame, ring: Ring, middle_run: int) -> DataFrame:
+    """``a, b`` of the near pairs of ``rows(key, node, words)`` within runs: all of
+    runs up to ``middle_run``, stars of larger ones, whose ``key`` has a row too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, (key, node, *fp) in _runs(batches):
+            fp, size = np.stack(fp, axis=1).view(np.uint64), np.diff(np.r_[first, len(key)])
+            one, other, large = [], [], key[first[size > middle_run]].tolist()
+            for k in np.flatnonzero(size > middle_run):
+                part = slice(first[k], first[k] + size[k])
+                a, b = _stars(ring, fp[part], node[part])
+                one, other = one + a, other + b
+            small = np.repeat((size > 1) & (size <= middle_run), size)
+            key, fp, node = key[small], fp[small], node[small]
+            at, shift = np.arange(len(key)), 1
+            while len(at := at[at + shift < len(key)]):
+                at = at[key[at] == key[at + shift]]
+                near = at[near_all(ring, fp[at], fp[at + shift])]
+                one += node[near].tolist()
+                other += node[near + shift].tolist()
+                shift += 1
+            none = [None] * len(large)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (one + none, other + none, [None] * len(one) + large)], ["a", "b", "key"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long")
+
+
+def _pairs_between(rows: DataFrame, ring: Ring) -> DataFrame:
+    """``a, b`` of all near pairs within runs of ``rows(key, node, words, label)``
+    whose labels differ."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, (key, node, *fp, label) in _runs(batches):
+            fp = np.stack(fp, axis=1).view(np.uint64)
+            for begin, end in zip(first, np.r_[first[1:], len(key)]):
+                for one, other in _between(ring, fp[begin:end], node[begin:end], label[begin:end]):
+                    yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["a", "b"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def _groups(docs: DataFrame, entries: DataFrame, words_each: int, ring: Ring, middle_run: int) -> DataFrame:
+    """``node, component`` of the ``entries(content, keys, words)`` that verified
+    links connect; ``component`` is a node of the group."""
+    rows = entries.select(F.explode("keys").alias("key"), F.col("content").alias("node"), *ring.columns)
+    found = common.materialise(_pairs(rows, ring, middle_run), "pairs")
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = common.materialise(ordered(found.filter("a is not null")), "distinct_pairs")
+    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("content")), words_each)
+    links_ = lambda pairs, sets: similar(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    verified = common.materialise(links_(pairs, sets), "links")
+    large = found.filter("key is not null").select("key").distinct()
+    if large.limit(1).count():
+        labels = components(verified).select("node", F.col("component").alias("label"))
+        met = rows.join(large, "key", "left_semi").join(labels, "node", "left")
+        met = met.select("key", "node", *ring.columns, F.coalesce("label", "node").alias("label"))
+        more = common.materialise(ordered(_pairs_between(met, ring)).join(pairs, ["a", "b"], "left_anti"), "more_pairs")
+        more_sets = shingle_sets(docs, more.select(F.explode(F.array("a", "b")).alias("content")), words_each)
+        verified = verified.unionByName(common.materialise(links_(more, more_sets), "more_links"))
+    return components(verified)
+
+
+def keep_one(docs: DataFrame, words_each: int = 5, ring: Ring = WIDE, middle_run: int = MIDDLE_RUN) -> DataFrame:
+    """``docs`` with one document of each group of near copies, with all columns.
+
+    Near copies are texts of shingle similarity 0.8 and more; they and what they
+    link make a group.  Fingerprints propose pairs, and each is verified by its
+    shingles before it links.  Of a group the least id stays, of equal texts too.
+    Rows without ``doc_id`` stay; of rows that repeat an id and a text one stays;
+    rows that repeat an id with another text are documents of their own.
     """
     common.shared_dir(docs.sparkSession)
-    known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), content_of().alias("content"), "text")
-    fps = fingerprints(known.select(F.col("content").alias("doc_id"), "text"), words_each, ring)
-    fps = fps.groupBy(F.col("doc_id").alias("content")).agg(*(F.min(c).alias(c) for c in ring.columns))
-    ids = known.select("id", "content").distinct()
-    entries = common.materialise(fps.join(ids.groupBy("content").agg(F.min("id").alias("id")), "content"), "fingerprints")
-    stays = entries.select("id", "content").join(_verified(docs, entries, words_each, ring), "content", "left_anti")
-    id_, content, number = (common.unused(docs, f"__llm_{x}") for x in ("id", "content", "copy"))
-    gone = ids.join(stays, ["id", "content"], "left_anti").select(F.col("id").alias(id_), F.col("content").alias(content))
-    copy = Window.partitionBy(F.col("doc_id").cast("long"), content_of()).orderBy(F.lit(0))
-    kept = docs.join(gone, (F.col("doc_id").cast("long") == F.col(id_)) & (content_of() == F.col(content)), "left_anti")
-    kept = kept.withColumn(number, F.row_number().over(copy))
-    return kept.filter(F.col("doc_id").isNull() | (F.col(number) == 1)).select(*docs.columns)
+    known = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), content_of().alias("content"))
+    ids = common.materialise(known.groupBy("id", "content").agg(F.count("*").alias("times")), "ids")
+    texts = docs.filter("doc_id is not null").select(content_of().alias("content"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    entries = _entries(texts, words_each, ring)
+    entries = common.materialise(entries.groupBy("content").agg(*(F.first(c).alias(c) for c in (*ring.columns, "keys"))), "fingerprints")
+    groups = common.materialise(_groups(docs, entries, words_each, ring, middle_run), "groups")
+    named = ids.join(groups, F.col("content") == F.col("node"), "left").select("id", "content", "times", F.coalesce("component", "content").alias("group"))
+    named = common.materialise(named, "named")
+    least = named.groupBy("group").agg(F.min(F.struct("id", "content")).alias("stays"))
+    marked = named.join(least, "group").select("id", "content", "times", (F.struct("id", "content") == F.col("stays")).alias("first"))
+    id_, content, stays, number = (common.unused(docs, f"__llm_{x}") for x in ("id", "content", "stays", "copy"))
+    marks = marked.filter("not first or times > 1").select(F.col("id").alias(id_), F.col("content").alias(content), F.col("first").alias(stays))
+    marks = common.small(common.materialise(marks, "marks"))
+    same = (F.col("doc_id").cast("long") == F.col(id_)) & (content_of() == F.col(content))
+    repeated = docs.join(marks.filter(stays), same)  # rows that repeat an id and a text that stays
+    copy = Window.partitionBy(id_, content).orderBy(F.lit(0))
+    once = repeated.withColumn(number, F.row_number().over(copy)).filter(F.col(number) == 1)
+    return docs.join(marks, same, "left_anti").unionByName(once.select(*docs.columns))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

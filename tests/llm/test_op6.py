@@ -84,13 +84,39 @@ def test_links_connect_all_near_pairs(spark, small, monkeypatch):
     assert [found.get(n, n) for n in nodes] == want
 
 
-@pytest.mark.parametrize("ring", [op.EXACT, op.WIDE])
-def test_runs_give_forests_not_all_pairs(ring):
+def test_runs_give_forests_not_all_pairs():
+    ring = op.EXACT
     rng = np.random.default_rng(1)
     fps = np.repeat(rng.integers(0, 1 << 63, (1, ring.words)).astype(np.uint64), 400, 0)
     fps[:, 0] ^= np.uint64(1) << rng.integers(62, 64, 400).astype(np.uint64)
     one, other = op._links(ring, np.zeros(400, np.int64), fps, np.arange(400))
     assert len(one) == 399
+    wide = np.repeat(fps[:, :1], 2, 1)
+    assert len(op._stars(op.WIDE, wide, np.arange(400))[0]) == 399
+    assert sum(len(x) for x, _ in op._between(op.WIDE, wide, np.arange(400), np.r_[np.zeros(395, int), 1, 1, 2, 2, 2])) == 395 * 5 + 6
+
+
+def test_chains_lose_no_near_pair():
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 1 << 63, (4000, 2)).astype(np.uint64)
+    flip = rng.random((4000, 128)) < rng.uniform(0.02, 0.4, 4000)[:, None]
+    other = one ^ np.packbits(flip, axis=1).view(np.uint64)
+    near = np.bitwise_count(one ^ other).sum(1) <= op.WIDE.max_bits
+    assert 500 < near.sum() < 3500
+    assert (op.near_all(op.WIDE, one, other) == near).all()
+
+
+def test_band_keys():
+    texts = [prose(300 + i, 200) for i in range(150)]
+    shared, far = 0, 0
+    for i, t in enumerate(texts):
+        other = changed(t, 4, i)
+        mine = op.band_keys(op.shingle_hashes(t, 5))
+        shared += bool((mine == op.band_keys(op.shingle_hashes(other, 5))).any())
+        far += bool((mine == op.band_keys(op.shingle_hashes(texts[i - 1], 5))).any())
+    assert shared >= 148 and not far  # similarity of some 0.8 to 0.9, where 99.8 % are expected, and of 0
+    long = op.shingle_hashes(texts[0] * 60, 5)
+    assert (op.band_keys(long) == op.band_keys(np.unique(long))).all()
 
 
 def test_exact_keys_lose_no_pair():
@@ -157,22 +183,26 @@ def test_shingle_similarity(spark):
         assert {(r.a, r.b) for r in got} == {(name[i], name[j]) for i, j in pairs if jaccard(texts[i], texts[j]) >= least}
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_keep_one_drops_near_copies_alone(spark, rounds, monkeypatch):
-    """Similarities of 0.6 to 0.8 are within the fingerprints' reach and stay."""
-    monkeypatch.setattr(op, "ROUNDS", rounds)
+@pytest.mark.parametrize("middle_run", [256, 1])
+def test_groups_against_brute_force(spark, middle_run):
+    """Similarities of 0.6 to 0.8 are within the fingerprints' reach and don't link."""
     rows = []
     for g in range(40):
         base = prose(200 + g, 200)
         texts = [base, changed(base, 5 + g % 6, g), changed(base, 8, 50 + g), changed(changed(base, 8, 50 + g), 1, g)]
         rows += [(10 * g + k, t) for k, t in enumerate(texts)]
-    fps = {i: op.fingerprint(t, 5, 4) for i, t in rows}
-    reach = lambda i, j: np.bitwise_count(fps[i] ^ fps[j]).sum() <= 48
-    text = dict(rows)
-    pairs = [(i, j) for i in text for j in text if i < j and i // 10 == j // 10]
-    assert sum(reach(i, j) and jaccard(text[i], text[j]) < 0.8 for i, j in pairs) > 5
-    kept = {r.doc_id for r in op.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for j in set(text) - kept:
-        assert any(jaccard(text[i], text[j]) >= 0.8 for i in text if i < j and i // 10 == j // 10)
-    for i, j in pairs:
-        assert not (i in kept and j in kept and jaccard(text[i], text[j]) >= 0.88)
+    base = prose(400, 300)
+    rows += [(1000 + k, changed(base, k % 7, 3 * k)) for k in range(60)]
+    ids, texts = zip(*rows)
+    near = {(i, j): jaccard(texts[i], texts[j]) for i in range(len(ids)) for j in range(i) if ids[i] >= 1000 <= ids[j] or ids[i] // 10 == ids[j] // 10}
+    assert sum(0.6 <= x < 0.8 for x in near.values()) > 50
+    want = brute_components(ids, lambda i, j: near.get((max(i, j), min(i, j)), 0) >= 0.8)
+    kept = {r.doc_id for r in op.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), middle_run=middle_run).collect()}
+    assert kept == set(want)
+
+
+def test_repeated_ids(spark):
+    base = prose(60, 100)
+    rows = [(3, base, "x"), (5, base, "x"), (5, prose(61, 100), "x"), (9, prose(62, 100), "x"), (9, prose(62, 100), "y"), (9, base, "z")]
+    kept = op.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted({(3, base), rows[2][:2], rows[3][:2]})
