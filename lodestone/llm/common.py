@@ -31,18 +31,16 @@ class Cache:
 
     def joined(self, lists: list[list[str]]) -> list[bytes]:
         """The encoded units of each list, joined."""
-        need = set().union(*lists)
-        missing = need.difference(self.young)
+        missing = set().union(*lists).difference(self.young)
         if len(self.young) + len(missing) > self.limit:
-            self.old, self.young, missing = self.young, {}, need
-        new = []
-        for unit in missing:
-            if (data := self.old.get(unit)) is None:
-                new.append(unit)
-            else:
-                self.young[unit] = data
-        if new:
-            self.young.update(zip(new, self.encode(new)))
+            self.old, self.young, missing = self.young, {}, set().union(*lists)
+        if missing:
+            old = self.old
+            known = missing.intersection(old) if old else ()
+            self.young.update(zip(known, map(old.__getitem__, known)))
+            new = list(missing.difference(known))
+            if new:
+                self.young.update(zip(new, self.encode(new)))
         get = self.young.__getitem__
         return [b"".join(map(get, x)) for x in lists]
 
