@@ -281,7 +281,9 @@ def strip_lines(docs: DataFrame) -> DataFrame:
     classed, _ = _classed(_occurrences(keyed, keys).withColumn("n", F.length("line")), keys, ("n",))
     id_, content, gone_at, text = (common.unused(docs, f"__llm_{x}") for x in ("id", "content", "gone", "text"))
     named = _gone(docs, classed, keys).select(F.col("doc_id").alias(id_), F.col("content").alias(content), F.col("gone").alias(gone_at))
-    met = docs.join(named, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (content_of() == F.col(content)), "left")
+    named = common.materialise(named, "gone")
+    total = named.agg(F.sum(F.size(gone_at) + 2)).first()[0] or 0
+    met = docs.join(F.broadcast(named) if total <= common.FEW else named, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (content_of() == F.col(content)), "left")
     parts = F.split("text", "\n")
     kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(gone_at, i.cast("long"))), "\n")
     met = met.withColumn(text, F.when(F.col(gone_at).isNotNull(), kept))

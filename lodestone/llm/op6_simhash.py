@@ -65,8 +65,10 @@ SHINGLE_WORDS = 4
 SMALL_RUN = 64
 #: Min-wise keys of a text and the permutations in each.
 BANDS, ROWS = 12, 4
+#: The keys whose links are verified before the others are asked.
+FIRST_BANDS = 4
 #: Runs of min-wise keys up to this size are compared pair by pair at once.
-MIDDLE_RUN = 256
+MIDDLE_RUN = 64
 #: Rows of sorted keys that are handled together.
 CHUNK = 1 << 16
 
@@ -364,66 +366,67 @@ def _between(ring: Ring, fp: np.ndarray, node: np.ndarray, label: np.ndarray) ->
         yield np.full(int(near.sum()), node[i]), node[:i][near]
 
 
-def _pairs(rows: DataFrame, ring: Ring, middle_run: int) -> DataFrame:
-    """``a, b`` of the near pairs of ``rows(key, node, words)`` within runs: all of
-    runs up to ``middle_run``, stars of larger ones, whose ``key`` has a row too."""
+def _pairs(rows: DataFrame, ring: Ring, middle_run: int, stars: bool) -> DataFrame:
+    """``a, b`` of near pairs within runs of ``rows(key, node, label, words)`` whose
+    labels differ: all of runs up to ``middle_run``; of larger ones all as well, or
+    ``stars`` alone, and then a row with the ``key`` of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for first, (key, node, *fp) in _runs(batches):
+        for first, (key, node, label, *fp) in _runs(batches):
             fp, size = np.stack(fp, axis=1).view(np.uint64), np.diff(np.r_[first, len(key)])
-            one, other, large = [], [], key[first[size > middle_run]].tolist()
+            one, other, large = [], [], []
             for k in np.flatnonzero(size > middle_run):
                 part = slice(first[k], first[k] + size[k])
-                a, b = _stars(ring, fp[part], node[part])
-                one, other = one + a, other + b
+                if stars:
+                    large.append(int(key[first[k]]))
+                    a, b = _stars(ring, fp[part], node[part])
+                    one, other = one + a, other + b
+                    continue
+                for a, b in _between(ring, fp[part], node[part], label[part]):
+                    one, other = one + a.tolist(), other + b.tolist()
             small = np.repeat((size > 1) & (size <= middle_run), size)
-            key, fp, node = key[small], fp[small], node[small]
+            key, fp, node, label = key[small], fp[small], node[small], label[small]
             at, shift = np.arange(len(key)), 1
             while len(at := at[at + shift < len(key)]):
                 at = at[key[at] == key[at + shift]]
-                near = at[near_all(ring, fp[at], fp[at + shift])]
+                apart = at[label[at] != label[at + shift]]
+                near = apart[near_all(ring, fp[apart], fp[apart + shift])]
                 one += node[near].tolist()
                 other += node[near + shift].tolist()
                 shift += 1
             none = [None] * len(large)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (one + none, other + none, [None] * len(one) + large)], ["a", "b", "key"])
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, key long")
-
-
-def _pairs_between(rows: DataFrame, ring: Ring) -> DataFrame:
-    """``a, b`` of all near pairs within runs of ``rows(key, node, words, label)``
-    whose labels differ."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for first, (key, node, *fp, label) in _runs(batches):
-            fp = np.stack(fp, axis=1).view(np.uint64)
-            for begin, end in zip(first, np.r_[first[1:], len(key)]):
-                for one, other in _between(ring, fp[begin:end], node[begin:end], label[begin:end]):
-                    yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(other, pa.int64())], ["a", "b"])
-
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, key long")
 
 
 def _groups(docs: DataFrame, entries: DataFrame, words_each: int, ring: Ring, middle_run: int) -> DataFrame:
     """``node, component`` of the ``entries(content, keys, words)`` that verified
-    links connect; ``component`` is a node of the group."""
-    rows = entries.select(F.explode("keys").alias("key"), F.col("content").alias("node"), *ring.columns)
-    found = common.materialise(_pairs(rows, ring, middle_run), "pairs")
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = common.materialise(ordered(found.filter("a is not null")), "distinct_pairs")
-    sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("content")), words_each)
-    links_ = lambda pairs, sets: similar(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    verified = common.materialise(links_(pairs, sets), "links")
+    links connect; ``component`` is a node of the group.
+
+    The first keys give links that are verified; then all keys are asked for pairs
+    that these don't connect yet, so a group isn't compared anew under each key.
+    """
+    node = F.col("content").alias("node")
+
+    def verified(found: DataFrame, name: str) -> DataFrame:
+        pairs = found.filter("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = common.materialise(pairs, f"{name}_pairs")
+        sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("content")), words_each)
+        return common.materialise(similar(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}_links")
+
+    first = entries.select(F.explode(F.slice("keys", 1, FIRST_BANDS)).alias("key"), node, F.col("content").alias("label"), *ring.columns)
+    found = common.materialise(_pairs(first, ring, middle_run, True), "found")
+    links_ = verified(found, "first")
+    labels = components(links_).select("node", F.col("component").alias("label"))
+    labelled = entries.select("keys", node, *ring.columns).join(labels, "node", "left")
+    labelled = common.materialise(labelled.select("node", "keys", *ring.columns, F.coalesce("label", "node").alias("label")), "labelled")
+    under = lambda keys: labelled.select(F.explode(keys).alias("key"), "node", "label", *ring.columns)
     large = found.filter("key is not null").select("key").distinct()
+    rest = under(F.slice("keys", FIRST_BANDS + 1, BANDS))
     if large.limit(1).count():
-        labels = components(verified).select("node", F.col("component").alias("label"))
-        met = rows.join(large, "key", "left_semi").join(labels, "node", "left")
-        met = met.select("key", "node", *ring.columns, F.coalesce("label", "node").alias("label"))
-        more = common.materialise(ordered(_pairs_between(met, ring)).join(pairs, ["a", "b"], "left_anti"), "more_pairs")
-        more_sets = shingle_sets(docs, more.select(F.explode(F.array("a", "b")).alias("content")), words_each)
-        verified = verified.unionByName(common.materialise(links_(more, more_sets), "more_links"))
-    return components(verified)
+        rest = rest.unionByName(under(F.slice("keys", 1, FIRST_BANDS)).join(large, "key", "left_semi"))
+    return components(links_.unionByName(verified(_pairs(rest, ring, middle_run, False), "more")))
 
 
 def keep_one(docs: DataFrame, words_each: int = 5, ring: Ring = WIDE, middle_run: int = MIDDLE_RUN) -> DataFrame:

@@ -183,7 +183,7 @@ def test_shingle_similarity(spark):
         assert {(r.a, r.b) for r in got} == {(name[i], name[j]) for i, j in pairs if jaccard(texts[i], texts[j]) >= least}
 
 
-@pytest.mark.parametrize("middle_run", [256, 1])
+@pytest.mark.parametrize("middle_run", [64, 1])
 def test_groups_against_brute_force(spark, middle_run):
     """Similarities of 0.6 to 0.8 are within the fingerprints' reach and don't link."""
     rows = []
