@@ -19,8 +19,8 @@ stand.  The store is a folder of four tables:
 Texts are encoded in one pass.  Payloads become unique on the map side first and
 then meet under their digest; repeats without one are dealt out by document, so
 a passage that a third of the corpus shares costs one payload for each task.
-Reading verifies every chunk against its digest and every document against its
-root; checksums of documents are combined from those of chunks, so payloads are
+Reading verifies every chunk against its digest, every document against its root
+and all recipes against the manifest; checksums of documents are combined from those of chunks, so payloads are
 not shuffled again.
 
 Words are encoded once for each worker: the vocabulary drops white space and
@@ -55,7 +55,9 @@ DIGEST_BYTES = 16
 #: Documents or nodes under one Merkle node of the manifest.
 FAN = 1024
 #: Words of one generation of a worker's store.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+#: Words that go to the library at once.
+PART_WORDS = 4000
 #: White space as the vocabulary's own pattern has it, and nothing else.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
@@ -88,26 +90,29 @@ class WordIds:
 
     def _encode(self, words: list[str]) -> list[bytes]:
         """The ids of each word, many words in one call of the library."""
-        lower = [w for w in words if w.isascii() and w.isalpha()]
-        rest = [w for w in words if not (w.isascii() and w.isalpha())]
-        out: dict[str, bytes] = {}
-        for part_of, encode in ((lower, self._encode_letters), (rest, self._encode_others)):
-            for at in range(0, len(part_of), 1000):
-                part = part_of[at : at + 1000]
-                out.update(zip(part, encode(part)))
-        return [out[w] for w in words]
-
-    def _split(self, ids: np.ndarray, starts: list[int], ends: list[int]) -> list[bytes]:
+        letters = [w for w in words if w.isalpha()]
+        if len(letters) == len(words):
+            return self._in_parts(words, self._encode_letters)
+        out = dict(zip(letters, self._in_parts(letters, self._encode_letters)))
+        others = [w for w in words if not w.isalpha()]
+        out.update(zip(others, self._in_parts(others, self._encode_others)))
+        return list(map(out.__getitem__, words))
+
+    @staticmethod
+    def _in_parts(words: list[str], encode) -> list[bytes]:
+        return [x for at in range(0, len(words), PART_WORDS) for x in encode(words[at : at + PART_WORDS])]
+
+    def _split(self, ids: np.ndarray, ends: np.ndarray, gap: int = 0) -> list[bytes]:
+        """The ids of each word, from where it ends; ``gap`` ids stand between two."""
         data, width = ids.tobytes(), self.kind.itemsize
-        return [data[a * width : b * width] for a, b in zip(starts, ends)]
+        starts = np.r_[0, ends[:-1] + gap] * width
+        return [data[a:b] for a, b in zip(starts.tolist(), (ends * width).tolist())]
 
     def _encode_letters(self, words: list[str]) -> list[bytes]:
-        """Words of ASCII letters: each ends with the one end-of-word piece it has."""
+        """Words of letters: each ends with the one end-of-word piece it has."""
         ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
-        ends = (np.flatnonzero(self.is_end[ids]) + 1).tolist()
-        if len(ends) != len(words):
-            return self._encode_others(words)
-        return self._split(ids, [0, *ends[:-1]], ends)
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        return self._split(ids, ends) if len(ends) == len(words) else self._encode_others(words)
 
     def _encode_others(self, words: list[str]) -> list[bytes]:
         """Any words, with a special token between them: the library cuts a text
@@ -115,8 +120,7 @@ class WordIds:
         if self.mark is None or any(m in w for w in words for m in self.marks):
             return [np.array(x.ids, self.kind).tobytes() for x in self.library.encode_batch_fast(words, add_special_tokens=False)]
         ids = np.array(self.library.encode_batch_fast([self.mark.join(words)], add_special_tokens=False)[0].ids, self.kind)
-        ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-        return self._split(ids, [0, *(e + 1 for e in ends[:-1])], ends)
+        return self._split(ids, np.r_[np.flatnonzero(ids == self.mark_id), len(ids)], 1)
 
     @staticmethod
     def units(text: str) -> list[str]:
@@ -246,6 +250,12 @@ def _stored_once(pieces: DataFrame) -> DataFrame:
     return dealt.select("doc_id", "row", "seq", "digest", "n", F.when(first, F.col("payload")).alias("payload"))
 
 
+def _flat(lists: pa.ListArray) -> tuple[list[int], pa.StructArray]:
+    """Where the lists of a column end, and their items laid end to end."""
+    ends = np.cumsum(lists.value_lengths().to_numpy()).tolist()
+    return ends, lists.flatten()
+
+
 def _recipes(chunks: DataFrame) -> DataFrame:
     """The recipe of each document from the rows of its chunks."""
     whole = chunks.groupBy("row").agg(
@@ -256,7 +266,9 @@ def _recipes(chunks: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaves = [[c["digest"] for c in x] for x in batch.column(2).to_pylist()]
+            ends, flat = _flat(batch.column(2))
+            digests = flat.field("digest").to_pylist()
+            leaves = [digests[a:b] for a, b in zip([0, *ends[:-1]], ends)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([b"".join(x) for x in leaves], pa.binary()), pa.array([merkle(x) for x in leaves], pa.binary())],
                 ["doc_id", "n_tokens", "digests", "root"],
@@ -310,34 +322,33 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id
     totals = recipes.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")).write.parquet(f"{path}/parts")
-    manifest(recipes).coalesce(1).write.parquet(f"{path}/manifest")
+    manifest(recipes).write.parquet(f"{path}/manifest")
 
 
 _POLY = 0xEDB88320
-_shift_by: dict[int, int] = {}
 
 
-def _times(a: int, b: int) -> int:
-    """Product of two polynomials modulo that of CRC-32, bits reflected."""
-    out, m = 0, 1 << 31
-    while m:
-        if a & m:
-            out ^= b
-        b = b >> 1 ^ (_POLY if b & 1 else 0)
-        m >>= 1
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials modulo that of CRC-32, bits reflected."""
+    out = np.zeros_like(a)
+    for bit in range(31, -1, -1):
+        out ^= np.where(a >> np.uint32(bit) & np.uint32(1), b, np.uint32(0))
+        b = b >> np.uint32(1) ^ np.where(b & np.uint32(1), np.uint32(_POLY), np.uint32(0))
     return out
 
 
-def crc_after(first: int, second: int, second_bytes: int) -> int:
-    """CRC-32 of two strings together from theirs and the second's length."""
-    if second_bytes not in _shift_by:
-        power, square, n = 1 << 31, 1 << 23, second_bytes  # x^0 and x^8
-        while n:
-            if n & 1:
-                power = _times(square, power)
-            square, n = _times(square, square), n >> 1
-        _shift_by[second_bytes] = power
-    return _times(_shift_by[second_bytes], first) ^ second
+def joined_crcs(crcs: np.ndarray, sizes: np.ndarray, ends: list[int]) -> np.ndarray:
+    """CRC-32 of each document from those of its parts and their bytes: a part's
+    counts times ``x`` to the bits that follow it, and these are added up."""
+    last = np.asarray(ends, np.int64)
+    upto = np.cumsum(sizes.astype(np.int64))
+    after = np.repeat(upto[last - 1], np.diff(np.r_[0, last])) - upto
+    power, square = np.full(len(crcs), 1 << 31, np.uint32), np.full(1, 1 << 23, np.uint32)  # x^0 and x^8
+    while after.any():
+        odd = after & 1 == 1
+        power[odd] = _times(power[odd], np.broadcast_to(square, int(odd.sum())))
+        square, after = _times(square, square), after >> 1
+    return np.bitwise_xor.reduceat(_times(power, crcs.astype(np.uint32)), np.r_[0, last[:-1]])
 
 
 def _chunk_sums(chunks: DataFrame, wide: bool) -> DataFrame:
@@ -361,10 +372,17 @@ def _chunk_sums(chunks: DataFrame, wide: bool) -> DataFrame:
 def read_sums(spark: SparkSession, path: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, from the files.
 
-    A chunk or document that doesn't match its digest or root ends the run.
+    A chunk, document or manifest that doesn't match its digest, root or nodes ends
+    the run.
     """
     common.tune(spark)
     recipes = spark.read.parquet(f"{path}/recipes")
+    node = ["level", "part", "place", "root"]
+    kept, made = spark.read.parquet(f"{path}/manifest").select(node), manifest(recipes).select(node)
+    # one row for FAN documents
+    odd = kept.withColumn("side", F.lit(1)).unionByName(made.withColumn("side", F.lit(-1))).groupBy(node).agg(F.sum("side").alias("side")).filter("side <> 0")
+    if odd.limit(1).count():
+        raise ValueError(f"the manifest of {path} doesn't match its recipes")
     wide = word_ids(vocabulary).kind.itemsize == 4
     sums = _chunk_sums(spark.read.parquet(f"{path}/chunks"), wide)
     at = F.col("at")
@@ -373,20 +391,21 @@ def read_sums(spark: SparkSession, path: str, vocabulary: str = VOCABULARY) -> D
     )
     met = used.join(sums, "digest", "left")
     whole = met.groupBy("part", "place").agg(
-        F.first("root").alias("root"), F.first("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct(at, "digest", "n", "crc"))).alias("chunks")
+        F.first("root").alias("root"), F.first("n_tokens").alias("n_tokens"), F.array_sort(F.collect_list(F.struct(at, "digest", F.col("n").cast("long").alias("n"), "crc"))).alias("chunks")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for root, n_tokens, chunks in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                if any(c["n"] is None for c in chunks) or merkle([c["digest"] for c in chunks]) != root or sum(c["n"] for c in chunks) != n_tokens:
+            if not batch.num_rows:
+                continue
+            ends, flat = _flat(batch.column(4))
+            digests, n, crc = flat.field("digest").to_pylist(), flat.field("n"), flat.field("crc")
+            whole_documents = np.add.reduceat(n.fill_null(-1 << 40).to_numpy(), np.r_[0, ends[:-1]]) == batch.column(3).to_numpy()
+            for root, good, a, b in zip(batch.column(2).to_pylist(), whole_documents, [0, *ends[:-1]], ends):
+                if not good or merkle(digests[a:b]) != root:
                     raise ValueError(f"document of root {root.hex()} can't be rebuilt")
-                crc = 0
-                for c in chunks:
-                    crc = crc_after(crc, c["crc"], 4 * c["n"])
-                out.append(crc)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["part", "place", "ids_crc32"])
+            out = joined_crcs(crc.to_numpy(), 4 * n.to_numpy(), ends)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out.astype(np.int64))], ["part", "place", "ids_crc32"])
 
     checked = whole.mapInArrow(run, "part int, place long, ids_crc32 long")
     parts = spark.read.parquet(f"{path}/parts")

@@ -26,11 +26,13 @@ def test_ids_are_the_library_s(library):
     assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_checksums_combine():
-    rng = random.Random(1)
-    for _ in range(50):
-        a, b = rng.randbytes(rng.randint(0, 40)), rng.randbytes(rng.randint(0, 9000))
-        assert op.crc_after(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+def test_checksums_of_parts():
+    rng = np.random.default_rng(5)
+    parts = [[rng.bytes(4 * int(n)) for n in rng.integers(1, 3000, k)] for k in (1, 2, 7, 1, 3)]
+    flat = [x for d in parts for x in d]
+    got = op.joined_crcs(np.array([zlib.crc32(x) for x in flat]), np.array([len(x) for x in flat]), np.cumsum([len(d) for d in parts]).tolist())
+    assert got.tolist() == [zlib.crc32(b"".join(d)) for d in parts]
+
 
 
 def test_chunks_follow_content():
@@ -85,6 +87,16 @@ def test_a_lost_chunk_is_found(spark):
         op.read_sums(spark, path).collect()
 
 
+def test_a_lost_recipe_is_found(spark):
+    path = common.scratch_path(spark, "store")
+    op.write_store(spark.createDataFrame([(1, "a b c"), (2, "d")], "doc_id long, text string"), path)
+    recipes = spark.read.parquet(f"{path}/recipes")
+    kept = spark.createDataFrame(recipes.filter("doc_id = 1").collect(), recipes.schema)
+    kept.write.mode("overwrite").parquet(f"{path}/recipes")
+    with pytest.raises(ValueError, match="manifest"):
+        op.read_sums(spark, path)
+
+
 def test_no_documents(spark, none):
     path = common.scratch_path(spark, "store")
     op.write_store(none, path)
