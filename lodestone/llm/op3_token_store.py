@@ -316,8 +316,10 @@ def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id
     spark = docs.sparkSession
     common.tune(spark)
     texts = common.texts_of(docs)
-    _stored_once(_pieces(texts, vocabulary, end_id)).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    _in_order(_recipes(spark.read.schema(PIECE_ROW).parquet(f"{path}/chunks"))).write.parquet(f"{path}/recipes")
+    _stored_once(_pieces(texts, vocabulary, end_id)).write.parquet(f"{path}/chunks")
+    # written first: dealing out by range asks for its rows twice
+    made = common.materialise(_recipes(spark.read.schema(PIECE_ROW).parquet(f"{path}/chunks")), "recipes")
+    _in_order(made).write.parquet(f"{path}/recipes")
     recipes = spark.read.parquet(f"{path}/recipes")
     totals = recipes.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

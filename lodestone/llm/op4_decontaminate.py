@@ -18,12 +18,15 @@ anchored at the first hit's diagonal, the edit distance of the segment to any
 part of the region is found bit-parallel over the band's columns, and the region
 counts if it stays within the budget.
 
+*Short items.*  Under ``SHORTEST`` characters the lemma leaves too few q-grams and
+the budget no edit: such items count where they stand word for word, found by one
+automaton for all of them.
+
 *Size.*  Documents are never shuffled by text.  The items are collected in
 blocks of ``BLOCK_CHARS`` characters at most and each block is looked up in all
 documents, so what is sent to executors is bounded whatever the benchmark holds.
 
-Defined results: null or empty texts and items match nothing, nor do items
-shorter than ``SHORTEST`` characters in plain form (they are no evidence).  Equal
+Defined results: null or empty texts and items match nothing.  Equal
 items are reported each.  Repeated documents are reported each.  Extra columns
 are ignored.
 """
@@ -32,6 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -122,9 +126,12 @@ class Items:
         self.item: list[int] = []
         self.offset: list[int] = []
         hashes, owner, place = [], [], []
+        short: dict[str, list[int]] = {}
         for item_id, text in items:
             codes = code_points(plain(text))
             if len(codes) < SHORTEST:
+                if len(codes):
+                    short.setdefault(plain(text), []).append(item_id)
                 continue
             starts = list(range(0, max(len(codes) - SEGMENT, 0) + 1, STEP))
             if len(codes) > SEGMENT and starts[-1] + SEGMENT < len(codes):
@@ -138,6 +145,11 @@ class Items:
                 self.segments.append(segment)
                 self.item.append(item_id)
                 self.offset.append(start)
+        self.short = ahocorasick.Automaton()
+        for text, ids in short.items():
+            self.short.add_word(text, (len(text), ids))
+        if short:
+            self.short.make_automaton()
         size = [len(s) for s in self.segments]
         self.most = np.array([int(BUDGET * n) for n in size], np.int64)
         self.need = np.array([max(1, n + 1 - Q - k * Q) for n, k in zip(size, self.most)], np.int64)
@@ -154,6 +166,16 @@ class Items:
         self.sieve = np.zeros(1 << bits, bool)
         self.sieve[self.unique >> self.shift] = True
 
+    def short_matches(self, text: str) -> Iterator[tuple[int, tuple[int, int, int]]]:
+        """``(item, (0, begin, end))`` of the short items that stand in a plain text as
+        whole words."""
+        if len(self.short):
+            for last, (size, ids) in self.short.iter(text):
+                begin, end = last + 1 - size, last + 1
+                if not (begin and text[begin - 1].isalnum() and text[begin].isalnum()) and not (end < len(text) and text[end].isalnum() and text[last].isalnum()):
+                    for item in ids:
+                        yield item, (0, begin, end)
+
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """(place in the text, segment, place in the segment) of shared q-grams;
         None if they are too many to be held at once."""
@@ -257,7 +279,11 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]
 
 def _found(items: Items, texts: list[str]) -> dict[tuple[int, int], tuple[int, int, int]]:
     starts = np.r_[0, np.cumsum([len(t) for t in texts])]
-    return items.matches(code_points("".join(texts)), starts)
+    found = items.matches(code_points("".join(texts)), starts)
+    for n, text in enumerate(texts):
+        for item, place in items.short_matches(text):
+            found.setdefault((n, item), place)
+    return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -44,7 +44,11 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+    """Runs of letters; digits and numbers of any script end a run."""
+    words = _LETTERS.findall((text or "").lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -134,13 +138,16 @@ def _commonest(counts: DataFrame, most: int, *also: str) -> list[tuple[str, str,
     """The commonest units of each language (and of each value of ``also``).
 
     A histogram of the counts tells from which count on there are ``most`` units
-    at most; units are kept from there, so they are never sorted by language.
+    at most; units are kept from there, so they are never sorted by language.  If
+    more than ``most`` share the greatest count, a hash chooses about ``most`` of them.
     """
     levels = counts.groupBy("lang", *also, "n").agg(F.count("*").alias("units"))
     upwards = Window.partitionBy("lang", *also).orderBy(F.desc("n"))
     running = levels.select("lang", *also, "n", F.sum("units").over(upwards).alias("running"), F.row_number().over(upwards).alias("level"))
-    least = running.filter((F.col("running") <= most) | (F.col("level") == 1)).groupBy("lang", *also).agg(F.min("n").alias("least"))
-    top = counts.join(least, ["lang", *also]).filter("n >= least")
+    kept = running.filter((F.col("running") <= most) | (F.col("level") == 1))
+    least = kept.groupBy("lang", *also).agg(F.min("n").alias("least"), F.max("running").alias("kept"))
+    chosen = F.pmod(F.xxhash64("unit"), F.lit(1 << 20)) * F.col("kept") < F.lit(most << 20)
+    top = counts.join(least, ["lang", *also]).filter((F.col("n") >= F.col("least")) & ((F.col("kept") <= most) | chosen))
     return [(x.lang, x.unit, x.n) for x in top.select("lang", "unit", "n").collect()]
 
 

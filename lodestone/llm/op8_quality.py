@@ -10,9 +10,10 @@ occurs twice or more in the text.  Too few words or too many repeated ones fail.
 characters per token, the share of byte-fallback tokens (those for white space
 aside) and the entropy of the token distribution in bits.  Every language has a
 band; languages without one of their own use the band of the script most of
-their letters belong to.  Outside the band a document is rejected.  A single
-long identifier weighs more in a short text, so the lower bound of characters
-per token gives way by ``SLACK / n_words``.
+their letters belong to.  Outside the band a document is rejected.  The least
+values hold for long texts; the measures of ``n`` words hang on few of them, so
+there the least values are ``n / (n + PRIOR_WORDS)`` of those, at every length.
+``fit_bands`` takes the least characters per token from labelled good documents.
 
 Each row is judged by itself: no shuffle, one pass over the texts.
 
@@ -39,16 +40,18 @@ MAX_REPEAT_PERCENT = 30
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
-#: How far short texts may fall below the band of characters per token.
-SLACK = 20.0
-#: Token entropy is only judged from this many words on.
-ENTROPY_WORDS = 50
-#: (least, most) characters per token, most byte-fallback share, least entropy.
+#: Words that count against the least values of a band.
+PRIOR_WORDS = 8
+#: Good documents of a language that ``fit_bands`` looks at, the share of them that
+#: may lie below, and what the bound stays under that.
+FIT_DOCUMENTS, FIT_SHARE, FIT_MARGIN = 5_000, 0.005, 0.15
+#: (least, most) characters per token, most byte-fallback share, least entropy.  The
+#: first are those of ``fit_bands`` over the labelled documents of sf0.1.
 LANGUAGE_BANDS = {
-    "de": (2.43, 7.0, 0.2, 4.75),
-    "en": (2.43, 7.0, 0.2, 4.75),
-    "es": (2.11, 7.0, 0.2, 4.75),
-    "fr": (2.18, 7.0, 0.2, 4.75),
+    "de": (2.27, 7.0, 0.2, 4.75),
+    "en": (2.25, 7.0, 0.2, 4.75),
+    "es": (1.97, 7.0, 0.2, 4.75),
+    "fr": (1.98, 7.0, 0.2, 4.75),
 }
 SCRIPT_BANDS = {
     "LATIN": (1.5, 7.0, 0.3, 4.0),
@@ -125,11 +128,8 @@ def fertility(text: str, ids: np.ndarray, is_byte: np.ndarray, space_bytes: np.n
 
 def within_band(lang: str | None, text: str, n_words: int, cpt: float, byte_share: float, entropy: float) -> bool:
     least, most, most_bytes, least_entropy = LANGUAGE_BANDS.get(lang or "") or SCRIPT_BANDS[script_of(text)]
-    return (
-        least - SLACK / max(n_words, 1) <= cpt <= most
-        and byte_share <= most_bytes
-        and (n_words < ENTROPY_WORDS or entropy >= least_entropy)
-    )
+    weight = n_words / (n_words + PRIOR_WORDS)
+    return least * weight <= cpt <= most and byte_share <= most_bytes and entropy >= least_entropy * weight
 
 
 def judge(texts: list[str | None], langs: list[str | None], model: str = MODEL) -> list[tuple]:
@@ -176,5 +176,17 @@ def filter_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def fit_bands(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> dict[str, float]:
+    """The least characters per token for each language of labelled good documents
+    (``labels.quality`` 1): some ``documents`` of a language, chosen by a hash of their
+    id, that pass the base rules."""
+    good = docs.filter("lang is not null").join(labels.filter("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    some = good.join(good.groupBy("lang").agg(F.count("*").alias("__n")), "lang")
+    some = some.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) * F.col("__n") < F.lit((1 << 20) * documents))
+    found = measure(some).filter("not base_failed").join(some.select("doc_id", "lang").distinct(), "doc_id")
+    low = found.groupBy("lang").agg(F.expr(f"percentile_approx(chars_per_token, {FIT_SHARE}, 10000)").alias("low"))
+    return {r.lang: round(r.low - FIT_MARGIN, 2) for r in low.collect()}  # a row for each language
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(common.table(spark, sf_dir, "documents"))

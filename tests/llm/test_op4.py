@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -79,6 +80,13 @@ def test_blocks(spark, benchmark, monkeypatch):
     assert op.decontaminate(docs, benchmark).count() == 0
 
 
+def test_short_items_count_word_for_word():
+    items = op.Items([(1, "What is  2+2?"), (2, "Name the capital of old Peru"), (3, "ox"), (4, ""), (5, "OX")])
+    texts = [op.plain(x) for x in ("He asked: what is 2+2? Four.", "name the capital of old Perugia", "so: Name the\ncapital of old Peru!", "an ox, a fox", "foxes")]
+    want = {(n, i) for n, t in enumerate(texts) for i, x in ((1, "what is 2+2?"), (2, "name the capital of old peru"), (3, "ox"), (5, "ox")) if re.search(rf"(?<![a-z0-9]){re.escape(x)}(?![a-z0-9])" if x[-1].isalnum() else re.escape(x), t)}
+    assert set(op._found(items, texts)) == want == {(0, 1), (2, 2), (3, 3), (3, 5)}
+
+
 def test_empty_tables(none, benchmark, odd):
     assert op.contaminated(none, benchmark).count() == 0
     assert op.contaminated(odd, benchmark.filter("false")).count() == 0

@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -56,7 +57,27 @@ def test_fertility_rejects_by_band():
     shout = " ".join(w.upper() + "!!" for w in prose(5, 300).split())
     rows = op.judge([shout, None, "中文字符 " * 200], ["en", None, None])
     assert not rows[0][6] and not rows[1][6]
-    assert op.script_of("中文 abc") in ("CJK", "LATIN") and op.script_of("абв") == "CYRILLIC" and op.script_of("123") == "OTHER"
+    assert op.script_of("中文 abc") == "LATIN" and op.script_of("中文字 ab") == "CJK" and op.script_of("абв") == "CYRILLIC" and op.script_of("123") == "OTHER"
+
+
+def test_bands_bind_at_every_length():
+    least, *_, entropy = op.LANGUAGE_BANDS["en"]
+    for n in (1, 20, 49, 50, 51, 400, 100_000):
+        weight = n / (n + op.PRIOR_WORDS)
+        assert op.within_band("en", "", n, least * weight + 1e-9, 0, entropy * weight + 1e-9)
+        assert not op.within_band("en", "", n, least * weight - 1e-6, 0, 9)
+        assert not op.within_band("en", "", n, 3, 0, entropy * weight - 1e-6)
+
+
+def test_bands_are_those_of_the_fit(spark):
+    """Quantiles by another way; the constants come from sf0.1."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = common.table(spark, d, "documents"), common.table(spark, d, "labels")
+    got = op.fit_bands(docs, labels)
+    values = {}
+    for r in op.measure(docs).join(labels.filter("quality = 1"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null and not base_failed").collect():
+        values.setdefault(r.lang, []).append(r.chars_per_token)
+    assert got == {k: pytest.approx(sorted(v)[max(0, math.ceil(len(v) * op.FIT_SHARE) - 1)] - op.FIT_MARGIN, abs=0.006) for k, v in values.items()}
 
 
 def test_frames(odd, odd_rows, none):
