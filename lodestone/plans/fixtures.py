@@ -91,6 +91,43 @@ def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.select("file_path", "caller_ordinal", "caller", "ordinal", "raw", "line", "target")
 
 
+def order_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function for each order, a hundred files of them."""
+    key, file = F.col("o_orderkey").cast("string"), (F.col("o_orderkey") % 100).cast("string")
+    start = (F.col("o_orderkey") * 10 + 1).cast("int")
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("./o"), file, F.lit("/ord.go")).alias("file_path"),
+        F.col("o_orderkey").cast("int").alias("ordinal"),
+        F.concat(F.lit("f"), key).alias("name"),
+        F.concat(F.lit("o"), file, F.lit(".f"), key).alias("qualified_name"),
+        F.lit(None).cast("string").alias("receiver"),
+        start.alias("line_start"),
+        (start + 7).alias("line_end"),
+    )
+
+
+def order_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call for each line item by its order: some four calls a function."""
+    k, m = F.col("l_orderkey"), F.col("l_partkey") % 4
+    f = lambda c: F.concat(F.lit("f"), c.cast("string"))
+    half = F.expr("l_orderkey div 2")
+    other = F.element_at(F.array(*map(F.lit, OTHERS)), (k % 7 + 1).cast("int"))
+    raw = F.when(m == 0, f(half)).when(m == 1, F.concat(F.lit("o"), (half % 100).cast("string"), F.lit("."), f(half))).when(m == 2, f(F.col("l_partkey"))).otherwise(other)
+    package = F.concat(F.lit("o"), (k % 100).cast("string"))
+    calls = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("./"), package, F.lit("/ord.go")).alias("file_path"),
+        k.cast("int").alias("caller_ordinal"),
+        F.concat_ws(".", package, f(k)).alias("caller"),
+        raw.alias("raw"),
+        F.col("l_linenumber").cast("int").alias("line"),
+        F.lit("[unresolved]").alias("target"),
+        *(F.col(c).alias(f"__{c}") for c in ("l_linenumber", "l_partkey", "l_suppkey")),
+    )
+    order = Window.partitionBy("caller").orderBy("__l_linenumber", "__l_partkey", "__l_suppkey", "raw")
+    calls = calls.withColumn("ordinal", (F.row_number().over(order) - 1).cast("int"))
+    return calls.select("file_path", "caller_ordinal", "caller", "ordinal", "raw", "line", "target")
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source file for each document."""
     docs = table(spark, sf_dir, "documents")
@@ -124,7 +161,7 @@ def generated_sql(lang: str) -> str:
       FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)"""
 
 
-SQL = """
+SUPPLIERS = """
 fns AS (
   SELECT './n' || s_nationkey || '/sup.go' AS file_path, s_suppkey::INT AS ordinal, 's' || s_suppkey AS name,
          'n' || s_nationkey || '.s' || s_suppkey AS qualified_name, NULL::VARCHAR AS receiver,
@@ -144,7 +181,23 @@ fns AS (
            ELSE ['printf', 'sys_openat', 'ARRAY_SIZE', 'pr_err', 'fmt.Println', 'close', 'mystery_fn'][(l_orderkey % 7 + 1)::INT] END AS raw,
          l_linenumber::INT AS line, l_orderkey, l_linenumber, l_partkey, l_suppkey
   FROM lineitem JOIN supplier a ON a.s_suppkey = l_suppkey LEFT JOIN supplier b ON b.s_suppkey = l_suppkey // 2 LEFT JOIN part ON p_partkey = l_partkey
-  {reduced}
+"""
+ORDERS = """
+fns AS (
+  SELECT './o' || o_orderkey % 100 || '/ord.go' AS file_path, o_orderkey::INT AS ordinal, 'f' || o_orderkey AS name,
+         'o' || o_orderkey % 100 || '.f' || o_orderkey AS qualified_name, NULL::VARCHAR AS receiver,
+         (o_orderkey * 10 + 1)::INT AS line_start, (o_orderkey * 10 + 8)::INT AS line_end FROM orders
+), calls0 AS (
+  SELECT './o' || l_orderkey % 100 || '/ord.go' AS file_path, l_orderkey::INT AS caller_ordinal, 'o' || l_orderkey % 100 || '.f' || l_orderkey AS caller,
+         CASE l_partkey % 4
+           WHEN 0 THEN 'f' || (l_orderkey // 2)
+           WHEN 1 THEN 'o' || (l_orderkey // 2) % 100 || '.f' || (l_orderkey // 2)
+           WHEN 2 THEN 'f' || l_partkey
+           ELSE ['printf', 'sys_openat', 'ARRAY_SIZE', 'pr_err', 'fmt.Println', 'close', 'mystery_fn'][(l_orderkey % 7 + 1)::INT] END AS raw,
+         l_linenumber::INT AS line, l_orderkey, l_linenumber, l_partkey, l_suppkey
+  FROM lineitem
+"""
+SQL = """
 ), calls AS (
   SELECT *, (row_number() OVER (PARTITION BY caller ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, raw) - 1)::INT AS ordinal FROM calls0
 ), keys AS (
@@ -158,7 +211,7 @@ fns AS (
     WHEN NOT contains(q, '.') THEN q
     WHEN regexp_matches(q, '^(?s:.*)[.]\\p{{Lu}}[^.]*[.][^.]*$') THEN regexp_extract(q, '^((?s:.*))[.][^.]*[.][^.]*$', 1)
     ELSE regexp_extract(q, '^((?s:.*))[.][^.]*$', 1) END AS package FROM firsts
-), known(name, kind) AS (VALUES {known}), parts AS (
+), known(name, kind, summary) AS (VALUES {known}), parts AS (
   SELECT c.*, p.package, len(string_split(raw, '.')) AS n_parts,
          array_to_string(list_slice(string_split(raw, '.'), greatest(len(string_split(raw, '.')) - 1, 1), len(string_split(raw, '.'))), '.') AS last_two
   FROM calls c LEFT JOIN packages p USING (file_path)
@@ -176,11 +229,11 @@ fns AS (
 """
 
 
-def sql(select: str, reduced: bool = False, extra: str = "", recursive: bool = False) -> str:
+def sql(select: str, extra: str = "", recursive: bool = False, relations: str = SUPPLIERS) -> str:
     """A query over the relations above; ``extra`` are further common tables."""
     from ..functions.externals import MACRO_NAMES, MACRO_PREFIXES, external_rows
 
-    known = ", ".join(f"('{n}', '{k}')" for n, k, _ in external_rows())
+    known = ", ".join(f"('{n}', '{k}', '{s}')" for n, k, s in external_rows())
     macro = " OR ".join(["regexp_matches(raw, '^[A-Z0-9_]+$')", f"raw IN ({', '.join(f"'{n}'" for n in MACRO_NAMES)})", *(f"starts_with(raw, '{p}')" for p in MACRO_PREFIXES)])
-    base = SQL.format(reduced="WHERE l_linenumber = 1 AND l_quantity <= 5" if reduced else "", known=known, macro=macro)
-    return f"WITH {'RECURSIVE ' if recursive else ''}{base.strip()}{', ' + extra if extra else ''} {select}"
+    base = relations.strip() + "\n" + SQL.format(known=known, macro=macro).strip()
+    return f"WITH {'RECURSIVE ' if recursive else ''}{base}{', ' + extra if extra else ''} {select}"

@@ -101,7 +101,7 @@ def categorize_externals(spark, d):
 
 
 def externals_agg(spark, d):
-    return resolve.externals(_resolved(spark, d)[1]).select("name", "kind", "references")
+    return resolve.externals(_resolved(spark, d)[1]).select("name", "kind", "summary", "references")
 
 
 def called_by(spark, d):
@@ -179,22 +179,30 @@ def _roots(functions):
     return functions.filter(F.col("name") == ROOT)
 
 
-def _shown(rows):
-    return rows.select("level", F.array_join(F.transform("sort_path", lambda x: x.cast("string")), ".").alias("place"), "node", "row_kind", "line_text")
+def _shown(rows, *more):
+    return rows.select(*more, "level", F.array_join(F.transform("sort_path", lambda x: x.cast("string")), ".").alias("place"), "node", "row_kind", "line_text")
 
 
 def _forward(depth: int) -> Query:
     def query(spark, d):
         functions, resolved = _resolved(spark, d)
-        return _shown(trace.trace_forward(functions, resolved, _roots(functions), depth)).drop("line_text")
+        return _shown(trace.trace_forward(functions, resolved, _roots(functions), depth))
 
     return query
 
 
+def trace_forward_d3(spark, d):
+    """Over the calls of orders: three levels below ``s7`` have some fifty million rows."""
+    functions = fx.order_functions(spark, d)
+    resolved = resolve.resolve_calls(functions, fx.order_calls(spark, d))
+    rows = trace.trace_forward(functions, resolved, functions.filter("name LIKE 'f%7'"), 3)
+    return _shown(rows, "root")
+
+
 def _backward(depth: int) -> Query:
     def query(spark, d):
         functions, resolved = _resolved(spark, d)
-        return _shown(trace.trace_backward(functions, resolved, _roots(functions), depth)).drop("line_text")
+        return _shown(trace.trace_backward(functions, resolved, _roots(functions), depth))
 
     return query
 
@@ -207,14 +215,13 @@ def trace_cycles(spark, d):
 
 def trace_first_external(spark, d):
     functions, resolved = _resolved(spark, d)
-    rows = trace.trace_forward(functions, resolved, _roots(functions), 2).filter("row_kind = 'external'")
-    first = F.row_number().over(Window.partitionBy("root", "root_file", "node").orderBy("sort_path"))
-    return rows.withColumn("r", first).filter("r = 1").select("root", "node", F.array_join(F.transform("sort_path", lambda x: x.cast("string")), ".").alias("place"))
+    rows = trace.trace_forward(functions, resolved, _roots(functions), 2).filter("summary IS NOT NULL")
+    return rows.select("root", "node", "summary", F.array_join(F.transform("sort_path", lambda x: x.cast("string")), ".").alias("place"))
 
 
 def trace_lines(spark, d):
     functions, resolved = _resolved(spark, d)
-    return _shown(trace.trace_forward(functions, resolved, _roots(functions), 1)).select("place", F.regexp_replace("line_text", ' : ".*"$', "").alias("line_text"))
+    return _shown(trace.trace_forward(functions, resolved, _roots(functions), 1)).select("place", "line_text")
 
 
 def preserve_summaries(spark, d):
@@ -236,10 +243,15 @@ def callee_context(spark, d):
 
 
 def summary_batches(spark, d):
-    functions = fx.functions(spark, d).filter("receiver IS NULL")
-    n = F.row_number().over(Window.partitionBy("file_path").orderBy("qualified_name")) - 1
-    size = summarize.BATCH_SIZE
-    return functions.select("file_path", "qualified_name", F.floor(n / size).alias("batch"), (n % size + 1).cast("long").alias("position"))
+    """Whether every function has a place of its own and batches are filled in order."""
+    functions = fx.functions(spark, d).select("qualified_name").distinct()
+    batches = summarize.numbered(functions).groupBy("batch").agg(F.count("*").alias("n"), F.min("position").alias("low"), F.max("position").alias("high"), F.countDistinct("position").alias("places"))
+    good = (F.col("low") == 1) & (F.col("high") == F.col("n")) & (F.col("places") == F.col("n")) & (F.col("n") <= summarize.BATCH_SIZE)
+    shard, number = F.substring_index("batch", "-", 1), F.substring_index("batch", "-", -1).cast("long")
+    last = batches.groupBy(shard.alias("shard")).agg(F.max(number).alias("last"), F.count("*").alias("batches"))
+    met = batches.withColumn("shard", shard).withColumn("number", number).join(last, "shard")
+    full = (F.col("number") == F.col("last")) | (F.col("n") == summarize.BATCH_SIZE)
+    return met.agg(F.sum("n").alias("n_requests"), F.count_if(~good).alias("n_bad"), F.count_if(~full).alias("n_open"), F.count_if(F.col("last") + 1 != F.col("batches")).alias("n_missing"))
 
 
 def duplicate_definitions(spark, d):
@@ -283,7 +295,7 @@ preserve_summaries missing_summaries callee_context summary_batches duplicate_de
 def queries() -> dict[str, Query]:
     out = {name: globals()[name] for name in NAMES}
     out |= {f"extract_{lang}": _extract(lang) for lang in fx.GENERATED}
-    out |= {f"trace_forward_d{n}": _forward(n) for n in (1, 2, 3)}
+    out |= {f"trace_forward_d{n}": _forward(n) for n in (1, 2)} | {"trace_forward_d3": trace_forward_d3}
     return out | {f"trace_backward_d{n}": _backward(n) for n in (1, 2)}
 
 
@@ -302,20 +314,46 @@ _LEVELS = """depth AS (SELECT DISTINCT scc_id AS node, 0::BIGINT AS level FROM s
 _GRAPH = ", ".join([_INNER, _SCC, _SCC_OF, _DAG, _LEVELS])
 _DEFS = "defs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qualified_name ORDER BY file_path DESC, ordinal DESC) AS r FROM fns) WHERE r = 1)"
 _FORWARD = """walk AS (
-  SELECT qualified_name AS root, 0 AS level, []::INT[] AS places, qualified_name AS node, 'function' AS row_kind, [qualified_name] AS path FROM fns WHERE name = 's7'
+  SELECT qualified_name AS root, file_path AS root_file, 0 AS level, []::INT[] AS places, qualified_name AS node, 'function' AS row_kind, [qualified_name] AS path FROM fns WHERE {roots}
+  UNION ALL
+  SELECT root, root_file, level + 1, list_append(places, c.ordinal), c.target, CASE WHEN q.qualified_name IS NULL THEN 'external' WHEN list_contains(path, c.target) THEN 'cycle' ELSE 'function' END, list_append(path, c.target)
+  FROM walk JOIN resolved c ON c.caller = node LEFT JOIN defs q ON q.qualified_name = c.target WHERE row_kind = 'function' AND level < {depth}
+), firsts_of AS (
+  SELECT root, root_file, node, min(places) AS places FROM walk WHERE row_kind = 'external' GROUP BY 1, 2, 3
+), said AS (
+  SELECT f.root, f.root_file, f.node, f.places, coalesce(s.summary, k.summary) AS summary
+  FROM (SELECT *, regexp_extract(node, '^[[][a-z]+:(.*)[]]$', 1) AS bare FROM firsts_of) f
+  LEFT JOIN known s ON s.kind = 'syscall' AND starts_with(bare, 'sys_') AND s.name = substr(bare, 5) LEFT JOIN known k ON k.name = bare
+), shown AS (
+  SELECT w.*, s.summary, '[' || level || '] ' || repeat('-', level) || CASE WHEN level > 0 THEN ' ' ELSE '' END || CASE row_kind
+      WHEN 'function' THEN w.node || ' (' || d.file_path || ':' || d.line_start || '-' || d.line_end || ')'
+      WHEN 'external' THEN '[external] ' || w.node || coalesce(' : "' || s.summary || '"', '') ELSE '[cycle] ' || w.node END AS line_text
+  FROM walk w LEFT JOIN defs d ON d.qualified_name = w.node LEFT JOIN said s ON s.root = w.root AND s.root_file = w.root_file AND s.node = w.node AND s.places = w.places
+)"""
+_BACKWARD = """callers AS (
+  SELECT dst AS f, src AS t, (row_number() OVER w - 1)::INT AS place, row_number() OVER w = count(*) OVER (PARTITION BY dst) AS last FROM edges WINDOW w AS (PARTITION BY dst ORDER BY src)
+), walk AS (
+  SELECT qualified_name AS root, 0 AS level, []::INT[] AS places, qualified_name AS node, 'function' AS row_kind, [qualified_name] AS path, '  ' AS prefix, true AS last FROM fns WHERE {roots}
   UNION ALL
-  SELECT root, level + 1, list_append(places, c.ordinal), c.target, CASE WHEN q.qualified_name IS NULL THEN 'external' WHEN list_contains(path, c.target) THEN 'cycle' ELSE 'function' END, list_append(path, c.target)
-  FROM walk JOIN resolved c ON c.caller = node LEFT JOIN defs q ON q.qualified_name = c.target WHERE row_kind = 'function' AND level < {depth})"""
-_BACKWARD = """callers AS (SELECT dst AS f, src AS t, (row_number() OVER (PARTITION BY dst ORDER BY src) - 1)::INT AS place FROM edges), walk AS (
-  SELECT qualified_name AS root, 0 AS level, []::INT[] AS places, qualified_name AS node, 'function' AS row_kind, [qualified_name] AS path FROM fns WHERE name = 's7'
+  SELECT root, level + 1, list_append(places, c.place), c.t, CASE WHEN q.qualified_name IS NULL THEN 'external' WHEN list_contains(path, c.t) THEN 'cycle' ELSE 'function' END, list_append(path, c.t),
+         prefix || CASE WHEN level = 0 THEN '' WHEN walk.last THEN '    ' ELSE '│   ' END, c.last
+  FROM walk JOIN callers c ON c.f = node LEFT JOIN defs q ON q.qualified_name = c.t WHERE row_kind = 'function' AND level < {depth}
+), shown AS (
+  SELECT w.*, CASE WHEN level = 0 THEN '' ELSE prefix || CASE WHEN last THEN '└── ' ELSE '├── ' END END
+      || CASE row_kind WHEN 'function' THEN node || ' (' || file_path || ':' || line_start || '-' || line_end || ')' ELSE '[' || row_kind || '] ' || node END AS line_text
+  FROM walk w LEFT JOIN defs ON qualified_name = node
+)"""
+_WALK = "SELECT level, array_to_string(places, '.') AS place, node, row_kind, line_text{} FROM shown"
+# two levels of calls, counted by edge
+_CYCLES = """e AS (SELECT caller AS src, target AS dst, count(*) AS n FROM internal GROUP BY 1, 2), found AS (
+  SELECT q.qualified_name AS root, q.qualified_name AS node, a.n FROM fns q JOIN e a ON a.src = q.qualified_name AND a.dst = a.src
   UNION ALL
-  SELECT root, level + 1, list_append(places, c.place), c.t, CASE WHEN q.qualified_name IS NULL THEN 'external' WHEN list_contains(path, c.t) THEN 'cycle' ELSE 'function' END, list_append(path, c.t)
-  FROM walk JOIN callers c ON c.f = node LEFT JOIN defs q ON q.qualified_name = c.t WHERE row_kind = 'function' AND level < {depth})"""
-_WALK = "SELECT level, array_to_string(places, '.') AS place, node, row_kind FROM walk"
+  SELECT q.qualified_name, b.dst, a.n * b.n FROM fns q JOIN e a ON a.src = q.qualified_name AND a.dst <> a.src JOIN e b ON b.src = a.dst AND b.dst IN (a.src, a.dst)
+)"""
 
 
-def _walk(kind: str, depth: int) -> str:
-    return fx.sql(_WALK, True, f"{_DEFS}, {kind.format(depth=depth)}", True)
+def _walk(kind: str, depth: int, select: str = _WALK.format(""), roots: str = f"name = '{ROOT}'", relations: str = fx.SUPPLIERS) -> str:
+    return fx.sql(select, f"{_DEFS}, {kind.format(depth=depth, roots=roots)}", True, relations)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -336,7 +374,7 @@ def oracle_sql() -> dict[str, str]:
         "resolve_calls": sql("SELECT caller, ordinal, raw, line, target FROM resolved"),
         "resolve_by_parts": sql(f"SELECT n_parts::BIGINT AS n_parts, count(*) AS n_calls, {hits} AS n_resolved FROM resolved GROUP BY 1"),
         "categorize_externals": sql("SELECT DISTINCT raw, coalesce(s.kind, l.kind, CASE WHEN regexp_matches(raw, '^[A-Z0-9_]+$') OR starts_with(raw, 'pr_') THEN 'macro' ELSE 'external' END) AS kind FROM calls LEFT JOIN known s ON s.kind = 'syscall' AND starts_with(raw, 'sys_') AND s.name = substr(raw, 5) LEFT JOIN known l ON l.name = raw"),
-        "externals_agg": sql("SELECT raw AS name, string_split(substr(target, 2), ':')[1] AS kind, count(*) AS \"references\" FROM resolved WHERE starts_with(target, '[') GROUP BY 1, 2"),
+        "externals_agg": sql("SELECT raw AS name, string_split(substr(target, 2), ':')[1] AS kind, coalesce(any_value(s.summary), any_value(l.summary)) AS summary, count(*) AS \"references\" FROM resolved LEFT JOIN known s ON s.kind = 'syscall' AND starts_with(raw, 'sys_') AND s.name = substr(raw, 5) LEFT JOIN known l ON l.name = raw WHERE starts_with(target, '[') GROUP BY 1, 2"),
         "called_by": sql("SELECT file_path, ordinal, qualified_name, count(src) AS n_callers, coalesce(string_agg(src, ',' ORDER BY src), '') AS callers FROM fns LEFT JOIN edges ON dst = qualified_name GROUP BY 1, 2, 3"),
         "call_stats": sql(f"SELECT count(*) AS n_calls, {rates} FROM resolved"),
         "index_stats": sql(f"SELECT (SELECT count(DISTINCT file_path) FROM fns) AS n_files, (SELECT count(*) FROM fns) AS n_functions, (SELECT count(DISTINCT p_brand) FROM part) AS n_types, count(*) AS n_calls, {rates} FROM resolved"),
@@ -352,18 +390,19 @@ def oracle_sql() -> dict[str, str]:
         "rank_histogram": ranked("SELECT level, count(*) AS n_functions FROM ranks GROUP BY 1"),
         "group_by_level": ranked("SELECT level, count(*) AS n_functions, md5(string_agg(qualified_name, ',' ORDER BY qualified_name)) AS names_md5 FROM ranks GROUP BY 1"),
         "stats_topology": ranked("SELECT (SELECT count(*) FROM fns) AS n_definitions, (SELECT count(*) FROM quals) AS n_functions, (SELECT count(*) FROM fns) - (SELECT count(*) FROM quals) AS n_repeated, (SELECT count(DISTINCT src) FROM edges) AS n_callers, count(*) AS n_ranked, max(level) AS top_level FROM ranks"),
-        "trace_cycles": fx.sql("SELECT root, node, count(*) AS n FROM walk WHERE row_kind = 'cycle' GROUP BY 1, 2", True, f"{_DEFS}, {_FORWARD.format(depth=2).replace("name = 's7'", 'receiver IS NULL AND ordinal <= 20')}", True),
-        "trace_first_external": fx.sql("SELECT root, node, array_to_string(places, '.') AS place FROM (SELECT *, row_number() OVER (PARTITION BY root, node ORDER BY places) AS r FROM walk WHERE row_kind = 'external') WHERE r = 1", True, f"{_DEFS}, {_FORWARD.format(depth=2)}", True),
-        "trace_lines": fx.sql("SELECT array_to_string(places, '.') AS place, '[' || level || '] ' || repeat('-', level) || CASE WHEN level > 0 THEN ' ' ELSE '' END || CASE row_kind WHEN 'function' THEN node || ' (' || file_path || ':' || line_start || '-' || line_end || ')' ELSE '[' || row_kind || '] ' || node END AS line_text FROM walk LEFT JOIN defs ON qualified_name = node", True, f"{_DEFS}, {_FORWARD.format(depth=1)}", True),
+        "trace_cycles": sql("SELECT root, node, sum(n)::BIGINT AS n FROM found GROUP BY 1, 2", extra=_CYCLES),
+        "trace_first_external": _walk(_FORWARD, 2, "SELECT root, node, summary, array_to_string(places, '.') AS place FROM said WHERE summary IS NOT NULL"),
+        "trace_lines": _walk(_FORWARD, 1, "SELECT array_to_string(places, '.') AS place, line_text FROM shown"),
         "preserve_summaries": sql(old),
         "missing_summaries": sql(f"SELECT count(*) AS n_missing FROM ({old}) WHERE summary IS NULL"),
-        "callee_context": sql("SELECT caller AS qualified_name, string_agg(string_split(target, '.')[-1] || '=does ' || name, ';' ORDER BY c.ordinal) AS context FROM internal c JOIN defs ON qualified_name = target WHERE receiver IS NULL GROUP BY 1", True, _DEFS),
-        "summary_batches": sql("SELECT file_path, qualified_name, (n // 10)::BIGINT AS batch, (n % 10 + 1)::BIGINT AS position FROM (SELECT file_path, qualified_name, row_number() OVER (PARTITION BY file_path ORDER BY qualified_name) - 1 AS n FROM fns WHERE receiver IS NULL)"),
+        "callee_context": sql("SELECT caller AS qualified_name, string_agg(string_split(target, '.')[-1] || '=does ' || name, ';' ORDER BY c.ordinal) AS context FROM internal c JOIN defs ON qualified_name = target WHERE receiver IS NULL GROUP BY 1", extra=_DEFS),
+        "summary_batches": sql("SELECT count(*) AS n_requests, 0::BIGINT AS n_bad, 0::BIGINT AS n_open, 0::BIGINT AS n_missing FROM quals"),
         "duplicate_definitions": sql("SELECT qualified_name, count(*) AS n FROM fns GROUP BY 1 HAVING count(*) > 1"),
         "dedupe_last_writer": sql("SELECT qualified_name, file_path, ordinal FROM defs", extra=_DEFS),
         "extract_lines": lines,
         "language_route": "SELECT * FROM (VALUES ('a.go', 'go'), ('./b/c.rs', 'rust'), ('d.c', 'c'), ('e.h', 'c'), ('f.py', NULL), ('g', NULL), ('h.go.txt', NULL), ('.go', NULL), ('i.C', NULL)) t(path, lang)",
     }
     out |= {f"extract_{lang}": fx.generated_sql(lang) for lang in fx.GENERATED}
-    out |= {f"trace_forward_d{n}": _walk(_FORWARD, n) for n in (1, 2, 3)}
+    out |= {f"trace_forward_d{n}": _walk(_FORWARD, n) for n in (1, 2)}
+    out["trace_forward_d3"] = _walk(_FORWARD, 3, _WALK.format(", root"), "name LIKE 'f%7'", fx.ORDERS)
     return out | {f"trace_backward_d{n}": _walk(_BACKWARD, n) for n in (1, 2)}
