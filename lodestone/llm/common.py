@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Rows and bytes of an Arrow batch handed to a Python worker.  Long texts
 #: make batches heavy, so both are bounded.
 ARROW_ROWS = 1000
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 #: Rows of hashes or ids that are sent to all tasks: a few dozen MB at most.
 FEW = 1 << 20
 

@@ -225,15 +225,35 @@ def shared_places(mine: np.ndarray, other: np.ndarray) -> np.ndarray:
     return used
 
 
+class _Masks:
+    """For an item the bits of the places it has.  Masks of items with many places are
+    kept, within ``MOST_BITS`` in all; the others are made when asked for, so memory
+    doesn't grow with the square of a page's lines."""
+
+    def __init__(self, items: list[int]):
+        self.places: dict[int, list[int]] = {}
+        for i, x in enumerate(items):
+            self.places.setdefault(x, []).append(i)
+        self.kept: dict[int, int] = {}
+        self.room = MOST_BITS // max(len(items), 1)
+
+    def __getitem__(self, item: int) -> int:
+        places = self.places.get(item, ())
+        if len(places) < 2:
+            return 1 << places[0] if places else 0
+        if (mask := self.kept.get(item)) is None:
+            mask = sum(1 << i for i in places)
+            if len(self.kept) < self.room:
+                self.kept[item] = mask
+        return mask
+
+
 def _rows(a: list[int], b: list[int]) -> list[int]:
     """After each item of ``b`` the bits of ``a`` where the common length doesn't grow."""
-    where: dict[int, int] = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    where, full = _Masks(a), (1 << len(a)) - 1
     v, out = full, []
     for x in b:
-        u = v & where.get(x, 0)
+        u = v & where[x]
         v = (v + u | v - u) & full
         out.append(v)
     return out
@@ -242,11 +262,9 @@ def _rows(a: list[int], b: list[int]) -> list[int]:
 def _lengths(a: list[int], b: list[int]) -> list[int]:
     """The common length of ``a[:i]`` and ``b`` for each ``i``."""
     v = full = (1 << len(a)) - 1
-    where: dict[int, int] = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | 1 << i
+    where = _Masks(a)
     for x in b:
-        u = v & where.get(x, 0)
+        u = v & where[x]
         v = (v + u | v - u) & full
     out = [0]
     for bit in bin(~v & full)[2:].zfill(len(a))[::-1] if a else "":
@@ -339,8 +357,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [hashes_of(lines_of(x)).tolist() for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["page_id", "host", "path", "hashes"])
+            found = [hashes_of(lines_of(x.as_py())) for x in batch.column(3)]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists], ["page_id", "host", "path", "hashes"])
 
     rows = addressed.select("page_id", "host", "path", "html").mapInArrow(thin, "page_id long, host string, path string, hashes array<long>")
     hashed = common.materialise(rows.groupBy("host", "path").agg(F.min(F.struct("page_id", "hashes")).alias("one")).select("host", "path", "one.hashes"), "page_lines")
@@ -350,14 +370,15 @@ def extract(pages: DataFrame) -> DataFrame:
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for page, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                lines = lines_of(page)
-                texts.append("\n".join(main_lines(lines, hashes_of(lines), None if other is None else np.array(other, np.int64))))
+            for page, other in zip(batch.column(2), batch.column(3)):  # one page at a time in Python's memory
+                lines = lines_of(page.as_py())
+                texts.append("\n".join(main_lines(lines, hashes_of(lines), other.values.to_numpy() if other.is_valid else None)))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"]
             )
 
-    met = addressed.join(partners, ["host", "path"], "left").select("page_id", "url", "html", "hashes")
+    # hashes are the small side; pages stream past it and are not sorted
+    met = addressed.join(partners.hint("shuffle_hash"), ["host", "path"], "left").select("page_id", "url", "html", "hashes")
     return met.mapInArrow(whole, "page_id long, url string, text string, n_chars long")
 
 

@@ -29,8 +29,10 @@ sorted runs.  A large run is explored from pivots: what a pivot reaches leaves
 the open set and becomes a pivot itself, so a group of near copies ends after a
 few pivots and gives a spanning tree of links and not all pairs.  No link
 between components is lost and nothing is capped.  Where links are verified
-afterwards, a large run is first compared with few pivots, and then only those of
-its pairs that verified links don't connect yet.
+afterwards, a large run is first compared with few pivots; then each of its texts
+that verified links don't connect with the run's main group is compared with the
+nearest text of another group.  So pairs grow with the texts; a text of a large run
+whose only true link is to a farther one stays.
 
 *Verification.*  Links of the pipeline are compared by their true shingles before
 they make groups; fingerprints alone drop nothing but equal texts.
@@ -355,15 +357,20 @@ def _stars(ring: Ring, fp: np.ndarray, node: np.ndarray) -> tuple[list, list]:
     return one, other
 
 
-def _between(ring: Ring, fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All near pairs of a run whose labels differ.  The commonest label's nodes are
-    only compared with the others'."""
+def _between(ring: Ring, fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> tuple[list, list]:
+    """Pairs of a large run's nodes with the nearest near node of another label, for
+    all nodes but those of the commonest label: no more pairs than nodes."""
     _, place, size = np.unique(label, return_inverse=True, return_counts=True)
     order = np.lexsort((place, -size[place]))
     fp, node, label = fp[order], node[order], label[order]
+    one, other = [], []
     for i in range(int(size.max()), len(fp)):
-        near = near_all(ring, np.repeat(fp[i : i + 1], i, axis=0), fp[:i]) & (label[:i] != label[i])
-        yield np.full(int(near.sum()), node[i]), node[:i][near]
+        near = np.flatnonzero(near_all(ring, np.repeat(fp[i : i + 1], i, axis=0), fp[:i]) & (label[:i] != label[i]))
+        if len(near):
+            apart = np.bitwise_count(fp[near] ^ fp[i]).sum(1, dtype=np.int64)
+            one.append(int(node[i]))
+            other.append(int(node[near[apart.argmin()]]))
+    return one, other
 
 
 def _pairs(rows: DataFrame, ring: Ring, middle_run: int, stars: bool) -> DataFrame:
@@ -382,8 +389,8 @@ def _pairs(rows: DataFrame, ring: Ring, middle_run: int, stars: bool) -> DataFra
                     a, b = _stars(ring, fp[part], node[part])
                     one, other = one + a, other + b
                     continue
-                for a, b in _between(ring, fp[part], node[part], label[part]):
-                    one, other = one + a.tolist(), other + b.tolist()
+                a, b = _between(ring, fp[part], node[part], label[part])
+                one, other = one + a, other + b
             small = np.repeat((size > 1) & (size <= middle_run), size)
             key, fp, node, label = key[small], fp[small], node[small], label[small]
             at, shift = np.arange(len(key)), 1
