@@ -16,10 +16,14 @@ def get_session(app: str = "lodestone", **conf: str) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir``; a temporary folder only where it is unset and the
+    master is local, since the machines of a cluster don't share theirs."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
     return context.getCheckpointDir()
 
 
