@@ -302,7 +302,7 @@ def _searched(index: DataFrame, queries: list[list[tuple[bytes, int]]], k: int,
     def run(table: pa.Table) -> pa.Table:
         queries, thresholds = asked.value
         segment = Segment(list(zip(*(table.column(c).to_pylist() for c in ("term", "n", "top", "heads", "data")))))
-        number, ids, scores = [], [], []
+        number, ids, scores = [np.zeros(0, np.int32)], [pa.array([], pa.int64())], [np.zeros(0, np.int64)]
         for i, query in enumerate(queries):
             found, score = segment.best(query, k, thresholds.get(i, 1))
             number.append(np.full(len(found), i, np.int32))
