@@ -31,61 +31,83 @@ def file_packages(functions: DataFrame) -> DataFrame:
     return first.select("file_path", package_of("first").alias("package"))
 
 
-def _lookups(functions: DataFrame) -> DataFrame:
-    """``kind, name, found``: exact qualified names, and keys of one definition."""
-    exact = functions.select("qualified_name").distinct().select(F.lit("q").alias("kind"), F.col("qualified_name").alias("name"), F.col("qualified_name").alias("found"))
-    unique = symbol_keys(functions).filter("n = 1").select(F.lit("k").alias("kind"), F.col("key").alias("name"), F.col("qualified_name").alias("found"))
-    return exact.unionByName(unique)
+def symbol_counts(functions: DataFrame) -> DataFrame:
+    """``kind, name, qualified_name, n``: definitions behind each qualified name (``q``)
+    and each key (``k``), counted, so that files can be added and taken away."""
+    exact = functions.select(F.lit("q").alias("kind"), F.col("qualified_name").alias("name"), "qualified_name")
+    simple = functions.select(F.lit("k").alias("kind"), "name", "qualified_name")
+    received = functions.filter("receiver is not null").select(F.lit("k").alias("kind"), F.concat_ws(".", "receiver", "name").alias("name"), "qualified_name")
+    return exact.unionByName(simple).unionByName(received).groupBy("kind", "name", "qualified_name").agg(F.count("*").alias("n"))
 
 
-def resolve_calls(functions: DataFrame, call_sites: DataFrame) -> DataFrame:
-    """``call_sites`` with ``target`` filled in and ``rule``, the probe that hit.
+def lookups(counts: DataFrame) -> DataFrame:
+    """``kind, name, found``: exact qualified names, and keys of one definition."""
+    met = counts.groupBy("kind", "name").agg(F.sum("n").alias("n"), F.min("qualified_name").alias("found"))
+    return met.filter("kind = 'q' OR n = 1").select("kind", "name", "found")
 
-    A call's probes, the first hit counts:
 
-    ========== ========================= ========================= ==================
-    parts      exact qualified name      exact qualified name      key of one definition
-    ========== ========================= ========================= ==================
-    1          package.raw               --                        raw
-    2          raw                       package.raw               raw
-    3 and more --                        --                        last two parts
-    ========== ========================= ========================= ==================
-
-    Without a hit the target is ``[kind:raw]`` of the external symbol.  Probes
-    depend on package and text alone, so they are answered once for each distinct
-    pair; the calls themselves are shuffled once, to meet the answers.
-    """
-    packages = file_packages(functions)
-    columns = [c for c in call_sites.columns if c != "target"]
-    calls = call_sites.select(*columns).join(packages, "file_path", "left")
-    wanted = calls.select("package", "raw").distinct()
+def probes(pairs: DataFrame) -> DataFrame:
+    """``pairs(package, raw)`` with the ``rank, kind, name`` of each probe of a call."""
     one, two, own = n_parts("raw") == 1, n_parts("raw") == 2, F.concat_ws(".", "package", "raw")
     # with a file that has no function there is no package to look in
     own = F.when(F.col("package").isNotNull(), own)
     probe = lambda rank, kind, name: F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), name.alias("name"))
-    probes = F.array(
+    every = F.array(
         probe(1, "q", F.when(one, own).when(two, F.col("raw"))),
         probe(2, "q", F.when(two, own)),
         probe(3, "k", F.when(one | two, F.col("raw")).otherwise(last_two_parts("raw"))),
     )
-    asked = wanted.select("package", "raw", F.explode(probes).alias("p")).select("package", "raw", "p.*").filter("name is not null")
-    hits = asked.join(_lookups(functions), ["kind", "name"])
+    return pairs.select(*pairs.columns, F.explode(every).alias("p")).select(*pairs.columns, "p.*").filter("name is not null")
+
+
+def asked_in(calls: DataFrame, packages: DataFrame) -> DataFrame:
+    """``file_path, raw, package``: each text that a file calls, once."""
+    return calls.select("file_path", "raw").distinct().join(packages, "file_path", "left").select("file_path", "raw", "package")
+
+
+def answer_calls(calls: DataFrame, packages: DataFrame, found: DataFrame) -> DataFrame:
+    """``calls`` with ``target`` and ``rule`` from ``packages`` and ``lookups``."""
+    columns = [c for c in calls.columns if c not in ("target", "rule")]
+    asked = asked_in(calls, packages)
+    pairs = asked.select("package", "raw").distinct()
+    hits = probes(pairs).join(found, ["kind", "name"])
     best = hits.groupBy("package", "raw").agg(F.min_by("found", "rank").alias("found"), F.min("rank").alias("rule"))
     answers = categorized(
-        wanted.alias("w")
+        asked.alias("w")
         .join(best.alias("b"), F.col("w.package").eqNullSafe(F.col("b.package")) & (F.col("w.raw") == F.col("b.raw")), "left")
-        .select("w.package", "w.raw", "found", "rule")
+        .select("w.file_path", "w.raw", "found", "rule")
     )
     answers = answers.select(
-        F.col("package").alias("__package"),
+        F.col("file_path").alias("__file"),
         F.col("raw").alias("__raw"),
         F.coalesce("found", F.concat(F.lit("["), "kind", F.lit(":"), "raw", F.lit("]"))).alias("target"),
         "rule",
     )
-    met = calls.join(answers, F.col("package").eqNullSafe(F.col("__package")) & (F.col("raw") == F.col("__raw")), "left")
+    met = calls.select(*columns).join(answers, F.col("file_path").eqNullSafe(F.col("__file")) & (F.col("raw") == F.col("__raw")), "left")
     return met.select(*columns, "target", "rule")
 
 
+def resolve_calls(functions: DataFrame, call_sites: DataFrame) -> DataFrame:
+    """``call_sites`` with ``target`` filled in and ``rule``, the probe that hit.
+
+    A call's probes, the first hit counts:
+
+    ========== ========================= ========================= ==================
+    parts      exact qualified name      exact qualified name      key of one definition
+    ========== ========================= ========================= ==================
+    1          package.raw               --                        raw
+    2          raw                       package.raw               raw
+    3 and more --                        --                        last two parts
+    ========== ========================= ========================= ==================
+
+    Without a hit the target is ``[kind:raw]`` of the external symbol.  Probes
+    depend on package and text alone, so they are answered once for each distinct
+    pair.  Packages meet the distinct pairs of file and text (summed in the tasks
+    first), so the calls themselves are shuffled once at most, to meet the answers.
+    """
+    return answer_calls(call_sites, file_packages(functions), lookups(symbol_counts(functions)))
+
+
 def called_by(functions: DataFrame, resolved: DataFrame) -> DataFrame:
     """``functions`` with ``called_by``: their distinct callers in order."""
     callers = resolved.filter(is_internal("target")).groupBy(F.col("target").alias("__target")).agg(F.array_sort(F.collect_set("caller")).alias("called_by"))

@@ -14,21 +14,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def functions(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
+    """Suppliers and parts as functions; ``edited``: the next version of the tree (see ``EDITED``)."""
     supplier, part = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
     nation = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
     name = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
-    one = supplier.select(
-        F.concat(F.lit("./"), nation, F.lit("/sup.go")).alias("file_path"),
+    one_of = lambda rows, package, name: rows.select(
+        F.concat(F.lit("./"), package, F.lit("/sup.go")).alias("file_path"),
         F.col("s_suppkey").cast("int").alias("ordinal"),
         name.alias("name"),
-        F.concat_ws(".", nation, name).alias("qualified_name"),
+        F.concat_ws(".", package, name).alias("qualified_name"),
         F.lit(None).cast("string").alias("receiver"),
         (F.col("s_suppkey") * 10 + 1).cast("int").alias("line_start"),
         (F.col("s_suppkey") * 10 + 8).cast("int").alias("line_end"),
     )
+    one = one_of(supplier, nation, name)
     brand = F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("")))
     part_name = F.concat_ws("_", F.replace(F.col("p_name"), F.lit(" "), F.lit("_")), F.col("p_size").cast("string"))
+    if edited:
+        turned, k = F.col("s_nationkey") % 5 == 0, F.col("s_suppkey") % 4
+        name = F.concat(F.when(turned & (k == 2), "t").otherwise("s"), F.col("s_suppkey").cast("string"))
+        supplier = supplier.filter((F.col("s_nationkey") != 3) & ~(turned & (k == 1)))
+        one = one_of(supplier, nation, name)
+        part = part.filter(~(F.endswith("p_brand", F.lit("1")) & (F.col("p_partkey") % 3 == 0)))
     two = part.select(
         F.concat(F.lit("./"), brand, F.lit("/part.go")).alias("file_path"),
         F.col("p_partkey").cast("int").alias("ordinal"),
@@ -39,15 +47,20 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("p_partkey") * 60 + 1 + F.col("p_size")).cast("int").alias("line_end"),
     )
     both = one.unionByName(two)
+    if edited:
+        region = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("s_suppkey"))
+        both = both.unionByName(one_of(region, F.lit("nx"), F.element_at(F.array(*map(F.lit, ADDED)), F.col("s_suppkey") + 1)))
+    # what an edit turns has another signature
+    turned = F.col("file_path").rlike("^[.]/n(0|5|10|15|20)/") & (F.col("ordinal") % 4 == 3) if edited else F.lit(False)
     return both.select(
         "file_path",
         "ordinal",
         "name",
         "qualified_name",
-        F.md5(F.col("qualified_name").cast("binary")).alias("ast_hash"),
+        F.md5(F.when(turned, F.concat("qualified_name", F.lit("2"))).otherwise(F.col("qualified_name")).cast("binary")).alias("ast_hash"),
         "line_start",
         "line_end",
-        F.concat(F.lit("func "), "name", F.lit("()")).alias("signature"),
+        F.concat(F.lit("func "), "name", F.when(turned, "(int)").otherwise("()")).alias("signature"),
         F.lit(None).cast("string").alias("summary"),
         "receiver",
         F.lit("public").alias("scope"),
@@ -57,8 +70,14 @@ def functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 OTHERS = ("printf", "sys_openat", "ARRAY_SIZE", "pr_err", "fmt.Println", "close", "mystery_fn")
 
 
-def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A call for each line item."""
+#: Functions of the file that an edit adds: one for each region.
+ADDED = ("mystery_fn", "close", "s7", "s10", "s11")
+#: Files that the edit changes, adds or takes away.
+CHANGED = r"^[.]/(n(0|3|5|10|15|20|x)/|brand[0-9]1/)"
+
+
+def call_sites(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFrame:
+    """A call for each line item; ``edited``: those of the next version of the tree."""
     lineitem = table(spark, sf_dir, "lineitem")
     supplier, part = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "part")
     mine = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("own"))
@@ -76,11 +95,16 @@ def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(m == 4, F.concat(F.lit("self.pool."), method))
         .otherwise(F.element_at(F.array(*map(F.lit, OTHERS)), (F.col("l_orderkey") % 7 + 1).cast("int")))
     )
-    nation = F.concat(F.lit("n"), F.col("own").cast("string"))
+    nation, caller = F.concat(F.lit("n"), F.col("own").cast("string")), s(F.col("l_suppkey"))
+    if edited:
+        turned, k = F.col("own") % 5 == 0, F.col("l_suppkey") % 4
+        raw = F.when(turned & (F.col("l_linenumber") == 1), "mystery_fn").otherwise(raw)
+        caller = F.concat(F.when(turned & (k == 2), "t").otherwise("s"), F.col("l_suppkey").cast("string"))
+        rows = rows.filter((F.col("own") != 3) & ~(turned & ((k == 1) | (F.col("l_linenumber") == 7))))
     calls = rows.select(
         F.concat(F.lit("./"), nation, F.lit("/sup.go")).alias("file_path"),
         F.col("l_suppkey").cast("int").alias("caller_ordinal"),
-        F.concat_ws(".", nation, s(F.col("l_suppkey"))).alias("caller"),
+        F.concat_ws(".", nation, caller).alias("caller"),
         raw.alias("raw"),
         F.col("l_linenumber").cast("int").alias("line"),
         F.lit("[unresolved]").alias("target"),
@@ -197,6 +221,31 @@ fns AS (
          l_linenumber::INT AS line, l_orderkey, l_linenumber, l_partkey, l_suppkey
   FROM lineitem
 """
+#: The next version of ``SUPPLIERS``: of every fifth nation's file a quarter of the functions
+#: goes, one gets another name and one another signature, and calls change; the file of nation
+#: 3 goes, a third of the parts of some brands goes, and a file with ``ADDED`` comes.
+EDITED = (
+    "was AS (SELECT * FROM (WITH " + SUPPLIERS.strip()
+    + """) SELECT *, NULL AS x FROM fns)
+), was_calls AS (SELECT * FROM (WITH """
+    + SUPPLIERS.strip()
+    + """) SELECT * FROM calls0)
+), fns AS (
+  SELECT file_path, ordinal, CASE WHEN turned AND ordinal % 4 = 2 THEN 't' || ordinal ELSE name END AS name,
+         CASE WHEN turned AND ordinal % 4 = 2 THEN replace(qualified_name, '.s', '.t') ELSE qualified_name END AS qualified_name,
+         receiver, line_start, line_end, turned AND ordinal % 4 = 3 AS other FROM (
+    SELECT *, regexp_matches(file_path, '^[.]/n(0|5|10|15|20)/') AS turned FROM was
+  ) WHERE file_path <> './n3/sup.go' AND NOT (turned AND ordinal % 4 = 1) AND NOT (regexp_matches(file_path, '^[.]/brand[0-9]1/') AND ordinal % 3 = 0)
+  UNION ALL
+  SELECT './nx/sup.go', r_regionkey, name, 'nx.' || name, NULL, r_regionkey * 10 + 1, r_regionkey * 10 + 8, false
+  FROM (SELECT r_regionkey, ['mystery_fn', 'close', 's7', 's10', 's11'][r_regionkey + 1] AS name FROM region)
+), calls0 AS (
+  SELECT file_path, caller_ordinal, CASE WHEN turned AND caller_ordinal % 4 = 2 THEN replace(caller, '.s', '.t') ELSE caller END AS caller,
+         CASE WHEN turned AND line = 1 THEN 'mystery_fn' ELSE raw END AS raw, line, l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (
+    SELECT *, regexp_matches(file_path, '^[.]/n(0|5|10|15|20)/') AS turned FROM was_calls
+  ) WHERE file_path <> './n3/sup.go' AND NOT (turned AND (caller_ordinal % 4 = 1 OR line = 7))
+"""
+)
 SQL = """
 ), calls AS (
   SELECT *, (row_number() OVER (PARTITION BY caller ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, raw) - 1)::INT AS ordinal FROM calls0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.externals import categorized
 from ..functions.names import is_internal, last_segment, last_two_parts, line_slice, n_parts, package_of
-from ..operators import graph, resolve, search, summarize, trace
+from ..operators import graph, resolve, search, summarize, trace, update
 from ..sources import extract
 from . import fixtures as fx
 
@@ -124,6 +124,33 @@ def files_stats(spark, d):
     return functions.groupBy("file_path").agg(F.count("*").alias("n_functions"), F.count_if(F.col("receiver").isNotNull()).alias("n_methods"), F.sum(F.expr("line_end - line_start + 1")).alias("n_lines"))
 
 
+def _updated(spark, d) -> update.Update:
+    """The index of the tree, brought to the tree's next version from the changed files."""
+    old = update.build(fx.functions(spark, d), fx.call_sites(spark, d))
+    functions, calls = fx.functions(spark, d, True), fx.call_sites(spark, d, True)
+    changed = F.col("file_path").rlike(fx.CHANGED)
+    files = old.functions.select("file_path").unionByName(functions.select("file_path")).filter(changed)
+    return update.update(old, files, functions.filter(changed), calls.filter(changed))
+
+
+def update_calls(spark, d):
+    return _updated(spark, d).snapshot.calls.select("caller", "ordinal", "raw", "line", "target")
+
+
+def update_symbols(spark, d):
+    """The maintained table of keys."""
+    counts = _updated(spark, d).snapshot.symbols.filter("kind = 'k'")
+    return counts.groupBy(F.col("name").alias("key")).agg(F.sum("n").alias("n"), F.min("qualified_name").alias("qualified_name"))
+
+
+def symbol_diff(spark, d):
+    return _updated(spark, d).symbols
+
+
+def edges_delta(spark, d):
+    return _updated(spark, d).edges
+
+
 def internal_targets(spark, d):
     return _resolved(spark, d)[1].filter(is_internal("target")).groupBy("target").agg(F.count("*").alias("n_sites"))
 
@@ -289,6 +316,7 @@ find_functions find_symbols_all find_symbols_kind extract_package raw_parts symb
 resolve_by_parts categorize_externals externals_agg called_by call_stats index_stats files_stats internal_targets edges reverse_edges
 out_degree scc scc_sizes scc_dag rank_levels rank_histogram group_by_level stats_topology trace_cycles trace_first_external trace_lines
 preserve_summaries missing_summaries callee_context summary_batches duplicate_definitions dedupe_last_writer extract_lines language_route
+update_calls update_symbols symbol_diff edges_delta
 """.split()
 
 
@@ -343,6 +371,11 @@ _BACKWARD = """callers AS (
       || CASE row_kind WHEN 'function' THEN node || ' (' || file_path || ':' || line_start || '-' || line_end || ')' ELSE '[' || row_kind || '] ' || node END AS line_text
   FROM walk w LEFT JOIN defs ON qualified_name = node
 )"""
+# both versions of the tree side by side
+_BOTH = """SELECT {columns}, CASE WHEN o.n IS NULL THEN {one} WHEN c.n IS NULL THEN {two} ELSE 'modified' END AS change
+FROM ({old}) o FULL JOIN ({new}) c USING ({columns}) WHERE o.n IS DISTINCT FROM c.n"""
+_NAMED = "SELECT qualified_name, string_agg(s, ';' ORDER BY s) AS n FROM (SELECT qualified_name, name || {} AS s FROM fns) GROUP BY 1"
+_EDGED = "SELECT src, dst, 1 AS n FROM edges"
 _WALK = "SELECT level, array_to_string(places, '.') AS place, node, row_kind, line_text{} FROM shown"
 # two levels of calls, counted by edge
 _CYCLES = """e AS (SELECT caller AS src, target AS dst, count(*) AS n FROM internal GROUP BY 1, 2), found AS (
@@ -400,6 +433,10 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_definitions": sql("SELECT qualified_name, count(*) AS n FROM fns GROUP BY 1 HAVING count(*) > 1"),
         "dedupe_last_writer": sql("SELECT qualified_name, file_path, ordinal FROM defs", extra=_DEFS),
         "extract_lines": lines,
+        "update_calls": sql("SELECT caller, ordinal, raw, line, target FROM resolved", relations=fx.EDITED),
+        "update_symbols": sql("SELECT * FROM keys", relations=fx.EDITED),
+        "symbol_diff": _BOTH.format(columns="qualified_name", one="'added'", two="'removed'", old=sql(_NAMED.format("'()'")), new=sql(_NAMED.format("CASE WHEN other THEN '(int)' ELSE '()' END"), relations=fx.EDITED)),
+        "edges_delta": _BOTH.format(columns="src, dst", one="'gained'", two="'lost'", old=sql(_EDGED), new=sql(_EDGED, relations=fx.EDITED)),
         "language_route": "SELECT * FROM (VALUES ('a.go', 'go'), ('./b/c.rs', 'rust'), ('d.c', 'c'), ('e.h', 'c'), ('f.py', NULL), ('g', NULL), ('h.go.txt', NULL), ('.go', NULL), ('i.C', NULL)) t(path, lang)",
     }
     out |= {f"extract_{lang}": fx.generated_sql(lang) for lang in fx.GENERATED}
