@@ -16,7 +16,7 @@ from ..schemas import UNRESOLVED
 from ..session import cut
 from .resolve import definitions
 
-ROW = ["root", "root_file", "level", "sort_path", "node", "row_kind", "file_path", "line_start", "line_end", "prefix", "is_last"]
+ROW = ["root", "root_file", "level", "sort_path", "node", "row_kind", "file_path", "line_start", "line_end", "prefix", "is_last", "relevance"]
 #: Levels that are planned as one job before rows are written out.
 LAZY_LEVELS = 3
 
@@ -42,11 +42,18 @@ def _roots(roots: DataFrame) -> DataFrame:
         F.lit("  ").alias("prefix"),
         F.lit(True).alias("is_last"),
         F.array("qualified_name").alias("path"),
+        F.lit(None).cast("long").alias("relevance"),
     )
 
 
 def _expand(roots: DataFrame, steps: DataFrame, places: DataFrame, depth: int) -> DataFrame:
-    """All levels; ``steps(from, place, to, last)`` are the calls to follow."""
+    """All levels; ``steps(from, place, to, last, weight)`` are the calls to follow.
+
+    ``relevance`` is the least weight on the way to a row, so no row has more than
+    the one above it.  What every level joins is written out before the first.
+    """
+    if depth != 1:
+        steps, places = cut(steps), cut(places)
     level = _roots(roots)
     rows, done = level, 0
     while depth == 0 or done < depth:
@@ -72,6 +79,7 @@ def _expand(roots: DataFrame, steps: DataFrame, places: DataFrame, depth: int) -
             F.concat("prefix", F.when(F.col("level") == 0, "").when(F.col("is_last"), "    ").otherwise("│   ")).alias("prefix"),
             F.col("last").alias("is_last"),
             F.concat("path", F.array("to")).alias("path"),
+            F.least("relevance", "weight").alias("relevance"),
         )
         done += 1
         if depth == 0 or done % LAZY_LEVELS == 0:
@@ -82,15 +90,21 @@ def _expand(roots: DataFrame, steps: DataFrame, places: DataFrame, depth: int) -
     return rows.select(*ROW)
 
 
-def trace_forward(functions: DataFrame, resolved: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
+def trace_forward(functions: DataFrame, resolved: DataFrame, roots: DataFrame, depth: int = 2, weights: DataFrame | None = None) -> DataFrame:
     """What ``roots`` call, down to ``depth`` levels (0: all); a row for each call.
 
     ``row_kind`` is ``function``, ``cycle``, ``external`` or ``unresolved``;
     ``summary`` stands with the first mention of an external in a root's tree;
-    ``line_text`` is the printed line.
+    ``line_text`` is the printed line.  With ``weights(target, weight)`` there is a
+    column ``relevance``: the least weight of the calls on the way.
     """
+    shown_too = [] if weights is None else ["relevance"]
     called = F.when(F.col("target") == UNRESOLVED, F.col("raw")).otherwise(F.col("target"))
     steps = resolved.select(F.col("caller").alias("from"), F.col("ordinal").alias("place"), F.col("target").alias("to"), called.alias("shown"), F.lit(False).alias("last"))
+    if weights is None:
+        steps = steps.withColumn("weight", F.lit(None).cast("long"))
+    else:
+        steps = steps.join(weights.select(F.col("target").alias("to"), F.col("weight").cast("long").alias("weight")), "to", "left")
     rows = _expand(roots, steps, _place(functions), depth)
     first = F.row_number().over(Window.partitionBy("root", "root_file", "node").orderBy("sort_path")) == 1
     rows = rows.withColumn("__first", (F.col("row_kind") == "external") & first)
@@ -98,7 +112,7 @@ def trace_forward(functions: DataFrame, resolved: DataFrame, roots: DataFrame, d
     rows = rows.withColumn("__bare", F.coalesce(bare, F.substring_index("node", ".", -1)))
     said = categorized(rows.filter("__first").select("__bare").distinct(), "__bare").select(F.col("__bare").alias("__name"), "summary")
     met = rows.join(said, F.col("__first") & (F.col("__bare") == F.col("__name")), "left")
-    return met.select("root", "root_file", "level", "sort_path", "node", "row_kind", "file_path", "line_start", "line_end", "summary", forward_line().alias("line_text"))
+    return met.select("root", "root_file", "level", "sort_path", "node", "row_kind", "file_path", "line_start", "line_end", "summary", forward_line().alias("line_text"), *shown_too)
 
 
 def _spot() -> Column:
@@ -123,9 +137,9 @@ def trace_backward(functions: DataFrame, resolved: DataFrame, roots: DataFrame,
     callers = resolved.filter(is_internal("target")).select(F.col("target").alias("from"), F.col("caller").alias("to")).distinct()
     order = Window.partitionBy("from").orderBy("to")
     last = F.row_number().over(order) == F.count("*").over(Window.partitionBy("from"))
-    steps = callers.select("from", (F.row_number().over(order) - 1).alias("place"), "to", F.col("to").alias("shown"), last.alias("last"))
+    steps = callers.select("from", (F.row_number().over(order) - 1).alias("place"), "to", F.col("to").alias("shown"), last.alias("last"), F.lit(None).cast("long").alias("weight"))
     rows = _expand(roots, steps, _place(functions), depth)
-    return rows.select(*(c for c in ROW if c not in ("prefix", "is_last")), backward_line().alias("line_text"))
+    return rows.select(*(c for c in ROW if c not in ("prefix", "is_last", "relevance")), backward_line().alias("line_text"))
 
 
 def backward_line() -> Column:

@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.externals import categorized
 from ..functions.names import is_internal, last_segment, last_two_parts, line_slice, n_parts, package_of
-from ..operators import graph, resolve, search, summarize, trace, update
+from ..operators import graph, relevance, resolve, search, summarize, trace, update
 from ..sources import extract
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROOT = "s7"
+RANK_ROUNDS = 12
+#: Tokens of the budget queries.
+BUDGET = 20_000
 
 
 def _resolved(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -251,6 +254,34 @@ def trace_lines(spark, d):
     return _shown(trace.trace_forward(functions, resolved, _roots(functions), 1)).select("place", "line_text")
 
 
+def call_frequency(spark, d):
+    functions, resolved = _resolved(spark, d)
+    return relevance.call_frequency(resolved)
+
+
+def pagerank(spark, d):
+    """``RANK_ROUNDS`` rounds over calls weighted by their number, as shares of the mean."""
+    functions, resolved = _resolved(spark, d)
+    ranks = relevance.pagerank(functions, relevance.weighted_edges(resolved), tolerance=0, most=RANK_ROUNDS)
+    n = functions.select("qualified_name").distinct().agg(F.count("*").alias("n"))  # one row
+    return ranks.crossJoin(n).select("qualified_name", F.round(F.col("rank") * F.col("n"), 6).alias("share"))
+
+
+def budget_functions(spark, d):
+    """The most called functions that fit into a budget of tokens."""
+    functions, resolved = _resolved(spark, d)
+    called = relevance.call_frequency(resolved).filter(is_internal("target"))
+    rows = resolve.definitions(functions).join(called, F.col("qualified_name") == F.col("target")).select("qualified_name", "weight", relevance.tokens(F.concat("qualified_name", F.lit(" "), "signature")).alias("tokens"))
+    return relevance.within_budget(rows, [F.desc("weight"), F.asc("qualified_name")], "tokens", BUDGET).select("qualified_name", "weight", "tokens", "total")
+
+
+def trace_budget(spark, d):
+    """The tree below ``ROOT``, without its least called branches."""
+    functions, resolved = _resolved(spark, d)
+    rows = trace.trace_forward(functions, resolved, _roots(functions), 2, relevance.call_frequency(resolved))
+    return _shown(relevance.budgeted(rows, BUDGET), "relevance", "total")
+
+
 def preserve_summaries(spark, d):
     functions = fx.functions(spark, d)
     old = functions.filter("ordinal % 3 = 0").withColumn("summary", F.concat(F.lit("old "), "name"))
@@ -316,7 +347,7 @@ find_functions find_symbols_all find_symbols_kind extract_package raw_parts symb
 resolve_by_parts categorize_externals externals_agg called_by call_stats index_stats files_stats internal_targets edges reverse_edges
 out_degree scc scc_sizes scc_dag rank_levels rank_histogram group_by_level stats_topology trace_cycles trace_first_external trace_lines
 preserve_summaries missing_summaries callee_context summary_batches duplicate_definitions dedupe_last_writer extract_lines language_route
-update_calls update_symbols symbol_diff edges_delta
+update_calls update_symbols symbol_diff edges_delta call_frequency pagerank budget_functions trace_budget
 """.split()
 
 
@@ -371,6 +402,20 @@ _BACKWARD = """callers AS (
       || CASE row_kind WHEN 'function' THEN node || ' (' || file_path || ':' || line_start || '-' || line_end || ')' ELSE '[' || row_kind || '] ' || node END AS line_text
   FROM walk w LEFT JOIN defs ON qualified_name = node
 )"""
+_RANK = """w AS (SELECT caller AS src, target AS dst, count(*)::DOUBLE AS n FROM internal WHERE caller IN (SELECT q FROM quals) GROUP BY 1, 2
+), sh AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS s FROM w), size AS (SELECT count(*)::DOUBLE AS n FROM quals
+), it AS (
+  SELECT 0 AS i, q AS node, 1 / n AS r FROM quals, size
+  UNION ALL
+  SELECT i + 1, q, 0.15::DOUBLE / n + 0.85::DOUBLE * (coalesce(got, 0) + lost / n) FROM (
+    SELECT a.i, a.node AS q, b.got, (SELECT coalesce(sum(r), 0) FROM it WHERE node NOT IN (SELECT src FROM sh)) AS lost
+    FROM it a LEFT JOIN (SELECT dst, sum(r * s) AS got FROM it JOIN sh ON src = node GROUP BY dst) b ON b.dst = a.node
+  ), size WHERE i < {rounds}
+)"""
+_BUDGET = "SELECT * FROM ({}) WHERE total <= {}"
+_FREQUENCY = "freq AS (SELECT target, count(*) AS weight FROM resolved GROUP BY 1)"
+# the tree with the least frequency on the way to each row
+_WEIGHED = _FORWARD.replace("[qualified_name] AS path FROM", "[qualified_name] AS path, NULL::BIGINT AS relevance FROM").replace("list_append(path, c.target)\n", "list_append(path, c.target), least(relevance, weight)\n").replace("LEFT JOIN defs q ON", "JOIN freq USING (target) LEFT JOIN defs q ON")
 # both versions of the tree side by side
 _BOTH = """SELECT {columns}, CASE WHEN o.n IS NULL THEN {one} WHEN c.n IS NULL THEN {two} ELSE 'modified' END AS change
 FROM ({old}) o FULL JOIN ({new}) c USING ({columns}) WHERE o.n IS DISTINCT FROM c.n"""
@@ -433,6 +478,14 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_definitions": sql("SELECT qualified_name, count(*) AS n FROM fns GROUP BY 1 HAVING count(*) > 1"),
         "dedupe_last_writer": sql("SELECT qualified_name, file_path, ordinal FROM defs", extra=_DEFS),
         "extract_lines": lines,
+        "call_frequency": sql("SELECT target, weight FROM freq", extra=_FREQUENCY),
+        "pagerank": sql(f"SELECT node AS qualified_name, round(r * n, 6) AS share FROM it, size WHERE i = {RANK_ROUNDS}", extra=_RANK.format(rounds=RANK_ROUNDS), recursive=True),
+        "budget_functions": sql(_BUDGET.format("SELECT *, sum(tokens) OVER (ORDER BY weight DESC, qualified_name)::BIGINT AS total FROM (SELECT qualified_name, weight, ceil(length(qualified_name || ' func ' || name || '()') / 4.0)::BIGINT AS tokens FROM defs JOIN freq ON target = qualified_name)", BUDGET), extra=f"{_DEFS}, {_FREQUENCY}"),
+        "trace_budget": sql(
+            _BUDGET.format("SELECT relevance, level, array_to_string(places, '.') AS place, node, row_kind, line_text, sum(ceil(length(line_text) / 4.0)::BIGINT) OVER (ORDER BY coalesce(relevance, 9223372036854775807) DESC, level, root, places)::BIGINT AS total FROM shown", BUDGET),
+            f"{_DEFS}, {_FREQUENCY}, {_WEIGHED.format(depth=2, roots=f"name = '{ROOT}'")}",
+            True,
+        ),
         "update_calls": sql("SELECT caller, ordinal, raw, line, target FROM resolved", relations=fx.EDITED),
         "update_symbols": sql("SELECT * FROM keys", relations=fx.EDITED),
         "symbol_diff": _BOTH.format(columns="qualified_name", one="'added'", two="'removed'", old=sql(_NAMED.format("'()'")), new=sql(_NAMED.format("CASE WHEN other THEN '(int)' ELSE '()' END"), relations=fx.EDITED)),
