@@ -7,8 +7,9 @@ begin or cease to have one definition.  Of the files that didn't change only cal
 that ask for one of these are probed again; all others keep their targets.
 
 What is compared or recounted are rows of changed files and names.  The large
-tables are scanned for them and never shuffled whole while the changes are few
-enough for Spark to broadcast; with many changes the same joins shuffle.
+tables are scanned for them: changed files, names and texts are broadcast while a
+count shows them to be few (``session.few``), and meet the tables in a shuffle if
+they are many.
 
 Defined results: a file that is named as changed and has no new rows is gone; new
 rows of a file that isn't named are an error of the caller and would be doubled.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import is_internal
-from ..session import cut
+from ..session import cut, few
 from .resolve import answer_calls, asked_in, file_packages, lookups, probes, symbol_counts
 
 COUNTED = ["kind", "name", "qualified_name"]
@@ -65,7 +66,7 @@ def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _in(rows: DataFrame, files: DataFrame, how: str = "left_semi") -> DataFrame:
-    return rows.join(files.select("file_path").distinct(), "file_path", how)
+    return rows.join(files, "file_path", how)
 
 
 def _signed(gone: DataFrame, come: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def symbol_diff(symbols: DataFrame, gone: DataFrame, come: DataFrame) -> DataFra
 
 def recounted(counts: DataFrame, delta: DataFrame) -> DataFrame:
     """``counts`` after ``delta``, both of ``COUNTED`` and ``n``; only touched rows are summed."""
-    touched = delta.select(COUNTED)
+    touched = few(delta.select(COUNTED))
     kept = counts.join(touched, COUNTED, "left_anti")
     again = counts.join(touched, COUNTED, "left_semi").unionByName(delta).groupBy(COUNTED).agg(F.sum("n").alias("n")).filter("n > 0")
     return kept.unionByName(again)
@@ -99,7 +100,7 @@ def recounted(counts: DataFrame, delta: DataFrame) -> DataFrame:
 
 def changed_answers(before: DataFrame, after: DataFrame, delta: DataFrame) -> DataFrame:
     """``kind, name`` of what is found otherwise, or no longer, or now."""
-    names = delta.select("kind", "name").distinct()
+    names = few(cut(delta.select("kind", "name").distinct()))
     a, b = (lookups(x.join(names, ["kind", "name"], "left_semi")).withColumnRenamed("found", c) for x, c in ((before, "a"), (after, "b")))
     return names.join(a, ["kind", "name"], "left").join(b, ["kind", "name"], "left").filter(~F.col("a").eqNullSafe(F.col("b"))).select("kind", "name")
 
@@ -112,25 +113,25 @@ def edges_delta(kept: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
     """
     edge = lambda calls: calls.filter(is_internal("target")).select(F.col("caller").alias("src"), F.col("target").alias("dst"))
     sides = _signed(edge(gone), edge(come)).groupBy("src", "dst").agg(F.max(F.col("n") == -1).alias("was"), F.max(F.col("n") == 1).alias("is"))
-    moved = sides.filter("was <> is")
-    still = edge(kept).join(moved.select("src", "dst"), ["src", "dst"], "left_semi").distinct()
+    moved = few(cut(sides.filter("was <> is")))
+    still = edge(kept).join(few(moved.select("src", "dst")), ["src", "dst"], "left_semi").distinct()
     change = F.when(F.col("is"), "gained").otherwise("lost")
     return moved.join(still, ["src", "dst"], "left_anti").select("src", "dst", change.alias("change"))
 
 
 def update(old: Snapshot, files: DataFrame, functions: DataFrame, call_sites: DataFrame) -> Update:
     """The snapshot after ``files(file_path)`` changed to ``functions`` and ``call_sites``."""
-    files = cut(files.select("file_path").distinct())
+    files = few(cut(files.select("file_path").distinct()))
     gone, kept_functions = _in(old.functions, files), _in(old.functions, files, "left_anti")
     signed = symbol_counts(gone).withColumn("n", -F.col("n")).unionByName(symbol_counts(functions))
     delta = cut(signed.groupBy(COUNTED).agg(F.sum("n").alias("n")).filter("n <> 0"))
     symbols = cut(recounted(old.symbols, delta))
-    answers = changed_answers(old.symbols, symbols, delta)
+    answers = few(cut(changed_answers(old.symbols, symbols, delta)))
     now = kept_functions.unionByName(functions.select(kept_functions.columns))
     packages = file_packages(now)
     kept = _in(old.calls, files, "left_anti")
     asking = probes(asked_in(kept, packages)).join(answers, ["kind", "name"], "left_semi").select("file_path", "raw").distinct()
-    asking = cut(asking)
+    asking = few(cut(asking))
     probed, still = kept.join(asking, ["file_path", "raw"], "left_semi"), kept.join(asking, ["file_path", "raw"], "left_anti")
     new = cut(answer_calls(probed.unionByName(call_sites, allowMissingColumns=True), packages, lookups(symbols)))
     calls = still.unionByName(new.select(still.columns))

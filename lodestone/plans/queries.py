@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.externals import categorized
 from ..functions.names import is_internal, last_segment, last_two_parts, line_slice, n_parts, package_of
-from ..operators import graph, relevance, resolve, search, summarize, trace, update
+from ..operators import graph, relevance, resolve, search, summarize, trace, update, vectors
+from ..session import shared_path
 from ..sources import extract
 from . import fixtures as fx
 
@@ -282,6 +283,22 @@ def trace_budget(spark, d):
     return _shown(relevance.budgeted(rows, BUDGET), "relevance", "total")
 
 
+def _asked(rows):
+    """Every fiftieth vector is a query."""
+    return rows.filter("vec_id % 50 = 0")
+
+
+def cosine_topk(spark, d):
+    rows = fx.table(spark, d, "embeddings")
+    return vectors.search_exact(rows, _asked(rows))
+
+
+def cosine_index_topk(spark, d):
+    rows, path = fx.table(spark, d, "embeddings"), shared_path(spark, "vectors")
+    vectors.build_index(rows, path)
+    return vectors.search_index(spark, path, _asked(rows))
+
+
 def preserve_summaries(spark, d):
     functions = fx.functions(spark, d)
     old = functions.filter("ordinal % 3 = 0").withColumn("summary", F.concat(F.lit("old "), "name"))
@@ -348,6 +365,7 @@ resolve_by_parts categorize_externals externals_agg called_by call_stats index_s
 out_degree scc scc_sizes scc_dag rank_levels rank_histogram group_by_level stats_topology trace_cycles trace_first_external trace_lines
 preserve_summaries missing_summaries callee_context summary_batches duplicate_definitions dedupe_last_writer extract_lines language_route
 update_calls update_symbols symbol_diff edges_delta call_frequency pagerank budget_functions trace_budget
+cosine_topk cosine_index_topk
 """.split()
 
 
@@ -486,6 +504,10 @@ def oracle_sql() -> dict[str, str]:
             f"{_DEFS}, {_FREQUENCY}, {_WEIGHED.format(depth=2, roots=f"name = '{ROOT}'")}",
             True,
         ),
+        "cosine_topk": """SELECT query_id, rank, neighbour, score FROM (
+          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour)::INT AS rank FROM (
+            SELECT q.vec_id AS query_id, r.vec_id AS neighbour, round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS score
+            FROM embeddings q JOIN embeddings r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id)) WHERE rank <= 10""",
         "update_calls": sql("SELECT caller, ordinal, raw, line, target FROM resolved", relations=fx.EDITED),
         "update_symbols": sql("SELECT * FROM keys", relations=fx.EDITED),
         "symbol_diff": _BOTH.format(columns="qualified_name", one="'added'", two="'removed'", old=sql(_NAMED.format("'()'")), new=sql(_NAMED.format("CASE WHEN other THEN '(int)' ELSE '()' END"), relations=fx.EDITED)),

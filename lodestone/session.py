@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows and bytes of text of a table that is sent to all tasks at most.
+FEW_ROWS, FEW_BYTES = 1 << 18, 32 << 20
 
 
 def get_session(app: str = "lodestone", **conf: str) -> SparkSession:
@@ -32,3 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
     files that survive the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, a cut table of texts, marked for broadcast if counting shows it to be
+    small; a larger one meets others in a shuffle."""
+    n, size = df.agg(F.count("*"), F.sum(F.octet_length(F.concat_ws("", *df.columns)))).first()
+    return F.broadcast(df) if n <= FEW_ROWS and (size or 0) <= FEW_BYTES else df
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table in the checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
