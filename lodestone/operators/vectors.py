@@ -12,7 +12,7 @@ queries probes, and a query meets only the rows of its own lists.
 Defined results: scores are rounded to ``DIGITS``, ties go by ``vec_id``.  A query
 doesn't find rows of its own ``vec_id``.  Null ids, null, empty and zero vectors,
 vectors with a null or a number that isn't finite, and those of another length than
-the first query's are never found and, as queries, find nothing.  Repeated rows are
+the first query's (in an index, than most) are never found and, as queries, find nothing.  Repeated rows are
 found each.
 """
 
@@ -171,7 +171,8 @@ def build_index(vectors: DataFrame, path: str, lists: int | None = None, sample:
     chosen = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sample / max(1, n))) or 1)
     # some ``sample`` rows, by a hash of their id
     fit_on = rows.filter(chosen).orderBy("vec_id").limit(2 * sample).toArrow().column("embedding").combine_chunks()
-    width = len(fit_on[0]) if len(fit_on) else 0
+    # the commonest length
+    width = int(np.bincount(np.diff(fit_on.offsets.to_numpy())).argmax()) if len(fit_on) else 0
     unit = matrix(fit_on, width)[0] if width else np.zeros((0, 0))
     lists = lists or int(min(MOST_LISTS, max(1, 2 * n**0.5)))
     centroids = fit_centroids(unit, min(lists, len(unit))) if len(unit) else unit
