@@ -26,7 +26,6 @@ are ignored.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,11 +57,36 @@ def words_of(text: str | None) -> list[str]:
     return list(set(_WORDS.findall((text or "").lower())))
 
 
-def buckets_of(word: str) -> np.ndarray:
-    """The hashed n-grams of a bordered word."""
-    w = f"<{word}>"
-    grams = {w[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(w) - n + 1)}
-    return np.fromiter((zlib.crc32(g.encode()) % BUCKETS for g in grams), np.int32, len(grams))
+def hashed(grams: np.ndarray) -> np.ndarray:
+    """The bucket of polynomial hashes of n-grams."""
+    return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int32) % BUCKETS
+
+
+def buckets_of(words: list[str], known: np.ndarray | None = None) -> list[bytes]:
+    """The hashed n-grams of each bordered word, ``known`` ones alone if it is given.
+
+    The words' code points stand in one array; the hashes of all n-grams of a length
+    come from those of the length before.
+    """
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    grams, owners, buckets = points.copy(), [], []
+    for n in range(2, LONGEST + 1):
+        if len(points) < n:
+            break
+        grams = grams[: len(points) - n + 1] * np.uint64(0x100000001B3) + points[n - 1 :]
+        if n >= SHORTEST:
+            at = np.flatnonzero(word[: len(grams)] == word[n - 1 :])
+            found = hashed(grams[at] + np.uint64(n))
+            if known is not None:
+                at, found = at[known[found]], found[known[found]]
+            owners.append(word[at])
+            buckets.append(found)
+    owner, bucket = np.concatenate([*owners, np.zeros(0, np.int64)]), np.concatenate([*buckets, np.zeros(0, np.int32)])
+    order = np.argsort(owner, kind="stable")
+    data, ends = bucket[order].astype(np.int32).tobytes(), 4 * np.cumsum(np.bincount(owner, minlength=len(words)))
+    return [data[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
 
 class Features:
@@ -70,8 +94,7 @@ class Features:
     words met before are looked up."""
 
     def __init__(self, known: np.ndarray | None = None):
-        chosen = (lambda x: x) if known is None else (lambda x: x[known[x]])
-        self.cache = common.Cache(lambda words: [chosen(buckets_of(w)).tobytes() for w in words], CACHE_WORDS)
+        self.cache = common.Cache(lambda words: buckets_of(words, known), CACHE_WORDS)
 
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
         return [np.unique(np.frombuffer(x, np.int32)) for x in self.cache.joined([words_of(t) for t in texts])]

@@ -15,9 +15,21 @@ def held(i):
     return zlib.crc32(str(i).encode()) % 5 == 0
 
 
+def bucket(gram):
+    """The bucket of one n-gram by whole numbers of any size."""
+    h = 0
+    for c in gram:
+        h = h * 0x100000001B3 + ord(c)
+    return ((h + len(gram)) * 0x9E3779B97F4A7C15 % 2**64 >> 44) % op.BUCKETS
+
+
 def test_ngrams_once_with_borders():
-    grams = {"<ab", "ab>", "<ab>"}
-    assert set(op.buckets_of("ab").tolist()) == {zlib.crc32(g.encode()) % op.BUCKETS for g in grams}
+    words = ["ab", "", "x", "ünï" * 4, "z🙂z"]
+    for word, found in zip(words, op.buckets_of(words), strict=True):
+        w = f"<{word}>"
+        grams = {w[i : i + n] for n in range(op.SHORTEST, op.LONGEST + 1) for i in range(len(w) - n + 1)}
+        assert set(np.frombuffer(found, np.int32).tolist()) == {bucket(g) for g in grams}
+    assert op.buckets_of([]) == []
     features = op.Features()
     one, twice, none = features.of(["Bad bad_BAD", "bad", None])
     assert one.tolist() == twice.tolist() and len(none) == 0 and (np.diff(one) > 0).all()
