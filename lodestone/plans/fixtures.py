@@ -185,6 +185,68 @@ def generated_sql(lang: str) -> str:
       FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY s_suppkey)"""
 
 
+def _modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``c, nation, file_path``: a C file for each customer, below its region and nation."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_regionkey")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(nation), "c_nationkey")  # 25 nations
+    place = F.format_string("r%d/n%d/c%d.c", "n_regionkey", "c_nationkey", "c_custkey")
+    return rows.select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("nation"), place.alias("file_path"))
+
+
+def module_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of ``_modules``: each includes that of half its number by a path from its
+    own directory, that of a third by the end of its path, and a header that isn't there;
+    file 1 includes file 2, so there is a cycle."""
+    rows = _modules(spark, sf_dir)
+    of = lambda key, name: rows.select(F.col("c").alias(key), F.col("file_path").alias(name))
+    keyed = rows.withColumn("half", F.when(F.col("c") == 1, F.lit(2)).otherwise(F.expr("c div 2"))).withColumn("third", F.expr("c div 3"))
+    met = keyed.join(of("half", "one"), "half", "left").join(of("third", "two"), "third", "left")
+    lines = F.concat_ws(
+        "\n",
+        F.lit("/* generated */"),
+        F.concat(F.lit('#include "../../'), "one", F.lit('"')),
+        F.concat(F.lit("# include <"), F.regexp_replace("two", "^[^/]*/", ""), F.lit(">")),
+        F.lit("#include <stdio.h>\nint x; // #include <y.h>"),
+    )
+    return met.select(F.col("file_path").alias("path"), F.lit("c").alias("lang"), lines.alias("text"))
+
+
+def module_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function for each order in its customer's file; twenty orders in a row share a name."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c")).join(_modules(spark, sf_dir), "c")
+    name = F.concat(F.lit("f"), F.expr("o_orderkey div 20").cast("string"))
+    return rows.select(
+        "file_path",
+        F.col("o_orderkey").cast("int").alias("ordinal"),
+        name.alias("name"),
+        F.concat(F.lit("n"), F.col("nation").cast("string"), F.lit("."), name).alias("qualified_name"),
+        F.lit(None).cast("string").alias("receiver"),
+    )
+
+
+def module_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call for each line item from its order's file: of names in the file, in files that
+    it includes or reaches, of other files, of qualified and of external names."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c"))
+    firsts = orders.groupBy("c").agg(F.min("o_orderkey").alias("first"))
+    of = lambda key, name: firsts.select(F.col("c").alias(key), F.col("first").alias(name))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    rows = rows.join(orders.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").join(_modules(spark, sf_dir), "c")
+    rows = rows.withColumn("half", F.expr("c div 2")).withColumn("sixth", F.expr("c div 6"))
+    rows = rows.join(of("half", "one"), "half", "left").join(of("sixth", "two"), "sixth", "left")
+    f = lambda c, by=20: F.concat(F.lit("f"), F.floor(F.col(c) / by).cast("string"))
+    m = (F.col("l_partkey") + F.col("l_linenumber")) % 6
+    raw = (
+        F.when(m == 0, f("l_orderkey"))
+        .when(m == 1, f("one"))
+        .when(m == 2, f("two"))
+        .when(m == 3, f("l_partkey", 4))
+        .when(m == 4, F.concat(F.lit("n"), (F.col("l_partkey") % 25).cast("string"), F.lit("."), f("l_orderkey")))
+        .otherwise(F.element_at(F.array(*map(F.lit, OTHERS)), (F.col("l_orderkey") % 7 + 1).cast("int")))
+    )
+    return rows.select("file_path", raw.alias("raw"), F.col("l_linenumber").cast("int").alias("line"))
+
+
 SUPPLIERS = """
 fns AS (
   SELECT './n' || s_nationkey || '/sup.go' AS file_path, s_suppkey::INT AS ordinal, 's' || s_suppkey AS name,
@@ -246,6 +308,50 @@ EDITED = (
   ) WHERE file_path <> './n3/sup.go' AND NOT (turned AND (caller_ordinal % 4 = 1 OR line = 7))
 """
 )
+#: ``_modules`` and what comes of them: direct includes, their closure, keys and calls.
+MODULES = """
+modules AS (
+  SELECT c_custkey AS c, c_nationkey AS nation, 'r' || n_regionkey AS region, 'r' || n_regionkey || '/n' || c_nationkey || '/c' || c_custkey || '.c' AS file_path
+  FROM customer JOIN nation ON n_nationkey = c_nationkey
+), links AS (
+  SELECT DISTINCT a.c AS src, b.c AS dst FROM modules a JOIN modules b ON b.c IN (CASE WHEN a.c = 1 THEN 2 ELSE a.c // 2 END, a.c // 3) AND b.c <> a.c
+), walk AS (
+  SELECT src, dst, 1 AS depth FROM links UNION SELECT w.src, l.dst, depth + 1 FROM walk w JOIN links l ON l.src = w.dst WHERE depth < 40
+), closure AS (SELECT src, dst, min(depth) AS depth FROM walk WHERE src <> dst GROUP BY 1, 2
+), fns AS (
+  SELECT DISTINCT c, nation, region, file_path, 'f' || o_orderkey // 20 AS name, 'n' || nation || '.f' || o_orderkey // 20 AS qualified_name FROM orders JOIN modules ON c = o_custkey
+), keys AS (SELECT *, name AS key FROM fns UNION ALL SELECT *, qualified_name FROM fns
+), firsts AS (SELECT o_custkey AS c, min(o_orderkey) AS first FROM orders GROUP BY 1
+), calls AS (
+  SELECT m.*, CASE (l_partkey + l_linenumber) % 6 WHEN 0 THEN 'f' || l_orderkey // 20 WHEN 1 THEN 'f' || a.first // 20 WHEN 2 THEN 'f' || b.first // 20
+      WHEN 3 THEN 'f' || l_partkey // 4 WHEN 4 THEN 'n' || l_partkey % 25 || '.f' || l_orderkey // 20
+      ELSE ['printf', 'sys_openat', 'ARRAY_SIZE', 'pr_err', 'fmt.Println', 'close', 'mystery_fn'][(l_orderkey % 7 + 1)::INT] END AS raw
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN modules m ON m.c = o_custkey LEFT JOIN firsts a ON a.c = m.c // 2 LEFT JOIN firsts b ON b.c = m.c // 6
+), asked AS (SELECT c, nation, region, file_path, raw, count(*) AS n_calls FROM calls GROUP BY ALL
+), known(name, kind, summary) AS (VALUES {known}
+), named AS (SELECT a.*, coalesce(s.kind, l.kind, CASE WHEN {macro} THEN 'macro' ELSE 'external' END) AS kind
+  FROM asked a LEFT JOIN known s ON s.kind = 'syscall' AND starts_with(raw, 'sys_') AND s.name = substr(raw, 5) LEFT JOIN known l ON l.name = raw
+), candidates AS (
+  SELECT a.*, k.qualified_name AS target, k.file_path AS target_file, t.depth, CASE WHEN k.c = a.c THEN 1 WHEN k.nation = a.nation THEN 2 WHEN t.depth = 1 THEN 3
+      WHEN t.depth > 1 THEN 4 WHEN k.c IS NULL THEN 7 ELSE 6 END AS near,
+      CASE WHEN k.nation <> a.nation AND t.depth IS NULL AND k.region = a.region THEN 0 ELSE 1 END AS apart
+  FROM named a LEFT JOIN keys k ON k.key = a.raw LEFT JOIN closure t ON t.src = a.c AND t.dst = k.c
+), ordered AS (
+  SELECT *, rank() OVER (PARTITION BY file_path, raw ORDER BY near, CASE WHEN near = 4 THEN depth END, apart) AS r FROM candidates
+), answers AS (
+  SELECT file_path, raw, n_calls, kind, near, CASE WHEN near IN (3, 4) THEN min(depth) END AS depth, count(target) AS n, min(struct_pack(target, target_file)) AS best
+  FROM ordered WHERE r = 1 GROUP BY file_path, raw, n_calls, kind, near
+), scoped AS (
+  SELECT file_path, raw, n_calls, CASE WHEN near > 4 AND kind IN ('libc', 'syscall') THEN 'standard'
+      ELSE ['file', 'package', 'include', 'indirect', 'standard', 'elsewhere', 'none'][near] END AS scope, depth, n, kind, best FROM answers
+), confident AS (
+  SELECT file_path, raw, scope, depth::INT AS depth, CASE WHEN scope = 'standard' THEN 1 ELSE n END AS n_matches,
+      CASE WHEN scope IN ('standard', 'none') THEN '[' || kind || ':' || raw || ']' ELSE best.target END AS target,
+      CASE WHEN scope NOT IN ('standard', 'none') THEN best.target_file END AS target_file, n_calls,
+      CASE WHEN scope = 'none' THEN 'unresolved' WHEN scope = 'standard' THEN 'medium' WHEN n > 1 THEN 'low' WHEN scope IN ('indirect', 'elsewhere') THEN 'medium' ELSE 'high' END AS confidence
+  FROM scoped
+)
+"""
 SQL = """
 ), calls AS (
   SELECT *, (row_number() OVER (PARTITION BY caller ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, raw) - 1)::INT AS ordinal FROM calls0
@@ -278,11 +384,21 @@ SQL = """
 """
 
 
-def sql(select: str, extra: str = "", recursive: bool = False, relations: str = SUPPLIERS) -> str:
-    """A query over the relations above; ``extra`` are further common tables."""
+def _externals() -> dict[str, str]:
+    """The known external names as SQL values, and the test of a macro's name."""
     from ..functions.externals import MACRO_NAMES, MACRO_PREFIXES, external_rows
 
     known = ", ".join(f"('{n}', '{k}', '{s}')" for n, k, s in external_rows())
     macro = " OR ".join(["regexp_matches(raw, '^[A-Z0-9_]+$')", f"raw IN ({', '.join(f"'{n}'" for n in MACRO_NAMES)})", *(f"starts_with(raw, '{p}')" for p in MACRO_PREFIXES)])
-    base = relations.strip() + "\n" + SQL.format(known=known, macro=macro).strip()
+    return {"known": known, "macro": macro}
+
+
+def sql(select: str, extra: str = "", recursive: bool = False, relations: str = SUPPLIERS) -> str:
+    """A query over the relations above; ``extra`` are further common tables."""
+    base = relations.strip() + "\n" + SQL.format(**_externals()).strip()
     return f"WITH {'RECURSIVE ' if recursive else ''}{base}{', ' + extra if extra else ''} {select}"
+
+
+def modules_sql(select: str) -> str:
+    """A query over ``MODULES``."""
+    return f"WITH RECURSIVE {MODULES.format(**_externals()).strip()} {select}"

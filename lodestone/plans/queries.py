@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.externals import categorized
 from ..functions.names import is_internal, last_segment, last_two_parts, line_slice, n_parts, package_of
-from ..operators import graph, relevance, resolve, search, summarize, trace, update, vectors
+from ..operators import graph, relevance, resolve, scopes, search, summarize, trace, update, vectors
 from ..session import shared_path
 from ..sources import extract
 from . import fixtures as fx
@@ -155,6 +155,29 @@ def edges_delta(spark, d):
     return _updated(spark, d).edges
 
 
+def _includes(spark, d):
+    files = fx.module_sources(spark, d)
+    return scopes.import_edges(scopes.imports(files), files)
+
+
+def include_edges(spark, d):
+    return _includes(spark, d)
+
+
+def include_closure(spark, d):
+    return scopes.include_closure(_includes(spark, d))
+
+
+def resolve_scoped(spark, d):
+    """Every text that a file calls, with the scope of its answer."""
+    calls = scopes.resolve_scoped(fx.module_functions(spark, d), fx.module_calls(spark, d), include_closure(spark, d))
+    return calls.groupBy(*(c for c in calls.columns if c != "line")).agg(F.count("*").alias("n_calls"))
+
+
+def confidence_rates(spark, d):
+    return scopes.confidence_rates(scopes.resolve_scoped(fx.module_functions(spark, d), fx.module_calls(spark, d), include_closure(spark, d)))
+
+
 def internal_targets(spark, d):
     return _resolved(spark, d)[1].filter(is_internal("target")).groupBy("target").agg(F.count("*").alias("n_sites"))
 
@@ -365,7 +388,7 @@ resolve_by_parts categorize_externals externals_agg called_by call_stats index_s
 out_degree scc scc_sizes scc_dag rank_levels rank_histogram group_by_level stats_topology trace_cycles trace_first_external trace_lines
 preserve_summaries missing_summaries callee_context summary_batches duplicate_definitions dedupe_last_writer extract_lines language_route
 update_calls update_symbols symbol_diff edges_delta call_frequency pagerank budget_functions trace_budget
-cosine_topk cosine_index_topk
+cosine_topk cosine_index_topk include_edges include_closure resolve_scoped confidence_rates
 """.split()
 
 
@@ -508,6 +531,10 @@ def oracle_sql() -> dict[str, str]:
           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour)::INT AS rank FROM (
             SELECT q.vec_id AS query_id, r.vec_id AS neighbour, round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 6) AS score
             FROM embeddings q JOIN embeddings r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id)) WHERE rank <= 10""",
+        "include_edges": fx.modules_sql("SELECT a.file_path, b.file_path AS dep FROM links JOIN modules a ON a.c = src JOIN modules b ON b.c = dst"),
+        "include_closure": fx.modules_sql("SELECT a.file_path, b.file_path AS dep, depth FROM closure JOIN modules a ON a.c = src JOIN modules b ON b.c = dst"),
+        "resolve_scoped": fx.modules_sql("SELECT * FROM confident"),
+        "confidence_rates": fx.modules_sql("SELECT scope, confidence, sum(n_calls)::BIGINT AS n_calls FROM confident GROUP BY 1, 2"),
         "update_calls": sql("SELECT caller, ordinal, raw, line, target FROM resolved", relations=fx.EDITED),
         "update_symbols": sql("SELECT * FROM keys", relations=fx.EDITED),
         "symbol_diff": _BOTH.format(columns="qualified_name", one="'added'", two="'removed'", old=sql(_NAMED.format("'()'")), new=sql(_NAMED.format("CASE WHEN other THEN '(int)' ELSE '()' END"), relations=fx.EDITED)),
