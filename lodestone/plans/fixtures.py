@@ -36,7 +36,7 @@ def functions(spark: SparkSession, sf_dir: str, edited: bool = False) -> DataFra
         name = F.concat(F.when(turned & (k == 2), "t").otherwise("s"), F.col("s_suppkey").cast("string"))
         supplier = supplier.filter((F.col("s_nationkey") != 3) & ~(turned & (k == 1)))
         one = one_of(supplier, nation, name)
-        part = part.filter(~(F.endswith("p_brand", F.lit("1")) & (F.col("p_partkey") % 3 == 0)))
+        part = part.filter(~(F.col("p_brand").rlike("[0-9]1$") & (F.col("p_partkey") % 3 == 0)))  # the files of CHANGED
     two = part.select(
         F.concat(F.lit("./"), brand, F.lit("/part.go")).alias("file_path"),
         F.col("p_partkey").cast("int").alias("ordinal"),

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.externals import categorized
 from ..functions.names import is_internal, last_segment, last_two_parts, line_slice, n_parts, package_of
-from ..operators import graph, relevance, resolve, scopes, search, summarize, trace, update, vectors
-from ..session import shared_path
-from ..sources import extract
+from ..operators import checks, graph, invalidation, relevance, resolve, scopes, search, summarize, trace, update, vectors
+from ..session import cut, shared_path
+from ..sources import extract, usages
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,6 +178,38 @@ def confidence_rates(spark, d):
     return scopes.confidence_rates(scopes.resolve_scoped(fx.module_functions(spark, d), fx.module_calls(spark, d), include_closure(spark, d)))
 
 
+def stale_summaries(spark, d):
+    """Which summaries of the tree don't hold for its next version, and why."""
+    functions = fx.functions(spark, d)
+    stored = invalidation.stamped(functions.withColumn("summary", F.col("name")), resolve.resolve_calls(functions, fx.call_sites(spark, d)))
+    after = fx.functions(spark, d, True)
+    return invalidation.stale_reasons(cut(stored), cut(invalidation.stamps(after, resolve.resolve_calls(after, fx.call_sites(spark, d, True)))))
+
+
+def _usages(spark, d) -> str:
+    path = shared_path(spark, "usages")
+    usages.write_usages(_resolved(spark, d)[1], path)
+    return path
+
+
+def query_usages(spark, d):
+    """Every site of ``ROOT``, of a common and of an unknown external name."""
+    roots = [r.qualified_name for r in _roots(fx.functions(spark, d)).select("qualified_name").distinct().collect()]  # one function a name
+    return usages.find_usages(spark, _usages(spark, d), [*roots, "[libc:printf]", "[external:mystery_fn]"])
+
+
+def usage_counts(spark, d):
+    return usages.usage_counts(spark, _usages(spark, d))
+
+
+def validate_index(spark, d):
+    """The calls of the tree against the functions and files of its next version."""
+    functions, now = fx.functions(spark, d), fx.functions(spark, d, True)
+    tables = {"files": now.select(F.col("file_path").alias("path")).distinct(), "functions": now, "call_sites": resolve.resolve_calls(functions, fx.call_sites(spark, d))}
+    found = checks.validate(tables, shared_path(spark, "violations")).violations(spark)
+    return found.groupBy("table_name", "rule", "item").agg(F.count("*").alias("n"))
+
+
 def internal_targets(spark, d):
     return _resolved(spark, d)[1].filter(is_internal("target")).groupBy("target").agg(F.count("*").alias("n_sites"))
 
@@ -389,6 +421,7 @@ out_degree scc scc_sizes scc_dag rank_levels rank_histogram group_by_level stats
 preserve_summaries missing_summaries callee_context summary_batches duplicate_definitions dedupe_last_writer extract_lines language_route
 update_calls update_symbols symbol_diff edges_delta call_frequency pagerank budget_functions trace_budget
 cosine_topk cosine_index_topk include_edges include_closure resolve_scoped confidence_rates
+stale_summaries query_usages usage_counts validate_index
 """.split()
 
 
@@ -462,6 +495,18 @@ _BOTH = """SELECT {columns}, CASE WHEN o.n IS NULL THEN {one} WHEN c.n IS NULL T
 FROM ({old}) o FULL JOIN ({new}) c USING ({columns}) WHERE o.n IS DISTINCT FROM c.n"""
 _NAMED = "SELECT qualified_name, string_agg(s, ';' ORDER BY s) AS n FROM (SELECT qualified_name, name || {} AS s FROM fns) GROUP BY 1"
 _EDGED = "SELECT src, dst, 1 AS n FROM edges"
+# a function's signature, and those of its callees
+_STAMPED = """SELECT s.qualified_name, any_value(s.sig) AS own, coalesce(string_agg(DISTINCT c.sig, ';' ORDER BY c.sig), '') AS callees
+FROM (SELECT DISTINCT qualified_name, qualified_name || {0} AS sig FROM fns) s LEFT JOIN edges ON src = s.qualified_name
+LEFT JOIN (SELECT DISTINCT qualified_name, qualified_name || {0} AS sig FROM fns) c ON c.qualified_name = dst GROUP BY 1"""
+_STALE = """SELECT n.qualified_name, CASE WHEN o.own IS NULL THEN 'new' WHEN o.own <> n.own AND o.callees <> n.callees THEN 'both'
+  WHEN o.own <> n.own THEN 'own' ELSE 'callees' END AS reason
+FROM ({new}) n LEFT JOIN ({old}) o USING (qualified_name) WHERE o.own IS NULL OR o.own <> n.own OR o.callees <> n.callees"""
+_BROKEN = """WITH o AS ({old}), n AS ({new}), q AS (SELECT DISTINCT qualified_name FROM n) SELECT 'call_sites' AS table_name, rule, caller AS item, count(*) AS n FROM (
+  SELECT caller, 'file_listed' AS rule FROM o WHERE file_path NOT IN (SELECT file_path FROM n)
+  UNION ALL SELECT caller, 'caller_exists' FROM o WHERE caller NOT IN (SELECT qualified_name FROM q)
+  UNION ALL SELECT caller, 'target_exists' FROM o WHERE NOT starts_with(target, '[') AND target NOT IN (SELECT qualified_name FROM q)
+) GROUP BY ALL"""
 _WALK = "SELECT level, array_to_string(places, '.') AS place, node, row_kind, line_text{} FROM shown"
 # two levels of calls, counted by edge
 _CYCLES = """e AS (SELECT caller AS src, target AS dst, count(*) AS n FROM internal GROUP BY 1, 2), found AS (
@@ -535,6 +580,10 @@ def oracle_sql() -> dict[str, str]:
         "include_closure": fx.modules_sql("SELECT a.file_path, b.file_path AS dep, depth FROM closure JOIN modules a ON a.c = src JOIN modules b ON b.c = dst"),
         "resolve_scoped": fx.modules_sql("SELECT * FROM confident"),
         "confidence_rates": fx.modules_sql("SELECT scope, confidence, sum(n_calls)::BIGINT AS n_calls FROM confident GROUP BY 1, 2"),
+        "stale_summaries": _STALE.format(old=sql(_STAMPED.format("'()'")), new=sql(_STAMPED.format("CASE WHEN other THEN '(int)' ELSE '()' END"), relations=fx.EDITED)),
+        "query_usages": sql(f"SELECT target AS symbol, file_path, line, caller, ordinal FROM resolved WHERE target IN ('[libc:printf]', '[external:mystery_fn]') OR target IN (SELECT qualified_name FROM fns WHERE name = '{ROOT}')"),
+        "usage_counts": sql("SELECT target AS symbol, count(*) AS n_sites, count(DISTINCT caller) AS n_callers, count(DISTINCT file_path) AS n_files FROM resolved GROUP BY 1"),
+        "validate_index": _BROKEN.format(old=sql("SELECT file_path, caller, target FROM resolved"), new=sql("SELECT DISTINCT file_path, qualified_name FROM fns", relations=fx.EDITED)),
         "update_calls": sql("SELECT caller, ordinal, raw, line, target FROM resolved", relations=fx.EDITED),
         "update_symbols": sql("SELECT * FROM keys", relations=fx.EDITED),
         "symbol_diff": _BOTH.format(columns="qualified_name", one="'added'", two="'removed'", old=sql(_NAMED.format("'()'")), new=sql(_NAMED.format("CASE WHEN other THEN '(int)' ELSE '()' END"), relations=fx.EDITED)),
