@@ -11,7 +11,7 @@ from ..functions.externals import categorized
 from ..functions.names import is_internal, last_segment, last_two_parts, line_slice, n_parts, package_of
 from ..operators import checks, graph, invalidation, relevance, resolve, scopes, search, summarize, trace, update, vectors
 from ..session import cut, shared_path
-from ..sources import extract, usages
+from ..sources import extract, shards, usages
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,6 +202,27 @@ def usage_counts(spark, d):
     return usages.usage_counts(spark, _usages(spark, d))
 
 
+def _store(spark, d) -> shards.SymbolStore:
+    """The stored tree, brought to its next version by the changed files."""
+    store, now = shards.SymbolStore(shared_path(spark, "store")), fx.functions(spark, d, True)
+    old, changed = fx.functions(spark, d), F.col("file_path").rlike(fx.CHANGED)
+    store.write(old)
+    store.update(old.select("file_path").unionByName(now.select("file_path")).filter(changed), now.filter(changed))
+    return store
+
+
+def shard_lookup(spark, d):
+    """The functions of a name, from the shards that hold it."""
+    return _store(spark, d).find(spark, ROOT).select("file_path", "ordinal", "qualified_name", "signature")
+
+
+def sharded_update(spark, d):
+    """All functions of the updated store, and the names of its directory counted by file."""
+    store = _store(spark, d)
+    names = store.names.read(spark).groupBy("file_path").agg(F.count("*").alias("n_names"))
+    return store.functions.read(spark).select("file_path", "ordinal", "qualified_name", "signature").join(names, "file_path")
+
+
 def validate_index(spark, d):
     """The calls of the tree against the functions and files of its next version."""
     functions, now = fx.functions(spark, d), fx.functions(spark, d, True)
@@ -421,7 +442,7 @@ out_degree scc scc_sizes scc_dag rank_levels rank_histogram group_by_level stats
 preserve_summaries missing_summaries callee_context summary_batches duplicate_definitions dedupe_last_writer extract_lines language_route
 update_calls update_symbols symbol_diff edges_delta call_frequency pagerank budget_functions trace_budget
 cosine_topk cosine_index_topk include_edges include_closure resolve_scoped confidence_rates
-stale_summaries query_usages usage_counts validate_index
+stale_summaries query_usages usage_counts validate_index shard_lookup sharded_update
 """.split()
 
 
@@ -495,6 +516,7 @@ _BOTH = """SELECT {columns}, CASE WHEN o.n IS NULL THEN {one} WHEN c.n IS NULL T
 FROM ({old}) o FULL JOIN ({new}) c USING ({columns}) WHERE o.n IS DISTINCT FROM c.n"""
 _NAMED = "SELECT qualified_name, string_agg(s, ';' ORDER BY s) AS n FROM (SELECT qualified_name, name || {} AS s FROM fns) GROUP BY 1"
 _EDGED = "SELECT src, dst, 1 AS n FROM edges"
+_SIGNATURE = "'func ' || name || CASE WHEN other THEN '(int)' ELSE '()' END AS signature"
 # a function's signature, and those of its callees
 _STAMPED = """SELECT s.qualified_name, any_value(s.sig) AS own, coalesce(string_agg(DISTINCT c.sig, ';' ORDER BY c.sig), '') AS callees
 FROM (SELECT DISTINCT qualified_name, qualified_name || {0} AS sig FROM fns) s LEFT JOIN edges ON src = s.qualified_name
@@ -583,6 +605,11 @@ def oracle_sql() -> dict[str, str]:
         "stale_summaries": _STALE.format(old=sql(_STAMPED.format("'()'")), new=sql(_STAMPED.format("CASE WHEN other THEN '(int)' ELSE '()' END"), relations=fx.EDITED)),
         "query_usages": sql(f"SELECT target AS symbol, file_path, line, caller, ordinal FROM resolved WHERE target IN ('[libc:printf]', '[external:mystery_fn]') OR target IN (SELECT qualified_name FROM fns WHERE name = '{ROOT}')"),
         "usage_counts": sql("SELECT target AS symbol, count(*) AS n_sites, count(DISTINCT caller) AS n_callers, count(DISTINCT file_path) AS n_files FROM resolved GROUP BY 1"),
+        "shard_lookup": sql(f"SELECT file_path, ordinal, qualified_name, {_SIGNATURE} FROM fns WHERE name = '{ROOT}'", relations=fx.EDITED),
+        "sharded_update": sql(
+            f"SELECT file_path, ordinal, qualified_name, {_SIGNATURE}, n_names FROM fns JOIN (SELECT file_path, count(DISTINCT name) + count(DISTINCT qualified_name) AS n_names FROM fns GROUP BY 1) USING (file_path)",
+            relations=fx.EDITED,
+        ),
         "validate_index": _BROKEN.format(old=sql("SELECT file_path, caller, target FROM resolved"), new=sql("SELECT DISTINCT file_path, qualified_name FROM fns", relations=fx.EDITED)),
         "update_calls": sql("SELECT caller, ordinal, raw, line, target FROM resolved", relations=fx.EDITED),
         "update_symbols": sql("SELECT * FROM keys", relations=fx.EDITED),
