@@ -18,9 +18,11 @@ anchored at the first hit's diagonal, the edit distance of the segment to any
 part of the region is found bit-parallel over the band's columns, and the region
 counts if it stays within the budget.
 
-*Short items.*  Under ``SHORTEST`` characters the lemma leaves too few q-grams and
-the budget no edit: such items count where they stand word for word, found by one
-automaton for all of them.
+*Short items.*  Items under ``SHORTEST`` characters count as whole words only: the
+part must begin and end at borders of words.  They are cut into one piece more than
+the budget has edits (two from 20 characters on), so one piece of a match is whole,
+which is the lemma's least case; one automaton finds the pieces of all such items,
+and the parts around a piece are aligned with the item.
 
 *Size.*  Documents are never shuffled by text.  The items are collected in
 blocks of ``BLOCK_CHARS`` characters at most and each block is looked up in all
@@ -46,9 +48,10 @@ from . import common
 Q = 12
 SEGMENT = 80
 STEP = 40
-SHORTEST = 40
 #: Edits allowed for each character of a segment.
 BUDGET = 0.05
+#: Items from this length on may be found inside of words.
+SHORTEST = 40
 #: Half the diagonals of a band; not less than the edits of a segment.
 WIDTH = 8
 #: Most characters of benchmark items that one pass holds.
@@ -118,6 +121,23 @@ def within(segment: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int
     return best, end
 
 
+def distance(a: str, b: str) -> int:
+    """The edit distance of two short texts."""
+    if a == b:
+        return 0
+    row = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, d in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != d))
+    return row[-1]
+
+
+def border(text: str, at: int) -> bool:
+    """Whether no word goes on over this place of a text."""
+    return not (0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum())
+
+
 class Items:
     """The segments of a block of items, with an index of their q-grams."""
 
@@ -146,8 +166,14 @@ class Items:
                 self.item.append(item_id)
                 self.offset.append(start)
         self.short = ahocorasick.Automaton()
+        pieces: dict[str, list[tuple[str, int, list[int]]]] = {}
         for text, ids in short.items():
-            self.short.add_word(text, (len(text), ids))
+            n = int(BUDGET * len(text)) + 1
+            cuts = [len(text) * k // n for k in range(n + 1)]
+            for begin, end in zip(cuts, cuts[1:]):
+                pieces.setdefault(text[begin:end], []).append((text, begin, ids))
+        for piece, of in pieces.items():
+            self.short.add_word(piece, (len(piece), of))
         if short:
             self.short.make_automaton()
         size = [len(s) for s in self.segments]
@@ -166,15 +192,25 @@ class Items:
         self.sieve = np.zeros(1 << bits, bool)
         self.sieve[self.unique >> self.shift] = True
 
-    def short_matches(self, text: str) -> Iterator[tuple[int, tuple[int, int, int]]]:
-        """``(item, (0, begin, end))`` of the short items that stand in a plain text as
-        whole words."""
-        if len(self.short):
-            for last, (size, ids) in self.short.iter(text):
-                begin, end = last + 1 - size, last + 1
-                if not (begin and text[begin - 1].isalnum() and text[begin].isalnum()) and not (end < len(text) and text[end].isalnum() and text[last].isalnum()):
-                    for item in ids:
-                        yield item, (0, begin, end)
+    def short_matches(self, text: str) -> dict[int, tuple[int, int, int]]:
+        """``item -> (edits, begin, end)`` of the short items in a plain text, the closest each."""
+        out: dict[int, tuple[int, int, int]] = {}
+        if not len(self.short):
+            return out
+        for last, (size, of) in self.short.iter(text):
+            first = last + 1 - size
+            for item, offset, ids in of:
+                most = int(BUDGET * len(item))
+                low, high = max(0, first - offset - most), first - offset + len(item) + most
+                if most and within(code_points(item), code_points(text[low:high]), most)[0] > most:
+                    continue
+                begins = [b for b in range(low, first - offset + most + 1) if border(text, b)]
+                ends = [e for e in range(high - 2 * most, min(high, len(text)) + 1) if border(text, e)]
+                place = min(((distance(item, text[b:e]), b, e) for b in begins for e in ends), default=(most + 1, 0, 0))
+                if place[0] <= most:
+                    for i in ids:
+                        out[i] = min(out.get(i, place), place)
+        return out
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """(place in the text, segment, place in the segment) of shared q-grams;
@@ -281,8 +317,8 @@ def _found(items: Items, texts: list[str]) -> dict[tuple[int, int], tuple[int, i
     starts = np.r_[0, np.cumsum([len(t) for t in texts])]
     found = items.matches(code_points("".join(texts)), starts)
     for n, text in enumerate(texts):
-        for item, place in items.short_matches(text):
-            found.setdefault((n, item), place)
+        for item, place in items.short_matches(text).items():
+            found[n, item] = place
     return found
 
 

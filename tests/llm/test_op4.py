@@ -87,6 +87,42 @@ def test_short_items_count_word_for_word():
     assert set(op._found(items, texts)) == want == {(0, 1), (2, 2), (3, 3), (3, 5)}
 
 
+def distance_to_words(pattern, text):
+    """Least edits to a part that begins and ends at borders of words."""
+    borders = sorted({0, len(text)} | {p for m in re.finditer(r"[a-z0-9]+", text) for p in m.span()})
+    parts = [text[a:b] for a in borders for b in borders if a < b and abs(b - a - len(pattern)) < 3]
+    return min((op.distance(pattern, part) for part in parts), default=len(pattern))
+
+
+def test_distance():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("ab c") for _ in range(rng.randint(0, 7))) for _ in "ab")
+        # a part of the text that is framed by marks no pattern holds is the whole text
+        assert op.distance(a, b) == op.distance(b, a) == distance_to_part("<" * 20 + a + ">" * 20, "<" * 20 + b + ">" * 20)
+
+
+def test_one_edit_is_found_from_twenty_characters_on():
+    """Every place of the edit, against brute force; whole words alone below ``SHORTEST``."""
+    rng, letters = random.Random(4), "abcdefghijklmnop"
+    noise = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    for n in range(18, 46):
+        base = noise(n)
+        items = op.Items([(1, base), (2, base)])
+        docs = []
+        for k in range(n):
+            for changed in (base[:k] + "Z" + base[k + 1 :], base[:k] + base[k + 1 :], base[:k] + "z" + base[k:]):
+                docs.append(op.plain(f"{noise(30)} {changed} {noise(40)}"))
+        docs.append(op.plain(f"{noise(9)} {base[:5]}zz{base[7:12]}zz{base[14:]}"))
+        docs.append(op.plain(f"{noise(9)} {base}xyz {noise(9)}"))
+        least = [distance_to_words(base, text) if n < op.SHORTEST else distance_to_part(base, text) for text in docs]
+        want = {d for d, edits in enumerate(least) if edits <= int(op.BUDGET * n)}
+        got = op._found(items, docs)
+        assert set(got) == {(d, i) for d in want for i in (1, 2)}
+        assert all(got[d, i][0] == least[d] for d, i in got)
+        assert len(want) == (0 if n < 20 else 3 * n + (n >= op.SHORTEST))
+
+
 def test_empty_tables(none, benchmark, odd):
     assert op.contaminated(none, benchmark).count() == 0
     assert op.contaminated(odd, benchmark.filter("false")).count() == 0
