@@ -115,6 +115,32 @@ def trace_forward(functions: DataFrame, resolved: DataFrame, roots: DataFrame, d
     return met.select("root", "root_file", "level", "sort_path", "node", "row_kind", "file_path", "line_start", "line_end", "summary", forward_line().alias("line_text"), *shown_too)
 
 
+def cycle_counts(functions: DataFrame, resolved: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
+    """``root, node, n``: the ``cycle`` rows that ``trace_forward`` has, counted.
+
+    All calls from one function to another are one step with their number, and what
+    is no function is no step, so the rows grow with the ways over distinct edges and
+    not with the calls on them.  Depth 0 goes on until no way is left.
+    """
+    known = functions.select(F.col("qualified_name").alias("to")).distinct()
+    steps = resolved.groupBy(F.col("caller").alias("from"), F.col("target").alias("to")).agg(F.count("*").alias("times"))
+    steps = cut(steps.join(known, "to", "left_semi").select("from", "to", "times"))
+    names = roots.groupBy(F.col("qualified_name").alias("root")).agg(F.count("*").alias("n"))
+    level = names.select("root", F.col("root").alias("node"), F.array("root").alias("path"), "n")
+    found, done = None, 0
+    while depth == 0 or done < depth:
+        met = level.join(steps, F.col("node") == F.col("from")).select("root", "to", "path", (F.col("n") * F.col("times")).alias("n"), F.array_contains("path", F.col("to")).alias("cycle"))
+        done += 1
+        if done != depth:
+            met = cut(met)
+        closed = met.filter("cycle").select("root", F.col("to").alias("node"), "n")
+        found = closed if found is None else found.unionByName(closed)
+        level = met.filter("NOT cycle").select("root", F.col("to").alias("node"), F.concat("path", F.array("to")).alias("path"), "n")
+        if depth == 0 and level.isEmpty():
+            break
+    return found.groupBy("root", "node").agg(F.sum("n").alias("n"))
+
+
 def _spot() -> Column:
     return F.concat(F.lit(" ("), "file_path", F.lit(":"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"), F.lit(")"))
 
