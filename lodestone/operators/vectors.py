@@ -1,8 +1,9 @@
 """Cosine search over vectors: an inverted-list index, and the exact way.
 
 *Exact.*  Queries go to all tasks in blocks of a bounded size; a task multiplies
-each batch of rows with them and keeps the ``k`` best rows of every query, so what
-leaves a task is bounded.  The tasks' rows meet in one ranking for each query.
+each batch of rows with them, part by part (``CELLS``), and keeps the ``k`` best rows
+of every query, so what a task holds and what leaves it are bounded.  The tasks' rows
+meet in one ranking for each query.
 
 *Index.*  Centroids are fitted on a bounded sample; every vector belongs to the
 list of its nearest centroid.  Lists are written as partitions, and Spark splits
@@ -29,6 +30,8 @@ TOP = 10
 DIGITS = 6
 #: Queries that are sent to all tasks at once; more go in turns.
 QUERY_BLOCK = 4096
+#: Products of queries and rows that a task holds at once (8 bytes each, and a rounded copy).
+CELLS = 1 << 21
 #: Rows of the sample that centroids are fitted on, rounds of fitting, most lists.
 SAMPLE, ROUNDS, MOST_LISTS = 20_000, 12, 1024
 #: The share of the lists that a query probes.  The supplied vectors are nearly without
@@ -76,6 +79,12 @@ class Heap:
             if len(best) == self.k:
                 self.least[q] = self.scores[q][-1]
 
+    def scan(self, which: np.ndarray, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
+        """``add`` the products of unit ``vectors``, ``CELLS`` at a time."""
+        step = max(1, CELLS // max(1, len(which)))
+        for at in range(0, len(ids), step):
+            self.add(which, queries @ vectors[at : at + step].T, ids[at : at + step])
+
     def batch(self) -> pa.RecordBatch:
         sizes = [len(x) for x in self.ids]
         columns = [np.repeat(self.queries, sizes), np.concatenate([np.zeros(0, np.int64), *self.ids]), np.concatenate([np.zeros(0), *self.scores])]
@@ -93,13 +102,13 @@ def _scanned(rows: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int, prob
             vectors, at = matrix(batch.column(1), queries.shape[1])
             own = batch.column(0).to_numpy()[at]
             if probes is None:
-                heap.add(every, queries @ vectors.T, own)
+                heap.scan(every, queries, vectors, own)
                 continue
             lists = batch.column(2).to_numpy()[at]
             for n in np.unique(lists).tolist():
                 if len(which := probes[n]):
                     mine = lists == n
-                    heap.add(which, queries[which] @ vectors[mine].T, own[mine])
+                    heap.scan(which, queries[which], vectors[mine], own[mine])
         yield heap.batch()
 
     return rows.mapInArrow(run, FOUND)
