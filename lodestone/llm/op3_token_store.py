@@ -61,6 +61,8 @@ PART_WORDS = 4000
 #: White space as the vocabulary's own pattern has it, and nothing else.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _ODD = re.compile("[\x1c-\x1f]")
+#: ASCII letters and signs behind them that neither join nor compose with letters.
+_SIGNED = re.compile(r"([A-Za-z\xdf-\xf6\xf8-\xff]+)([!#$%&*+,\-./:;=?@^_`|~]+)")
 #: Kinds of the Latin-1 characters: letters and digits, white space, full stop and
 #: comma, the separators that only Python takes for white space, and the rest.
 _KINDS = bytes(
@@ -95,7 +97,14 @@ class WordIds:
             return self._in_parts(words, self._encode_letters)
         out = dict(zip(letters, self._in_parts(letters, self._encode_letters)))
         others = [w for w in words if not w.isalpha()]
-        out.update(zip(others, self._in_parts(others, self._encode_others)))
+        # letters with signs behind them are two words of the vocabulary's pattern
+        split = {w: m.groups() for w in others if (m := _SIGNED.fullmatch(w))}
+        out.update(zip(rest := [w for w in others if w not in split], self._in_parts(rest, self._encode_others)))
+        stems = list({x for x, _ in split.values()}.difference(out))
+        out.update(zip(stems, self._in_parts(stems, self._encode_letters)))
+        signs = list({x for _, x in split.values()}.difference(out))
+        out.update(zip(signs, self._in_parts(signs, self._encode_others)))
+        out.update((w, out[stem] + out[sign]) for w, (stem, sign) in split.items())
         return list(map(out.__getitem__, words))
 
     @staticmethod
@@ -142,9 +151,11 @@ class WordIds:
             text = text.replace(".", " .").replace(",", " ,")
         return text.split()
 
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return self.words.joined(list(map(self.units, texts)))
+
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        lists = list(map(self.units, texts))
-        return [np.frombuffer(x, self.kind) for x in self.words.joined(lists)]
+        return [np.frombuffer(x, self.kind) for x in self.encoded(texts)]
 
 
 _word_ids: dict[str, WordIds] = {}
@@ -164,20 +175,32 @@ def _gear(ids: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_GEARS = _gear(np.arange(1 << 16))
+
+
 def rolling_hash(ids: np.ndarray) -> np.ndarray:
     """At each place the hash of the 32 ids that end there."""
-    h = _gear(ids)
+    h = _GEARS[ids] if ids.dtype.itemsize == 2 else _gear(ids)
     for k in (1, 2, 4, 8, 16):
         h[k:] += h[:-k].copy() << np.uint64(k)
     return h
 
 
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places behind which the rolling hash meets the mask."""
+    # the top bits hang on all 32 ids of the window
+    return np.flatnonzero(rolling_hash(ids) >> np.uint64(64 - CUT_BITS) == 0) + 1
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of one document's ids."""
-    n, out, at = len(ids), [], 0
+    return _cuts(len(ids), marks(ids).tolist() if len(ids) > MIN_CHUNK else [])
+
+
+def _cuts(n: int, places: list[int]) -> list[int]:
+    """Ends of the chunks of ``n`` ids with marks at ``places``."""
+    out, at = [], 0
     if n > MIN_CHUNK:
-        # the top bits hang on all 32 ids of the window
-        places = (np.flatnonzero(rolling_hash(ids) >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist()
         for place in places:
             while place - at > MAX_CHUNK:
                 at += MAX_CHUNK
@@ -191,6 +214,15 @@ def cuts(ids: np.ndarray) -> list[int]:
     return [*out, n]
 
 
+def cuts_of(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """``cuts`` of documents laid end to end.  Only at a document's first places do the
+    32 ids reach back into another, and no chunk of under ``MIN_CHUNK`` ids ends there."""
+    places, starts = marks(ids), np.r_[0, ends[:-1]]
+    last = np.searchsorted(places, ends, "right")
+    first = np.r_[0, last[:-1]]
+    return [_cuts(b - a, (places[i:j] - a).tolist()) for a, b, i, j in zip(starts.tolist(), ends.tolist(), first.tolist(), last.tolist())]
+
+
 def digest_of(payload: bytes) -> bytes:
     return hashlib.sha256(payload).digest()[:DIGEST_BYTES]
 
@@ -206,12 +238,13 @@ def merkle(leaves: list[bytes]) -> bytes:
 def _document_chunks(texts: list[str], vocabulary: str, end_id: int) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
     """(ids, [(ids in chunk, payload)]) for each text."""
     words = word_ids(vocabulary)
-    end = np.array([end_id], words.kind)
-    for ids in words.batch(texts):
-        ids = np.concatenate([ids, end])
-        data, width = ids.tobytes(), words.kind.itemsize
-        ends = cuts(ids)
-        yield len(ids), [(b - a, data[a * width : b * width]) for a, b in zip([0, *ends[:-1]], ends)]
+    end, width = np.array([end_id], words.kind).tobytes(), words.kind.itemsize
+    documents = [x + end for x in words.encoded(texts)]
+    sizes = [len(x) // width for x in documents]
+    if not documents:
+        return
+    for n, data, ends in zip(sizes, documents, cuts_of(np.frombuffer(b"".join(documents), words.kind), np.cumsum(sizes))):
+        yield n, [(b - a, data[a * width : b * width]) for a, b in zip([0, *ends[:-1]], ends)]
 
 
 def _pieces(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:

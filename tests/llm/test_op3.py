@@ -101,3 +101,21 @@ def test_no_documents(spark, none):
     path = common.scratch_path(spark, "store")
     op.write_store(none, path)
     assert op.read_sums(spark, path).count() == 0
+
+
+def test_chunks_of_documents_laid_end_to_end():
+    rng = np.random.default_rng(7)
+    documents = [rng.integers(0, 49000, int(n)).astype(np.uint16) for n in (1, 5000, 127, 128, 129, 9000, 1, 40, 20000)]
+    documents.append(np.zeros(9000, np.uint16))
+    got = op.cuts_of(np.concatenate(documents), np.cumsum([len(d) for d in documents]))
+    assert got == [op.cuts(d) for d in documents]
+
+
+def test_signs_behind_letters(library):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abzéßñE") for _ in range(rng.randint(1, 6))) + "".join(rng.choice("!#$%*._-^`|&@'<") for _ in range(rng.randint(0, 4))) for _ in range(3000)]
+    asked, store = [], op.WordIds(op.VOCABULARY)
+    others, store._encode_others = store._encode_others, lambda some: asked.extend(some) or others(some)
+    got = store.batch([" ".join(words)])[0]
+    assert got.tolist() == library.encode(" ".join(words), add_special_tokens=False).ids
+    assert not any(op._SIGNED.fullmatch(w) for w in asked)
