@@ -31,8 +31,9 @@ few pivots and gives a spanning tree of links and not all pairs.  No link
 between components is lost and nothing is capped.  Where links are verified
 afterwards, a large run is first compared with few pivots; then each of its texts
 that verified links don't connect with the run's main group is compared with the
-nearest text of another group.  So pairs grow with the texts; a text of a large run
-whose only true link is to a farther one stays.
+near texts of other groups, in rounds: the nearest, the next two, the next four, until
+every near pair of the run is either connected or verified.  So most runs end after a
+round or two, and none loses a link.
 
 *Verification.*  Links of the pipeline are compared by their true shingles before
 they make groups; fingerprints alone drop nothing but equal texts.
@@ -357,29 +358,64 @@ def _stars(ring: Ring, fp: np.ndarray, node: np.ndarray) -> tuple[list, list]:
     return one, other
 
 
-def _between(ring: Ring, fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> tuple[list, list]:
-    """Pairs of a large run's nodes with the nearest near node of another label, for
-    all nodes but those of the commonest label: no more pairs than nodes."""
-    _, place, size = np.unique(label, return_inverse=True, return_counts=True)
-    order = np.lexsort((place, -size[place]))
-    fp, node, label = fp[order], node[order], label[order]
-    one, other = [], []
+def _outside(ring: Ring, fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each place of a large run outside the commonest label, with the places before it
+    that are near and of another label, the nearest first.
+
+    The run is put in order of its labels, the commonest first, so of every pair of
+    unlike labels one end has the other among its places.  The order hangs on the
+    arguments alone.
+    """
+    size = np.unique(label, return_counts=True)[1]
     for i in range(int(size.max()), len(fp)):
         near = np.flatnonzero(near_all(ring, np.repeat(fp[i : i + 1], i, axis=0), fp[:i]) & (label[:i] != label[i]))
         if len(near):
             apart = np.bitwise_count(fp[near] ^ fp[i]).sum(1, dtype=np.int64)
-            one.append(int(node[i]))
-            other.append(int(node[near[apart.argmin()]]))
-    return one, other
+            yield i, near[np.argsort(apart, kind="stable")]
+
 
+def _by_label(label: np.ndarray) -> np.ndarray:
+    """The order of a run by its labels, the commonest first."""
+    _, place, size = np.unique(label, return_inverse=True, return_counts=True)
+    return np.lexsort((place, -size[place]))
+
+
+def _between(ring: Ring, fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> tuple[list, list]:
+    """Pairs of a large run's nodes with the nearest near node of another label, for
+    all nodes but those of the commonest label: no more pairs than nodes."""
+    order = _by_label(label)
+    fp, node, label = fp[order], node[order], label[order]
+    pairs = [(int(node[i]), int(node[near[0]])) for i, near in _outside(ring, fp, node, label)]
+    return [a for a, _ in pairs], [b for _, b in pairs]
 
-def _pairs(rows: DataFrame, ring: Ring, middle_run: int, stars: bool) -> DataFrame:
-    """``a, b`` of near pairs within runs of ``rows(key, node, label, words)`` whose
-    labels differ: all of runs up to ``middle_run``; of larger ones all as well, or
-    ``stars`` alone, and then a row with the ``key`` of each."""
+
+def _pairs(rows: DataFrame, ring: Ring, middle_run: int, stars: bool, low: int = 0, high: int = 1) -> DataFrame:
+    """``a, b`` of near pairs within runs of ``rows(key, node, label, now, words)``
+    that neither ``label`` nor ``now`` connects: all of runs up to ``middle_run``.  Of
+    larger runs ``stars`` alone, or the partners ``low`` to ``high`` of each node, the
+    nearest first; a row with the ``key`` tells that the run has more.
+    """
+    batch = lambda one, other, keys: pa.RecordBatch.from_arrays(
+        [pa.array(x, pa.int64()) for x in (one + [None] * len(keys), other + [None] * len(keys), [None] * len(one) + keys)], ["a", "b", "key"]
+    )
+
+    def of_large(fp: np.ndarray, node: np.ndarray, label: np.ndarray, now: np.ndarray, key: int) -> Iterator[pa.RecordBatch]:
+        order, more = _by_label(label), False
+        fp, node, label, now = fp[order], node[order], label[order], now[order]
+        one, other = [], []
+        for i, near in _outside(ring, fp, node, label):
+            open_ = now[near] != now[i]
+            more = more or bool(open_[high:].any())
+            asked = node[near[low:high][open_[low:high]]]
+            one += [int(node[i])] * len(asked)
+            other += asked.tolist()
+            if len(one) >= CHUNK:
+                yield batch(one, other, [])
+                one, other = [], []
+        yield batch(one, other, [key] if more else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for first, (key, node, label, *fp) in _runs(batches):
+        for first, (key, node, label, now, *fp) in _runs(batches):
             fp, size = np.stack(fp, axis=1).view(np.uint64), np.diff(np.r_[first, len(key)])
             one, other, large = [], [], []
             for k in np.flatnonzero(size > middle_run):
@@ -389,8 +425,7 @@ def _pairs(rows: DataFrame, ring: Ring, middle_run: int, stars: bool) -> DataFra
                     a, b = _stars(ring, fp[part], node[part])
                     one, other = one + a, other + b
                     continue
-                a, b = _between(ring, fp[part], node[part], label[part])
-                one, other = one + a, other + b
+                yield from of_large(fp[part], node[part], label[part], now[part], int(key[first[k]]))
             small = np.repeat((size > 1) & (size <= middle_run), size)
             key, fp, node, label = key[small], fp[small], node[small], label[small]
             at, shift = np.arange(len(key)), 1
@@ -401,8 +436,7 @@ def _pairs(rows: DataFrame, ring: Ring, middle_run: int, stars: bool) -> DataFra
                 one += node[near].tolist()
                 other += node[near + shift].tolist()
                 shift += 1
-            none = [None] * len(large)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (one + none, other + none, [None] * len(one) + large)], ["a", "b", "key"])
+            yield batch(one, other, large)
 
     return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, key long")
 
@@ -413,6 +447,9 @@ def _groups(docs: DataFrame, entries: DataFrame, words_each: int, ring: Ring, mi
 
     The first keys give links that are verified; then all keys are asked for pairs
     that these don't connect yet, so a group isn't compared anew under each key.
+    Large runs are asked in rounds: for the nearest partner of each node outside the
+    run's main group, the next two, the next four, and so on, as long as a run has
+    near pairs that the links so far don't connect.
     """
     node = F.col("content").alias("node")
 
@@ -422,18 +459,29 @@ def _groups(docs: DataFrame, entries: DataFrame, words_each: int, ring: Ring, mi
         sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("content")), words_each)
         return common.materialise(similar(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}_links")
 
-    first = entries.select(F.explode(F.slice("keys", 1, FIRST_BANDS)).alias("key"), node, F.col("content").alias("label"), *ring.columns)
+    def labelled(rows: DataFrame, links_: DataFrame, name: str) -> DataFrame:
+        labels = components(links_).select("node", F.col("component").alias(name))
+        return rows.join(labels, "node", "left").withColumn(name, F.coalesce(name, "node"))
+
+    first = entries.select(F.explode(F.slice("keys", 1, FIRST_BANDS)).alias("key"), node, F.col("content").alias("label"), F.col("content").alias("now"), *ring.columns)
     found = common.materialise(_pairs(first, ring, middle_run, True), "found")
     links_ = verified(found, "first")
-    labels = components(links_).select("node", F.col("component").alias("label"))
-    labelled = entries.select("keys", node, *ring.columns).join(labels, "node", "left")
-    labelled = common.materialise(labelled.select("node", "keys", *ring.columns, F.coalesce("label", "node").alias("label")), "labelled")
-    under = lambda keys: labelled.select(F.explode(keys).alias("key"), "node", "label", *ring.columns)
+    known = common.materialise(labelled(entries.select("keys", node, *ring.columns), links_, "label"), "labelled")
+    under = lambda keys, rows: rows.select(F.explode(keys).alias("key"), "node", "label", "now", *ring.columns)
     large = found.filter("key is not null").select("key").distinct()
-    rest = under(F.slice("keys", FIRST_BANDS + 1, BANDS))
+    rows = known.withColumn("now", F.col("label"))
+    rest = under(F.slice("keys", FIRST_BANDS + 1, BANDS), rows)
     if large.limit(1).count():
-        rest = rest.unionByName(under(F.slice("keys", 1, FIRST_BANDS)).join(large, "key", "left_semi"))
-    return components(links_.unionByName(verified(_pairs(rest, ring, middle_run, False), "more")))
+        rest = rest.unionByName(under(F.slice("keys", 1, FIRST_BANDS), rows).join(large, "key", "left_semi"))
+    low, high = 0, 1
+    while True:
+        found = common.materialise(_pairs(rest, ring, middle_run, False, low, high), "found")
+        links_ = common.materialise(links_.unionByName(verified(found, "more")), "links")
+        large = found.filter("key is not null").select("key").distinct()
+        if not large.limit(1).count():
+            return components(links_)
+        rest = under(F.col("keys"), labelled(known, links_, "now")).join(large, "key", "left_semi")
+        low, high = high, 2 * high + 1
 
 
 def keep_one(docs: DataFrame, words_each: int = 5, ring: Ring = WIDE, middle_run: int = MIDDLE_RUN) -> DataFrame:

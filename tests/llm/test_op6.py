@@ -210,3 +210,17 @@ def test_repeated_ids(spark):
     rows = [(3, base, "x"), (5, base, "x"), (5, prose(61, 100), "x"), (9, prose(62, 100), "x"), (9, prose(62, 100), "y"), (9, base, "z")]
     kept = op.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == sorted({(3, base), rows[2][:2], rows[3][:2]})
+
+
+def test_large_runs_lose_no_link(spark, monkeypatch):
+    """Texts of equal fingerprints in one run: a true link to one that isn't the nearest."""
+    rows = [(i, prose(70 + i, 100)) for i in range(8)]
+    rows += [(100 + k, changed(rows[i][1], 1, k)) for k, i in enumerate((3, 6))]
+    ids, texts = zip(*rows)
+    near = {(i, j): jaccard(texts[i], texts[j]) >= 0.8 for i in range(len(ids)) for j in range(i)}
+    want = brute_components(ids, lambda i, j: near[max(i, j), min(i, j)])
+    assert len(set(want)) == 8
+    monkeypatch.setattr(op, "band_keys", lambda hashes: np.arange(12))
+    monkeypatch.setattr(op, "of_hashes", lambda hashes, words=1: np.zeros(words, np.uint64))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in op.keep_one(docs, middle_run=2).collect()} == set(want)
