@@ -9,11 +9,12 @@ last reply has one more example without a target, so no turn is lost.
 well.  No ``<`` of a text is left, so nothing in it reads as a mark, and the
 escapes turn back in one way only.
 
-*Shared prefixes.*  The examples of a conversation are prefixes of one stream.
-Each turn's segment is stored once, with its place in the stream; an example is
-the stream up to ``example_end`` with the loss mask ``loss_start .. loss_end``
-(code points).  So the output grows with the turns and not with their square.
-``expand`` writes the examples out in full.
+*Examples.*  The examples of a conversation are prefixes of one stream.  Each
+turn's segment has its place in the stream; an example is the stream up to
+``example_end`` with the loss mask ``loss_start .. loss_end`` (code points).
+``written`` expands every example in full, block by block, and the query reads its
+results back from these texts.  Their size is what the expansion makes: the square of
+a conversation's turns.  ``expand`` gives each example as one text.
 
 *Long conversations.*  Turns are dealt out by conversation and block of
 ``BLOCK`` turn numbers; running lengths are summed within blocks, and offsets of
@@ -58,8 +59,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     conversation, and the example that ends with it, if one does.
 
     ``conv_id, block, turn_no, segment, segment_start, example_end, loss_start,
-    loss_end``; the last three are null where no example ends, and the last two
-    where an example has no target.
+    loss_end, last``; ends and masks are null where no example ends, and masks where
+    an example has no target; ``last`` marks a conversation's last turn.
     """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -97,6 +98,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
         F.when(target | (turn_no == F.col("all_turns") - 1), start + length).alias("example_end"),
         F.when(target, start + F.length("head")).alias("loss_start"),
         F.when(target, start + F.length("head") + F.length("body")).alias("loss_end"),
+        (turn_no == F.col("all_turns") - 1).alias("last"),
     )
 
 
@@ -115,20 +117,44 @@ def expand(formatted: DataFrame) -> DataFrame:
     return met.groupBy(F.col("c").alias("conv_id"), F.col("at").alias("turn_no"), "loss_start", "loss_end").agg(text.alias("example"))
 
 
-def read_turns(formatted: DataFrame) -> DataFrame:
-    """``conv_id, block, turn_no, role, text, loss`` read back from segments;
-    ``loss`` is the text under the mask, null without one."""
-    head = F.substring_index("segment", "\n", 1)
-    inner = F.length("segment") - F.length(head) - 1 - len(CLOSE)
-    cut = formatted.select("*", head.alias("head"), inner.alias("inner"))
-    return cut.select(
-        "conv_id",
-        "block",
-        "turn_no",
-        unescape(F.substr("head", F.lit(len(OPEN) + 1), F.length("head") - len(OPEN) - 1), _ROLE_ESCAPES).alias("role"),
-        unescape(F.substr("segment", F.length("head") + 2, F.col("inner"))).alias("text"),
-        unescape(F.substr("segment", (F.col("loss_start") - F.col("segment_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))).alias("loss"),
-        "example_end",
+def written(formatted: DataFrame) -> DataFrame:
+    """``conv_id, turn_no, part, text, part_start, loss_start, loss_end, own, last``:
+    every example written out, a row for each block of its turns.
+
+    The row of the block in which the example ends is its ``own``; ``part_start`` are
+    the code points before a row's text.  ``last`` marks the rows of the example that
+    holds all turns.
+    """
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn_no", "segment"))), lambda x: x["segment"]), "").alias("text")
+    start = F.min("segment_start").alias("part_start")
+    example = ["c", "b", "at", "loss_start", "loss_end", "last"]
+    ends = formatted.filter("example_end is not null").select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.col("turn_no").alias("at"), *example[3:])
+    turns = formatted.select("conv_id", "block", "turn_no", "segment", "segment_start")
+    same = F.col("c").eqNullSafe(F.col("conv_id"))
+    own = ends.join(turns, same & (F.col("b") == F.col("block")) & (F.col("turn_no") <= F.col("at"))).groupBy(*example).agg(text, start)
+    before = ends.join(turns.groupBy("conv_id", "block").agg(text, start), same & (F.col("block") < F.col("b")))
+    row = lambda df, part, is_own: df.select(
+        F.col("c").alias("conv_id"), F.col("at").alias("turn_no"), F.col(part).alias("part"), "text", "part_start", "loss_start", "loss_end", F.lit(is_own).alias("own"), "last"
+    )
+    return row(own, "b", True).unionByName(row(before, "block", False))
+
+
+def read_examples(examples: DataFrame) -> DataFrame:
+    """``examples`` with what their texts say: ``chars``, ``loss`` (the text under the
+    mask, null without one), and of the ``last`` example ``turns``, an array of role and text."""
+
+    def turn(segment: Column) -> Column:
+        head = F.substring_index(segment, MIDDLE, 1)
+        role = F.substr(head, F.lit(len(OPEN) + 1), F.length(head))
+        text = F.substr(segment, F.length(head) + len(MIDDLE) + 1, F.length(segment))
+        return F.struct(unescape(role, _ROLE_ESCAPES).alias("role"), unescape(text).alias("text"))
+
+    # no "<" of a text is left, so marks cut the turns; nothing stands behind the last
+    segments = F.split("text", CLOSE, -1)
+    turns = F.transform(F.slice(segments, F.lit(1), F.size(segments) - 1), turn)
+    loss = F.substr("text", (F.col("loss_start") - F.col("part_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
+    return examples.select(
+        "*", F.length("text").cast("long").alias("chars"), F.when(F.col("own"), unescape(loss)).alias("loss"), F.when(F.col("last"), turns).alias("turns")
     )
 
 
@@ -139,19 +165,25 @@ def _joined(column: str, by: str) -> Column:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of every conversation, from its formatted turns."""
-    read = read_turns(formatted).withColumn("turn_text", F.concat("role", F.lit("\n"), "text", F.lit("\n")))
-    blocks = read.groupBy("conv_id", "block").agg(
-        F.count("*").alias("n"),
-        _joined("turn_text", "turn_no").alias("turns"),
+    """Counts and digests of every conversation, from the examples of formatted turns."""
+    return digests_of(written(formatted))
+
+
+def digests_of(examples: DataFrame) -> DataFrame:
+    """Counts and digests of every conversation, read back from ``written`` examples."""
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = read_examples(examples).withColumn("turn_text", said)
+    blocks = read.groupBy("conv_id", "part").agg(
+        F.max(F.size("turns")).alias("n"),
+        F.max("turn_text").alias("turns"),
         _joined("loss", "turn_no").alias("loss"),
-        F.count("example_end").alias("examples"),
-        F.sum("example_end").alias("chars"),
+        F.count_if("own").alias("examples"),
+        F.sum("chars").alias("chars"),
     )
     whole = blocks.groupBy("conv_id").agg(
-        F.sum("n").alias("n_turns"),
-        _joined("turns", "block").alias("turns"),
-        _joined("loss", "block").alias("loss"),
+        F.sum(F.col("n").cast("long")).alias("n_turns"),
+        _joined("turns", "part").alias("turns"),
+        _joined("loss", "part").alias("loss"),
         F.sum("chars").alias("formatted_chars"),
         F.sum("examples").alias("n_examples"),
     )
@@ -179,7 +211,7 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(TRAP).alias("text"),
     )
     formatted = common.materialise(format_conversations(conversations.unionByName(trap)), "formatted")
-    return digests(formatted)
+    return digests_of(common.materialise(written(formatted), "examples"))
 
 
 ORACLE = r"""

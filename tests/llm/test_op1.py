@@ -91,3 +91,18 @@ def test_plan_has_no_python(spark, sf):
     formatted = op.format_conversations(spark.read.parquet(f"{sf}/conversations.parquet"))
     plan = op.digests(formatted)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_every_example_is_written(spark):
+    """The written blocks of an example joined are its text, and results are read from them."""
+    formatted = op.format_conversations(conversations(spark, ROWS)).cache()
+    examples = op.written(formatted).cache()
+    blocks = {}
+    for r in examples.collect():
+        blocks.setdefault((r.conv_id, r.turn_no), []).append((r.part, r.part_start, r.text))
+    whole = {k: "".join(x for _, _, x in sorted(v)) for k, v in blocks.items()}
+    assert whole == {(r.conv_id, r.turn_no): r.example for r in op.expand(formatted).collect()}
+    assert max(map(len, blocks.values())) == 3 and all(at == sum(len(x) for _, a, x in v if a < at) for v in blocks.values() for _, at, _ in v)
+    other = examples.withColumn("text", F.replace("text", F.lit("turn 3 "), F.lit("turn 5 ")))
+    got, want = ({r.conv_id: r for r in op.digests_of(x).collect()} for x in (other, examples))
+    assert got[4].turns_sha256 != want[4].turns_sha256 and got[4].loss_sha256 != want[4].loss_sha256 and got[1] == want[1]
