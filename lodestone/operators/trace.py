@@ -50,14 +50,16 @@ def _expand(roots: DataFrame, steps: DataFrame, places: DataFrame, depth: int) -
     """All levels; ``steps(from, place, to, last, weight)`` are the calls to follow.
 
     ``relevance`` is the least weight on the way to a row, so no row has more than
-    the one above it.  What every level joins is written out before the first.
+    the one above it.  Calls meet the places of what they call before the first level
+    and are written out, so a level shuffles the rows that go on, and not what they make.
     """
+    steps = steps.join(places, F.col("to") == F.col("__q"), "left")
     if depth != 1:
-        steps, places = cut(steps), cut(places)
+        steps = cut(steps)
     level = _roots(roots)
     rows, done = level, 0
     while depth == 0 or done < depth:
-        met = level.filter("row_kind = 'function'").join(steps, F.col("node") == F.col("from")).join(places, F.col("to") == F.col("__q"), "left")
+        met = level.filter("row_kind = 'function'").join(steps, F.col("node") == F.col("from"))
         known = F.col("__q").isNotNull()
         kind = (
             F.when(F.col("to") == UNRESOLVED, "unresolved")
@@ -106,8 +108,11 @@ def trace_forward(functions: DataFrame, resolved: DataFrame, roots: DataFrame, d
     else:
         steps = steps.join(weights.select(F.col("target").alias("to"), F.col("weight").cast("long").alias("weight")), "to", "left")
     rows = _expand(roots, steps, _place(functions), depth)
+    # only externals are numbered; rows without one aren't shuffled again
+    rows = rows if depth == 0 else cut(rows)
     first = F.row_number().over(Window.partitionBy("root", "root_file", "node").orderBy("sort_path")) == 1
-    rows = rows.withColumn("__first", (F.col("row_kind") == "external") & first)
+    external = F.col("row_kind") == "external"
+    rows = rows.filter(external).withColumn("__first", first).unionByName(rows.filter(~external).withColumn("__first", F.lit(False)))
     bare = F.when(F.startswith("node", F.lit("[")), F.regexp_extract("node", r"^\[[a-z]+:(.*)\]$", 1))
     rows = rows.withColumn("__bare", F.coalesce(bare, F.substring_index("node", ".", -1)))
     said = categorized(rows.filter("__first").select("__bare").distinct(), "__bare").select(F.col("__bare").alias("__name"), "summary")
