@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,9 @@ class Cache:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
     def joined(self, lists: list[list[str]]) -> list[bytes]:
         """The encoded units of each list, joined."""
         missing = set().union(*lists).difference(self.young)
@@ -45,6 +50,25 @@ class Cache:
         return [b"".join(map(get, x)) for x in lists]
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run, forget: Callable[[], None] | None = None) -> Run:
+    """``run`` for a Python stage that leaves nothing behind: workers live on and serve
+    the next stages, so what ``forget`` lets go and freed memory go back to the system.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        if forget is not None:
+            forget()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+            trim(0)
+
+    return tidied
+
+
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches of this session's Python stages."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

@@ -342,7 +342,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = zip(*rows) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], ["doc_id", "item_id", "edits", "begin", "end"])
 
-        found = texts.mapInArrow(run, "doc_id long, item_id long, edits long, begin long, end long")
+        found = texts.mapInArrow(common.tidy(run), "doc_id long, item_id long, edits long, begin long, end long")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -364,7 +364,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         keep[first + n] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(common.tidy(run), docs.schema)
     return docs
 
 

@@ -41,6 +41,8 @@ MARK = "▁"
 _UNITS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Units of one generation of a worker's store.
 CACHE_UNITS = 150_000
+#: Characters of texts that are encoded together.
+RUN_CHARS = 1 << 20
 _NO_RANK = np.int32(2**31 - 1)
 #: Symbols of characters that no piece holds start here.
 _FOREIGN = 1 << 21
@@ -213,7 +215,21 @@ class Encoder:
         return [x for at in range(0, len(units), step) for x in self._encode_new(units[at : at + step])]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text without begin and end, as little-endian bytes."""
+        """The ids of each text without begin and end, as little-endian bytes.
+
+        Texts are cut into units in runs of ``RUN_CHARS``, since units take many times
+        the memory of their texts.
+        """
+        out: list[bytes] = []
+        run, chars = 0, 0
+        for i, t in enumerate(texts, 1):
+            chars += len(t)
+            if chars >= RUN_CHARS or i == len(texts):
+                out += self._ids_of_run(texts[run:i])
+                run, chars = i, 0
+        return out
+
+    def _ids_of_run(self, texts: list[str]) -> list[bytes]:
         plain: list[list[str]] = []
         raw: list[list[str]] = []
         odd: list[bool] = []
@@ -227,6 +243,11 @@ class Encoder:
         one, other = iter(self.words.joined(plain)), iter(self.others.joined(raw))
         return [next(other) if x else next(one) for x in odd]
 
+    def forget(self) -> None:
+        """Let the units go that are stored for texts to come."""
+        self.words.clear()
+        self.others.clear()
+
     def encode(self, text: str) -> list[int]:
         return [self.bos, *np.frombuffer(self.ids([text])[0], "<u4").tolist(), self.eos]
 
@@ -269,7 +290,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 ["doc_id", "ids", "decoded"],
             )
 
-    return common.texts_of(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return common.texts_of(docs).mapInArrow(common.tidy(run, lambda: encoder(model).forget()), "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -291,7 +312,7 @@ def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return common.texts_of(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.texts_of(docs).mapInArrow(common.tidy(run, lambda: encoder(model).forget()), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

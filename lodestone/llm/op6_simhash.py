@@ -330,7 +330,7 @@ def _entries(docs: DataFrame, words_each: int, ring: Ring) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, w]) for w in range(ring.words)), lists], names)
 
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in names[:-1]) + ", keys array<long>")
+    return docs.mapInArrow(common.tidy(run), ", ".join(f"{n} long" for n in names[:-1]) + ", keys array<long>")
 
 
 def near_all(ring: Ring, one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -438,7 +438,7 @@ def _pairs(rows: DataFrame, ring: Ring, middle_run: int, stars: bool, low: int =
                 shift += 1
             yield batch(one, other, large)
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long, key long")
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(common.tidy(run), "a long, b long, key long")
 
 
 def _groups(docs: DataFrame, entries: DataFrame, words_each: int, ring: Ring, middle_run: int) -> DataFrame:

@@ -159,7 +159,7 @@ def measure(docs: DataFrame, model: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, kinds))], names)
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.col("text"), lang.alias("lang")).mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text"), lang.alias("lang")).mapInArrow(common.tidy(run, lambda: encoder(model).forget()), RESULT)
 
 
 def filter_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
@@ -173,7 +173,7 @@ def filter_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
             rows = judge(batch.column(at).to_pylist(), langs, model)
             yield batch.filter(pa.array([r[6] for r in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidy(run, lambda: encoder(model).forget()), docs.schema)
 
 
 def fit_bands(docs: DataFrame, labels: DataFrame, documents: int = FIT_DOCUMENTS) -> dict[str, float]:

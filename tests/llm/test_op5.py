@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import sentencepiece
 
+from lodestone.llm import common
 from lodestone.llm import op5_sentencepiece as op
 
 
@@ -50,3 +51,17 @@ def test_frames(odd, odd_rows, none, library):
     full = op.encode(odd).collect()
     assert sorted(len(r.ids) for r in full) == sorted(w[1] for w in want)
     assert op.digests(none).count() == op.encode(none).count() == 0
+
+
+def test_workers_keep_little(library, monkeypatch):
+    """A batch is cut into units in runs, and a task leaves no stored units behind."""
+    monkeypatch.setattr(op, "RUN_CHARS", 50)
+    enc, held = op.Encoder(), []
+    joined = enc.words.joined
+    monkeypatch.setattr(enc.words, "joined", lambda lists: held.append(sum(map(len, lists))) or joined(lists))
+    texts = ["one two three four five", "", "six  seven", "eight\nnine"] * 50 + ["ten " * 60]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.ids(texts)] == library.encode(texts)
+    assert enc.ids([]) == [] and max(held) <= 65 and enc.words.young and enc.others.young
+    run = common.tidy(lambda batches: (enc.ids(b) for b in batches), enc.forget)
+    assert [len(x) for x in run(iter([texts, texts]))] == [201, 201]
+    assert not (enc.words.young or enc.words.old or enc.others.young or enc.others.old)
