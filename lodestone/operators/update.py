@@ -20,12 +20,13 @@ returns equal tables.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import is_internal
-from ..session import cut, few
+from ..session import cut, few, hashed
 from .resolve import answer_calls, asked_in, file_packages, lookups, probes, symbol_counts
 
 COUNTED = ["kind", "name", "qualified_name"]
@@ -40,21 +41,12 @@ class Snapshot:
     symbols: DataFrame
 
 
-@dataclass
-class Update:
-    """The new snapshot and what changed: ``symbols(qualified_name, change)``,
-    ``edges(src, dst, change)``, and the kept calls that were ``probed`` again."""
-
-    snapshot: Snapshot
-    symbols: DataFrame
-    edges: DataFrame
-    probed: DataFrame
-
-
 def build(functions: DataFrame, call_sites: DataFrame) -> Snapshot:
     """A snapshot from scratch."""
     symbols = cut(symbol_counts(functions))
-    return Snapshot(functions, cut(answer_calls(call_sites, file_packages(functions), lookups(symbols))), symbols)
+    with hashed(functions.sparkSession):
+        calls = cut(answer_calls(call_sites, file_packages(functions), lookups(symbols)))
+    return Snapshot(functions, calls, symbols)
 
 
 def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -119,21 +111,73 @@ def edges_delta(kept: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
     return moved.join(still, ["src", "dst"], "left_anti").select("src", "dst", change.alias("change"))
 
 
+class Update:
+    """An index after ``files(file_path)`` changed to ``functions`` and ``call_sites``.
+
+    Every part is made when it is first asked for: the new ``snapshot``; ``counts``, its
+    symbols alone; ``symbols(qualified_name, change)`` and ``edges(src, dst, change)``,
+    what changed; and the kept calls that were ``probed`` again.
+    """
+
+    def __init__(self, old: Snapshot, files: DataFrame, functions: DataFrame, call_sites: DataFrame):
+        self.old, self.functions, self.call_sites = old, functions, call_sites
+        self.files = few(cut(files.select("file_path").distinct()))
+
+    @cached_property
+    def _delta(self) -> DataFrame:
+        gone = symbol_counts(_in(self.old.functions, self.files)).withColumn("n", -F.col("n"))
+        signed = gone.unionByName(symbol_counts(self.functions))
+        return cut(signed.groupBy(COUNTED).agg(F.sum("n").alias("n")).filter("n <> 0"))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return cut(recounted(self.old.symbols, self._delta))
+
+    @cached_property
+    def _kept(self) -> DataFrame:
+        return _in(self.old.calls, self.files, "left_anti")
+
+    @cached_property
+    def _now(self) -> DataFrame:
+        kept = _in(self.old.functions, self.files, "left_anti")
+        return kept.unionByName(self.functions.select(kept.columns))
+
+    @cached_property
+    def _asking(self) -> DataFrame:
+        """``file_path, raw`` of the kept calls whose answer may be another."""
+        answers = few(cut(changed_answers(self.old.symbols, self.counts, self._delta)))
+        asking = probes(asked_in(self._kept, file_packages(self._now))).join(answers, ["kind", "name"], "left_semi")
+        return few(cut(asking.select("file_path", "raw").distinct()))
+
+    @cached_property
+    def probed(self) -> DataFrame:
+        return self._kept.join(self._asking, ["file_path", "raw"], "left_semi")
+
+    @cached_property
+    def _still(self) -> DataFrame:
+        return self._kept.join(self._asking, ["file_path", "raw"], "left_anti")
+
+    @cached_property
+    def _new(self) -> DataFrame:
+        calls = self.probed.unionByName(self.call_sites, allowMissingColumns=True)
+        found = lookups(self.counts)
+        with hashed(calls.sparkSession):
+            return cut(answer_calls(calls, file_packages(self._now), found))
+
+    @cached_property
+    def snapshot(self) -> Snapshot:
+        return Snapshot(self._now, self._still.unionByName(self._new.select(self._still.columns)), self.counts)
+
+    @cached_property
+    def symbols(self) -> DataFrame:
+        return symbol_diff(self.old.symbols, _in(self.old.functions, self.files), self.functions)
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        gone = _in(self.old.calls, self.files).unionByName(self.probed)
+        return edges_delta(self._still, gone, self._new)
+
+
 def update(old: Snapshot, files: DataFrame, functions: DataFrame, call_sites: DataFrame) -> Update:
     """The snapshot after ``files(file_path)`` changed to ``functions`` and ``call_sites``."""
-    files = few(cut(files.select("file_path").distinct()))
-    gone, kept_functions = _in(old.functions, files), _in(old.functions, files, "left_anti")
-    signed = symbol_counts(gone).withColumn("n", -F.col("n")).unionByName(symbol_counts(functions))
-    delta = cut(signed.groupBy(COUNTED).agg(F.sum("n").alias("n")).filter("n <> 0"))
-    symbols = cut(recounted(old.symbols, delta))
-    answers = few(cut(changed_answers(old.symbols, symbols, delta)))
-    now = kept_functions.unionByName(functions.select(kept_functions.columns))
-    packages = file_packages(now)
-    kept = _in(old.calls, files, "left_anti")
-    asking = probes(asked_in(kept, packages)).join(answers, ["kind", "name"], "left_semi").select("file_path", "raw").distinct()
-    asking = few(cut(asking))
-    probed, still = kept.join(asking, ["file_path", "raw"], "left_semi"), kept.join(asking, ["file_path", "raw"], "left_anti")
-    new = cut(answer_calls(probed.unionByName(call_sites, allowMissingColumns=True), packages, lookups(symbols)))
-    calls = still.unionByName(new.select(still.columns))
-    edges = edges_delta(still, _in(old.calls, files).unionByName(probed), new)
-    return Update(Snapshot(now, calls, symbols), symbol_diff(old.symbols, gone, functions), edges, probed)
+    return Update(old, files, functions, call_sites)
