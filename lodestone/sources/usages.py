@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, hashed
+
 #: Postings in a file of the index, about.
 RANGE_ROWS = 1 << 20
 ORDER = ["symbol", "file_path", "line", "caller", "ordinal"]
@@ -23,7 +25,9 @@ POSTINGS = "symbol string, file_path string, line int, caller string, ordinal in
 
 def write_usages(resolved: DataFrame, path: str, range_rows: int = RANGE_ROWS) -> None:
     """Write the postings of resolved calls, and their ranges, under ``path``."""
-    rows = resolved.select(F.col("target").alias("symbol"), *ORDER[1:]).filter("symbol is not null")
+    # counted, sampled for its ranges and dealt out: resolved once
+    with hashed(resolved.sparkSession):
+        rows = cut(resolved.select(F.col("target").alias("symbol"), *ORDER[1:]).filter("symbol is not null"))
     parts = max(1, -(-rows.count() // range_rows))
     rows.repartitionByRange(parts, *ORDER).sortWithinPartitions(*ORDER).write.mode("overwrite").parquet(f"{path}/postings")
     place, ends = F.struct("symbol", "file_path"), ["symbol", "file_path"]
