@@ -31,10 +31,15 @@ few pivots and gives a spanning tree of links and not all pairs.  No link
 between components is lost and nothing is capped.  Where links are verified
 afterwards, a large run is first compared with few pivots; then each of its texts
 that verified links don't connect with the run's main group is compared with the
-near texts of other groups, in rounds: the nearest, the next two, the next four, until
+near texts of other groups, in rounds: the nearest, the next eight, the next 64, until
 every near pair of the run is either connected or verified.  So most runs end after a
 round or two, and none loses a link.
 
+*Sketches.*  In these rounds pairs also meet by a sketch of 1024 bits, each the parity
+of the distinct shingles that fall on it.  Two sketches differ in no more bits than
+their sets in shingles, so no pair of similarity ``LEAST`` is rejected; of texts of some
+hundred words it leaves hardly any other.  Nearest is what differs least for its size.
+
 *Verification.*  Links of the pipeline are compared by their true shingles before
 they make groups; fingerprints alone drop nothing but equal texts.
 
@@ -60,7 +65,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .shingles import content_of, shingle_sets, similar
+from .shingles import LEAST, content_of, shingle_sets, similar
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -72,6 +77,10 @@ BANDS, ROWS = 12, 4
 FIRST_BANDS = 4
 #: Runs of min-wise keys up to this size are compared pair by pair at once.
 MIDDLE_RUN = 64
+#: Bits of a sketch of parities.
+SKETCH = 1024
+#: How many times as many partners the next round of a large run asks for.
+GROWTH = 8
 #: Rows of sorted keys that are handled together.
 CHUNK = 1 << 16
 
@@ -160,6 +169,13 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> tuple[int, bytes]:
+    """How many distinct shingles there are, and the parities of those on each bit."""
+    distinct = np.unique(hashes)
+    on = np.bincount((distinct & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    return len(distinct), np.packbits(on.astype(np.uint8) & 1).tobytes()
+
+
 def fingerprints(docs: DataFrame, words_each: int = SHINGLE_WORDS, ring: Ring = EXACT) -> DataFrame:
     """``doc_id`` and the fingerprint's words as signed longs."""
     common.tune(docs.sparkSession)
@@ -278,7 +294,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[
 
     for batch in batches:
         if batch.num_rows:
-            waiting.append([c.to_numpy() for c in batch.columns])
+            waiting.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             rows += batch.num_rows
             if rows >= limit:
                 yield cut_at(None)
@@ -318,9 +334,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _entries(docs: DataFrame, words_each: int, ring: Ring) -> DataFrame:
-    """``content``, the fingerprint's words and ``keys`` of ``docs(content, text)``."""
+    """``content``, the fingerprint's words, ``keys``, and ``size`` and ``sketch`` of the
+    distinct shingles of ``docs(content, text)``."""
     common.tune(docs.sparkSession)
-    names = ["content", *ring.columns, "keys"]
+    names = ["content", *ring.columns, "size", "keys", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,9 +345,11 @@ def _entries(docs: DataFrame, words_each: int, ring: Ring) -> DataFrame:
             fps = np.array([of_hashes(h, ring.words) for h in hashes], np.uint64).reshape(-1, ring.words).view(np.int64)
             keys = np.array([band_keys(h) for h in hashes], np.int64).reshape(-1, BANDS)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, w]) for w in range(ring.words)), lists], names)
+            sizes, sketches = zip(*map(parities, hashes)) if hashes else ((), ())
+            own = [pa.array(sizes, pa.int64()), lists, pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(fps[:, w]) for w in range(ring.words)), *own], names)
 
-    return docs.mapInArrow(common.tidy(run), ", ".join(f"{n} long" for n in names[:-1]) + ", keys array<long>")
+    return docs.mapInArrow(common.tidy(run), ", ".join(f"{n} long" for n in names[:-2]) + ", keys array<long>, sketch binary")
 
 
 def near_all(ring: Ring, one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -358,20 +377,28 @@ def _stars(ring: Ring, fp: np.ndarray, node: np.ndarray) -> tuple[list, list]:
     return one, other
 
 
-def _outside(ring: Ring, fp: np.ndarray, node: np.ndarray, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def may_be_similar(size: np.ndarray, sketch: np.ndarray, other_size: int, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets can have similarity ``LEAST`` with another one, and how far apart the
+    sketches are for their sizes."""
+    apart = np.bitwise_count(sketch ^ other).sum(1, dtype=np.int64) / np.maximum(size + other_size, 1)
+    return apart <= (1 - LEAST) / (1 + LEAST) + 1e-9, apart
+
+
+def _outside(ring: Ring, fp: np.ndarray, label: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each place of a large run outside the commonest label, with the places before it
-    that are near and of another label, the nearest first.
+    that are near, of another label and may be similar, the nearest first.
 
     The run is put in order of its labels, the commonest first, so of every pair of
     unlike labels one end has the other among its places.  The order hangs on the
     arguments alone.
     """
-    size = np.unique(label, return_counts=True)[1]
-    for i in range(int(size.max()), len(fp)):
-        near = np.flatnonzero(near_all(ring, np.repeat(fp[i : i + 1], i, axis=0), fp[:i]) & (label[:i] != label[i]))
-        if len(near):
-            apart = np.bitwise_count(fp[near] ^ fp[i]).sum(1, dtype=np.int64)
-            yield i, near[np.argsort(apart, kind="stable")]
+    for i in range(int(np.unique(label, return_counts=True)[1].max()), len(fp)):
+        other = np.flatnonzero(label[:i] != label[i])
+        fits, apart = may_be_similar(size[other], sketch[other], size[i], sketch[i])
+        other, apart = other[fits], apart[fits]
+        near = near_all(ring, fp[other], np.repeat(fp[i : i + 1], len(other), axis=0))
+        if near.any():
+            yield i, other[near][np.argsort(apart[near], kind="stable")]
 
 
 def _by_label(label: np.ndarray) -> np.ndarray:
@@ -385,47 +412,36 @@ def _between(ring: Ring, fp: np.ndarray, node: np.ndarray, label: np.ndarray) ->
     all nodes but those of the commonest label: no more pairs than nodes."""
     order = _by_label(label)
     fp, node, label = fp[order], node[order], label[order]
-    pairs = [(int(node[i]), int(node[near[0]])) for i, near in _outside(ring, fp, node, label)]
+    # fingerprints stand for the sketches: sets of that size may all be similar
+    pairs = [(int(node[i]), int(node[near[0]])) for i, near in _outside(ring, fp, label, np.full(len(fp), 1 << 20), fp)]
     return [a for a, _ in pairs], [b for _, b in pairs]
 
 
-def _pairs(rows: DataFrame, ring: Ring, middle_run: int, stars: bool, low: int = 0, high: int = 1) -> DataFrame:
-    """``a, b`` of near pairs within runs of ``rows(key, node, label, now, words)``
-    that neither ``label`` nor ``now`` connects: all of runs up to ``middle_run``.  Of
-    larger runs ``stars`` alone, or the partners ``low`` to ``high`` of each node, the
-    nearest first; a row with the ``key`` tells that the run has more.
+def _batch(one: list, other: list, keys: list) -> pa.RecordBatch:
+    """Rows of pairs, and rows of keys."""
+    columns = (one + [None] * len(keys), other + [None] * len(keys), [None] * len(one) + keys)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b", "key"])
+
+
+def _by_runs(rows: DataFrame, run: common.Run) -> DataFrame:
+    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(common.tidy(run), "a long, b long, key long")
+
+
+def _pairs(rows: DataFrame, ring: Ring, middle_run: int, stars: bool) -> DataFrame:
+    """``a, b`` of near pairs within runs of ``rows(key, node, label, words)`` that
+    ``label`` doesn't connect: all of runs up to ``middle_run``.  Of larger runs there
+    are ``stars`` at most, and a row with the ``key``.
     """
-    batch = lambda one, other, keys: pa.RecordBatch.from_arrays(
-        [pa.array(x, pa.int64()) for x in (one + [None] * len(keys), other + [None] * len(keys), [None] * len(one) + keys)], ["a", "b", "key"]
-    )
-
-    def of_large(fp: np.ndarray, node: np.ndarray, label: np.ndarray, now: np.ndarray, key: int) -> Iterator[pa.RecordBatch]:
-        order, more = _by_label(label), False
-        fp, node, label, now = fp[order], node[order], label[order], now[order]
-        one, other = [], []
-        for i, near in _outside(ring, fp, node, label):
-            open_ = now[near] != now[i]
-            more = more or bool(open_[high:].any())
-            asked = node[near[low:high][open_[low:high]]]
-            one += [int(node[i])] * len(asked)
-            other += asked.tolist()
-            if len(one) >= CHUNK:
-                yield batch(one, other, [])
-                one, other = [], []
-        yield batch(one, other, [key] if more else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for first, (key, node, label, now, *fp) in _runs(batches):
+        for first, (key, node, label, *fp) in _runs(batches):
             fp, size = np.stack(fp, axis=1).view(np.uint64), np.diff(np.r_[first, len(key)])
-            one, other, large = [], [], []
-            for k in np.flatnonzero(size > middle_run):
+            one, other, large = [], [], np.flatnonzero(size > middle_run)
+            for k in large if stars else ():
                 part = slice(first[k], first[k] + size[k])
-                if stars:
-                    large.append(int(key[first[k]]))
-                    a, b = _stars(ring, fp[part], node[part])
-                    one, other = one + a, other + b
-                    continue
-                yield from of_large(fp[part], node[part], label[part], now[part], int(key[first[k]]))
+                a, b = _stars(ring, fp[part], node[part])
+                one, other = one + a, other + b
+            keys = key[first[large]].tolist()
             small = np.repeat((size > 1) & (size <= middle_run), size)
             key, fp, node, label = key[small], fp[small], node[small], label[small]
             at, shift = np.arange(len(key)), 1
@@ -436,20 +452,50 @@ def _pairs(rows: DataFrame, ring: Ring, middle_run: int, stars: bool, low: int =
                 one += node[near].tolist()
                 other += node[near + shift].tolist()
                 shift += 1
-            yield batch(one, other, large)
+            yield _batch(one, other, keys)
 
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(common.tidy(run), "a long, b long, key long")
+    return _by_runs(rows, run)
+
+
+def _asked(rows: DataFrame, ring: Ring, low: int, high: int) -> DataFrame:
+    """``a, b`` of near pairs within large runs of ``rows(key, node, label, now, size,
+    sketch, words)`` that neither ``label`` nor ``now`` connects: the partners ``low`` to
+    ``high`` of each node, the nearest first; a row with the ``key`` tells that the run
+    has more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, (key, node, label, now, size, sketch, *fp) in _runs(batches):
+            fp = np.stack(fp, axis=1).view(np.uint64)
+            sketch = np.frombuffer(b"".join(sketch), np.uint64).reshape(-1, SKETCH // 64)
+            for begin, end in zip(first, np.r_[first[1:], len(key)]):
+                order, more = begin + _by_label(label[begin:end]), False
+                nodes, nows = node[order], now[order]
+                one, other = [], []
+                for i, near in _outside(ring, fp[order], label[order], size[order], sketch[order]):
+                    open_ = nows[near] != nows[i]
+                    more = more or bool(open_[high:].any())
+                    asked = nodes[near[low:high][open_[low:high]]]
+                    one += [int(nodes[i])] * len(asked)
+                    other += asked.tolist()
+                    if len(one) >= CHUNK:
+                        yield _batch(one, other, [])
+                        one, other = [], []
+                yield _batch(one, other, [int(key[begin])] if more else [])
+
+    return _by_runs(rows, run)
 
 
 def _groups(docs: DataFrame, entries: DataFrame, words_each: int, ring: Ring, middle_run: int) -> DataFrame:
-    """``node, component`` of the ``entries(content, keys, words)`` that verified
-    links connect; ``component`` is a node of the group.
+    """``node, component`` of the ``entries(content, keys, size, sketch, words)`` that
+    verified links connect; ``component`` is a node of the group.
 
     The first keys give links that are verified; then all keys are asked for pairs
     that these don't connect yet, so a group isn't compared anew under each key.
     Large runs are asked in rounds: for the nearest partner of each node outside the
-    run's main group, the next two, the next four, and so on, as long as a run has
-    near pairs that the links so far don't connect.
+    run's main group, the next eight, the next 64, and so on, as long as a run has
+    near pairs that the links so far don't connect.  A round's links meet the groups
+    of the last one, not all links so far.
     """
     node = F.col("content").alias("node")
 
@@ -459,29 +505,33 @@ def _groups(docs: DataFrame, entries: DataFrame, words_each: int, ring: Ring, mi
         sets = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("content")), words_each)
         return common.materialise(similar(pairs, sets).select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}_links")
 
-    def labelled(rows: DataFrame, links_: DataFrame, name: str) -> DataFrame:
-        labels = components(links_).select("node", F.col("component").alias(name))
+    def labelled(rows: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+        labels = common.small(groups.select("node", F.col("component").alias(name)))
         return rows.join(labels, "node", "left").withColumn(name, F.coalesce(name, "node"))
 
-    first = entries.select(F.explode(F.slice("keys", 1, FIRST_BANDS)).alias("key"), node, F.col("content").alias("label"), F.col("content").alias("now"), *ring.columns)
-    found = common.materialise(_pairs(first, ring, middle_run, True), "found")
-    links_ = verified(found, "first")
-    known = common.materialise(labelled(entries.select("keys", node, *ring.columns), links_, "label"), "labelled")
-    under = lambda keys, rows: rows.select(F.explode(keys).alias("key"), "node", "label", "now", *ring.columns)
-    large = found.filter("key is not null").select("key").distinct()
-    rows = known.withColumn("now", F.col("label"))
-    rest = under(F.slice("keys", FIRST_BANDS + 1, BANDS), rows)
-    if large.limit(1).count():
-        rest = rest.unionByName(under(F.slice("keys", 1, FIRST_BANDS), rows).join(large, "key", "left_semi"))
+    keys = lambda found: found.filter("key is not null").select("key")
+    under = lambda keys, rows, *more: rows.select(F.explode(keys).alias("key"), "node", "label", *more, *ring.columns)
+    rows = entries.select("keys", node, F.col("content").alias("label"), *ring.columns)
+    found = common.materialise(_pairs(under(F.slice("keys", 1, FIRST_BANDS), rows), ring, middle_run, True), "found")
+    groups = common.materialise(components(verified(found, "first")), "components")
+    known = common.materialise(labelled(entries.select("keys", node, "size", "sketch", *ring.columns), groups, "label"), "labelled")
+    rest = common.materialise(_pairs(under(F.slice("keys", FIRST_BANDS + 1, BANDS), known), ring, middle_run, False), "found")
+    large, found, rows = keys(found).unionByName(keys(rest)), rest, known.withColumn("now", F.col("label"))
     low, high = 0, 1
     while True:
-        found = common.materialise(_pairs(rest, ring, middle_run, False, low, high), "found")
-        links_ = common.materialise(links_.unionByName(verified(found, "more")), "links")
-        large = found.filter("key is not null").select("key").distinct()
-        if not large.limit(1).count():
-            return components(links_)
-        rest = under(F.col("keys"), labelled(known, links_, "now")).join(large, "key", "left_semi")
-        low, high = high, 2 * high + 1
+        if more := bool(large.limit(1).count()):
+            asked = under(F.col("keys"), rows, "now", "size", "sketch").join(common.small(large), "key", "left_semi")
+            asked = common.materialise(_asked(asked, ring, low, high), "asked")
+            found = asked if found is None else found.unionByName(asked)
+            large, low, high = keys(asked), high, 1 + GROWTH * high
+            more = bool(large.limit(1).count())
+        new = verified(found, "more")
+        if new.limit(1).count():
+            stars = groups.select(F.col("node").alias("u"), F.col("component").alias("v"))
+            groups = common.materialise(components(stars.unionByName(new)), "components")
+        if not more:
+            return groups
+        found, rows = None, labelled(known, groups, "now")
 
 
 def keep_one(docs: DataFrame, words_each: int = 5, ring: Ring = WIDE, middle_run: int = MIDDLE_RUN) -> DataFrame:
@@ -498,8 +548,8 @@ def keep_one(docs: DataFrame, words_each: int = 5, ring: Ring = WIDE, middle_run
     ids = common.materialise(known.groupBy("id", "content").agg(F.count("*").alias("times")), "ids")
     texts = docs.filter("doc_id is not null").select(content_of().alias("content"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     entries = _entries(texts, words_each, ring)
-    entries = common.materialise(entries.groupBy("content").agg(*(F.first(c).alias(c) for c in (*ring.columns, "keys"))), "fingerprints")
-    groups = common.materialise(_groups(docs, entries, words_each, ring, middle_run), "groups")
+    entries = common.materialise(entries.groupBy("content").agg(*(F.first(c).alias(c) for c in (*ring.columns, "size", "keys", "sketch"))), "fingerprints")
+    groups = _groups(docs, entries, words_each, ring, middle_run)
     named = ids.join(groups, F.col("content") == F.col("node"), "left").select("id", "content", "times", F.coalesce("component", "content").alias("group"))
     named = common.materialise(named, "named")
     least = named.groupBy("group").agg(F.min(F.struct("id", "content")).alias("stays"))

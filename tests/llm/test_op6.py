@@ -224,3 +224,33 @@ def test_large_runs_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(op, "of_hashes", lambda hashes, words=1: np.zeros(words, np.uint64))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in op.keep_one(docs, middle_run=2).collect()} == set(want)
+
+
+def test_sketches_reject_no_link():
+    rejected = 0
+    for g in range(60):
+        base = prose(500 + g, 40 + 20 * g)
+        texts = [base, *(changed(base, k, 7 * g + k) for k in (1, 2 + g // 6, 5 + g // 2, 20 + g))]
+        sizes, sketches = zip(*(op.parities(op.shingle_hashes(t, 5)) for t in texts))
+        sketches = np.stack([np.frombuffer(x, np.uint64) for x in sketches])
+        fits, _ = op.may_be_similar(np.array(sizes), sketches, sizes[0], sketches[0])
+        alike = np.array([jaccard(t, base) for t in texts])
+        assert fits[alike >= 0.8].all()
+        rejected += int((~fits[alike < 0.6]).sum())
+    assert rejected > 40
+    assert op.parities(op.shingle_hashes("")) == (0, bytes(128))
+
+
+def test_large_runs_take_few_rounds(spark, monkeypatch):
+    """Unlike texts whose fingerprints and keys are equal are not asked for, round by round."""
+    rows = [(i, prose(600 + i, 100)) for i in range(40)]
+    rows += [(100 + i, changed(rows[i][1], 1, i)) for i in range(0, 40, 4)]
+    rounds, found = [], []
+    monkeypatch.setattr(op, "band_keys", lambda hashes: np.arange(12))
+    monkeypatch.setattr(op, "of_hashes", lambda hashes, words=1: np.zeros(words, np.uint64))
+    components, similar = op.components, op.similar
+    monkeypatch.setattr(op, "components", lambda edges: rounds.append(0) or components(edges))
+    monkeypatch.setattr(op, "similar", lambda pairs, sets: found.append(pairs.count()) or similar(pairs, sets))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in op.keep_one(docs, middle_run=2).collect()} == set(range(40))
+    assert len(rounds) <= 3 and sum(found[1:]) <= 50
